@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,11 +100,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _add(key, pdf):
-    import pandas as pd
-
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-    return pd.DataFrame({"piece": [key[0]], "counts": [total.tobytes()]})
+    return pd.DataFrame({"piece": pdf["piece"].iloc[:1].tolist(), "counts": [total.tobytes()]})
 
 
 def train(labelled: DataFrame) -> np.ndarray:
