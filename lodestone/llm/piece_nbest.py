@@ -42,7 +42,7 @@ FLOOR = -1e8
 PENALTY = 10.0
 WORDS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 #: Words remembered by a worker at a time, and longest word that is batched.
-MEMORY = 200_000
+MEMORY = 300_000
 LONG = 48
 
 
@@ -63,6 +63,7 @@ class Pieces:
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 self.ids[t], self.score[t] = i, float(m.get_score(i))
         self.unknown_id = m.unk_id()
+        self.bytes = [self.id_bytes.get(i, t.encode()) for i, t in enumerate(self.text)]
         self.longest = max(map(len, self.ids))
         usual = [s for s in self.score.values() if s > FLOOR]
         self.unknown = min(usual) - PENALTY
@@ -132,32 +133,40 @@ class Pieces:
 
     def raw(self, ids) -> bytes:
         """The normalised text of ids, as UTF-8."""
-        return b"".join(self.id_bytes.get(i) or self.text[i].encode() for i in ids)
+        return b"".join(map(self.bytes.__getitem__, ids))
 
     def decode(self, ids) -> str:
         text = self.raw(ids).decode("utf-8", "replace").replace(BLANK, " ")
         return text.removeprefix(" ")
 
-    def batch(self, words: list[str]) -> list[tuple[float, float, tuple[int, ...]]]:
-        """(best score, loss of the second best, ids of the best) of every word."""
-        out: list = [None] * len(words)
-        groups: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            groups.setdefault(len(w), []).append(i)
+    def batch(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of the words: the words, best scores, losses of the second best, and sizes and ids of the best."""
+        groups: dict[int, list[str]] = {}
+        for w in words:
+            groups.setdefault(len(w), []).append(w)
+        odd: list[str] = []
         for n, members in groups.items():
             if n > LONG:
+                odd += members
                 continue
             for lo in range(0, len(members), 4096):
-                self._batch(words, members[lo : lo + 4096], n, out)
-        for i, w in enumerate(words):
-            if out[i] is None:
-                found = self.nbest(w, 2)
-                out[i] = (found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf, found[0][1])
-        return out
-
-    def _batch(self, words: list[str], members: list[int], n: int, out: list) -> None:
-        codes = np.frombuffer("".join(words[i] for i in members).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
-        w = len(members)
+                known, odd_here, *rest = self._batch(members[lo : lo + 4096], n)
+                odd += odd_here
+                yield known, *rest
+        if odd:
+            found = [self.nbest(w, 2) for w in odd]
+            yield (
+                odd,
+                np.array([f[0][0] for f in found]),
+                np.array([f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found]),
+                np.array([len(f[0][1]) for f in found]),
+                np.fromiter(itertools.chain.from_iterable(f[0][1] for f in found), np.int32),
+            )
+
+    def _batch(self, words: list[str], n: int):
+        """As batch(), for words of ``n`` characters; second come those that need bytes."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
+        w = len(words)
         first, second = np.full((n + 1, w), -np.inf), np.full((n + 1, w), -np.inf)
         first[0] = 0
         back, ids = np.zeros((n + 1, w), np.int32), np.zeros((n + 1, w), np.int32)
@@ -165,33 +174,37 @@ class Pieces:
         for size in range(1, min(n, self.longest) + 1):
             if size in self.tables:
                 keys, piece, score = self.tables[size]
-                k = _key(codes, size)
+                k = _key(codes, size).T.copy()
                 at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
                 hit = keys[at] == k
                 if hit.any():
-                    found[size] = (np.where(hit, score[at], -np.inf), piece[at])
+                    found[size] = (np.where(hit, score[at], -np.inf), piece[at], hit.any(axis=1))
         for stop in range(1, n + 1):
             for size in sorted((s for s in found if s <= stop), reverse=True):
-                score, piece = found[size][0][:, stop - size], found[size][1][:, stop - size]
-                one, two = first[stop - size] + score, second[stop - size] + score
+                scores, pieces, some = found[size]
+                if not some[stop - size]:
+                    continue
+                one, two = first[stop - size] + scores[stop - size], second[stop - size] + scores[stop - size]
                 better = one > first[stop]
                 second[stop] = np.where(better, np.maximum(first[stop], two), np.maximum(second[stop], one))
-                first[stop] = np.where(better, one, first[stop])
-                back[stop] = np.where(better, size, back[stop])
-                ids[stop] = np.where(better, piece, ids[stop])
-        known = np.isfinite(first).all(axis=0)  # else bytes are needed, word by word
-        with np.errstate(invalid="ignore"):
-            loss = first[n] - second[n]
-        at, col = np.full(w, n), np.arange(w)
+                np.copyto(first[stop], one, where=better)
+                back[stop][better] = size
+                np.copyto(ids[stop], pieces[stop - size], where=better)
+        known = np.isfinite(first).all(axis=0)
+        if not known.all():
+            odd = list(itertools.compress(words, ~known))
+            words = list(itertools.compress(words, known))
+            first, second, back, ids = first[:, known], second[:, known], back[:, known], ids[:, known]
+        else:
+            odd = []
+        at, col = np.full(len(words), n), np.arange(len(words))
         trail: list[np.ndarray] = []
-        while (at > 0).any() and len(trail) <= n:
-            trail.append(np.where(known & (at > 0), ids[at, col], -1))
-            at = np.where(known, at - back[at, col], 0)
-        rows = np.array(trail[::-1]).T.tolist() if trail else [[]] * w
-        scores, losses, fine = first[n].tolist(), loss.tolist(), known.tolist()
-        for j, i in enumerate(members):
-            if fine[j]:
-                out[i] = (scores[j], losses[j], tuple(x for x in rows[j] if x >= 0))
+        while (at > 0).any():
+            trail.append(np.where(at > 0, ids[at, col], -1))
+            at = at - back[at, col]
+        table = np.array(trail[::-1]).T if trail else np.zeros((len(words), 0), np.int32)
+        there = table >= 0
+        return words, odd, first[n], first[n] - second[n], there.sum(axis=1), table[there].astype(np.int32)
 
 
 def _key(codes: np.ndarray, size: int) -> np.ndarray:
@@ -223,22 +236,6 @@ def combine(total: float, choices: list[list[tuple[float, tuple[int, ...]]]], n:
     return [(total - loss, list(picks)) for loss, picks in best]
 
 
-def encode_nbest(text: str, path: str, n: int = BEST) -> list[tuple[float, list[int]]]:
-    """The ``n`` best segmentations of a text: (score, ids), best first."""
-    model = load(path)
-    words = split(text)
-    known = model.batch(words)
-    order = sorted(range(len(words)), key=lambda i: (known[i][1], i))[: n - 1]
-    choices = [model.nbest(words[i], n) for i in sorted(order)]
-    out = []
-    for score, picks in combine(sum(k[0] for k in known), choices, n):
-        ids = [k[2] for k in known]
-        for i, options, k in zip(sorted(order), choices, picks):
-            ids[i] = options[k][1] if k else ids[i]
-        out.append((score, [x for w in ids for x in w]))
-    return out
-
-
 class Memory:
     """Words that a worker has segmented: numbers by word, and what is known by number."""
 
@@ -249,31 +246,31 @@ class Memory:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.score, self.loss, self.starts = np.zeros(0), np.zeros(0), np.zeros(1, np.int64)
-        self.flat, self.exact = np.zeros(0, np.int32), np.zeros(0, bool)
+        self.flat = np.zeros(0, np.int32)
         self.best: dict[str, list] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.at) + len(words) > MEMORY:
             self.clear()
         new = [w for w in words if w not in self.at]
-        if not new:
+        found = list(self.model.batch(new))
+        if not found:
             return
-        found = self.model.batch(new)
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        sizes = np.fromiter((len(x[2]) for x in found), np.int64, len(found))
-        self.score = np.append(self.score, [x[0] for x in found])
-        self.loss = np.append(self.loss, [x[1] for x in found])
-        self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(x[2] for x in found), np.int32, int(sizes.sum())))
-        self.exact = np.append(self.exact, [self.model.raw(x[2]) == w.encode("utf-8", "replace") for w, x in zip(new, found)])
-        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+        names = list(itertools.chain.from_iterable(f[0] for f in found))
+        self.at.update(zip(names, range(len(self.at), len(self.at) + len(names))))
+        self.score = np.concatenate([self.score, *(f[1] for f in found)])
+        self.loss = np.concatenate([self.loss, *(f[2] for f in found)])
+        sizes = np.concatenate([f[3] for f in found])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, *(f[4] for f in found)])
 
     def nbest(self, word: str, n: int) -> list:
         if word not in self.best:
             self.best[word] = self.model.nbest(word, n)
         return self.best[word]
 
-    def encode(self, words: list[str], n: int) -> tuple[np.ndarray, list[float], list[int], bool]:
-        """ids of the best, scores and sizes of the n best, and whether the ids spell the text."""
+    def encode(self, words: list[str], n: int) -> tuple[np.ndarray, list[tuple[float, list[tuple[int, tuple[int, ...], int]]]]]:
+        """ids of the best; for each of the n best its score and changes (word, its ids, its pieces more)."""
         no = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         sizes = self.starts[no + 1] - self.starts[no]
         ends = np.cumsum(sizes)
@@ -282,31 +279,47 @@ class Memory:
         loss = self.loss[no]
         few = min(n - 1, len(words))
         order = np.argpartition(loss, few - 1)[:few] if 0 < few < len(words) else np.arange(few)
-        order = np.sort(order)
-        choices = [self.nbest(words[i], n) for i in order.tolist()]
-        scores, lengths = [], []
+        order = np.sort(order).tolist()
+        choices = [self.nbest(words[i], n) for i in order]
+        out = []
         for score, picks in combine(float(self.score[no].sum()), choices, n):
-            scores.append(score)
-            lengths.append(count + sum(len(options[k][1]) - len(options[0][1]) for options, k in zip(choices, picks)))
-        return ids, scores, lengths, bool(self.exact[no].all())
+            out.append((score, [(i, o[k][1], len(o[k][1]) - len(o[0][1])) for i, o, k in zip(order, choices, picks) if k]))
+        return ids, out
+
+
+def encode_nbest(text: str, path: str, n: int = BEST) -> list[tuple[float, list[int]]]:
+    """The ``n`` best segmentations of a text: (score, ids), best first."""
+    memory, words = Memory(load(path)), split(text)
+    memory.learn(set(words))
+    _, found = memory.encode(words, n)
+    best = [memory.flat[memory.starts[k] : memory.starts[k + 1]].tolist() for k in map(memory.at.__getitem__, words)]
+    out = []
+    for score, changes in found:
+        ids = list(best)
+        for i, other, _ in changes:
+            ids[i] = list(other)
+        out.append((score, [x for w in ids for x in w]))
+    return out
 
 
 def _encoder(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(load(path))
+        model = load(path)
+        memory = Memory(model)
         for b in batches:
             last = b.num_columns - 1
-            for lo in range(0, b.num_rows, 256):
+            for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 256)
                 ids, scores, sizes, exact = [], [], [], []
-                texts = [split(x.as_py().decode("utf-8", "replace")) for x in part.column(last)]
+                raw = [x.as_py() for x in part.column(last)]
+                texts = [split(t.decode("utf-8", "replace")) for t in raw]
                 memory.learn(set(itertools.chain.from_iterable(texts)))
-                for words in texts:
-                    i, s, z, e = memory.encode(words, n)
-                    ids.append(i)
-                    scores.append(s)
-                    sizes.append(z)
-                    exact.append(e)
+                for text, words in zip(raw, texts):
+                    best, found = memory.encode(words, n)
+                    ids.append(best)
+                    scores.append([s for s, _ in found])
+                    sizes.append([len(best) + sum(c[2] for c in changes) for _, changes in found])
+                    exact.append(model.raw(best.tolist()).replace(BLANK.encode(), b" ")[bool(words) :] == text)
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
