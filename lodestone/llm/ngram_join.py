@@ -374,5 +374,43 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
     )
 
 
+def drop_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: that of the least id.
+
+    Rows repeated with their text are one document. Rows that share an id but not the text
+    stay apart. Rows without an id or without words stay.
+    """
+    found = join_similar(docs, percent, width)
+    kept = stash(
+        found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_least"), F.count("*").alias("_rows")).where("_least = doc_id"), "kept"
+    ).select(F.col("doc_id").alias("_kept"), "_rows")
+    stays = docs.join(kept, docs["doc_id"] == F.col("_kept"))
+    once = stays.where("_rows = 1").select(*docs.columns)
+    many = stays.where("_rows > 1").withColumn("_digest", F.sha2(text_bytes(), 256)).dropDuplicates(["_kept", "_digest"]).select(*docs.columns)
+    return once.unionByName(many).unionByName(docs.where("doc_id IS NULL"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS src, doc_id AS node FROM documents UNION SELECT src, b FROM reach JOIN e ON e.a = reach.node),
+root AS (SELECT src AS doc_id, min(node) AS component_id FROM reach GROUP BY src),
+deg AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id, coalesce(g.n_links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) JOIN root r USING (doc_id) LEFT JOIN deg g USING (doc_id)
+"""

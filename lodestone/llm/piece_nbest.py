@@ -44,6 +44,8 @@ WORDS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 #: Words remembered by a worker at a time, and longest word that is batched.
 MEMORY = 300_000
 LONG = 48
+#: Documents whose words are segmented together.
+ROWS = 512
 
 
 class Pieces:
@@ -308,8 +310,8 @@ def _encoder(path: str, n: int):
         memory = Memory(model)
         for b in batches:
             last = b.num_columns - 1
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
                 ids, scores, sizes, exact = [], [], [], []
                 raw = [x.as_py() for x in part.column(last)]
                 texts = [split(t.decode("utf-8", "replace")) for t in raw]
@@ -339,10 +341,17 @@ def _encoder(path: str, n: int):
 ENCODED = "piece_ids array<int>, n_pieces long, nbest_scores array<double>, nbest_pieces array<long>, round_trip boolean"
 
 
+def encode_rows(docs: DataFrame, keep: tuple[str, ...], path: str, n: int = BEST) -> DataFrame:
+    """The columns ``keep`` of every row, and its piece_ids, n_pieces, nbest_scores, nbest_pieces and round_trip."""
+    prepare(docs.sparkSession)
+    rows = docs.select(*keep, text_bytes().alias("text"))
+    kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
+    return rows.mapInArrow(_encoder(path, n), f"{kept}, {ENCODED}")
+
+
 def encode(docs: DataFrame, path: str, n: int = BEST) -> DataFrame:
     """doc_id, piece_ids, n_pieces, nbest_scores, nbest_pieces and round_trip of every document."""
-    prepare(docs.sparkSession)
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(_encoder(path, n), f"doc_id long, {ENCODED}")
+    return encode_rows(docs, ("doc_id",), path, n)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -170,5 +170,23 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     )
 
 
+def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them.
+
+    Rows that share id and size share out their copies among them by the order of their texts.
+    """
+    plan = stash(
+        mix(docs, seed).groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"), "mix"
+    ).withColumnRenamed("doc_id", "_id").withColumnRenamed("size", "_size")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    taken = docs.withColumn("_words", size).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    place = F.row_number().over(W.partitionBy("_id", "_size").orderBy("text"))
+    once = taken.where("_rows = 1")
+    many = taken.where("_rows > 1").withColumn("_place", place)
+    many = many.withColumn("_copies", F.expr("_copies div _rows + int(_place <= _copies % _rows)")).where("_copies > 0").drop("_place")
+    rows = once.unionByName(many)
+    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
