@@ -321,9 +321,17 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
         "reps",
     )
     spread = reps.select("mark", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = stash(spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    # Shingles that the same sets share lead to the same pairs: the first of them stands for
+    # all. Such groups of sets are told by their number and a digest of their marks.
+    group = (F.count("*").alias("df"), F.bit_xor(F.xxhash64("mark")).alias("who"))
+    shared = stash(spread.groupBy("token").agg(*group).where("df > 1"), "shared")
     hits = stash(
-        spread.join(shared, "token").groupBy("mark", "n").agg(F.array_sort(F.collect_list(F.struct("at", "token", "df"))).alias("hits")),
+        spread.join(shared, "token")
+        .repartition("mark")
+        .groupBy("mark", "n", "df", "who")
+        .agg(F.min(F.struct("at", "token")).alias("hit"))
+        .groupBy("mark", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("hit.at", "hit.token", "df"))).alias("hits")),
         "hits",
     )  # no more than a document's own prefix
     dealt = (
@@ -402,7 +410,7 @@ WITH RECURSIVE w AS (
 s AS (
   SELECT DISTINCT doc_id, sh FROM (
     SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) END) AS sh FROM w)),
+      ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS sh FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS (
