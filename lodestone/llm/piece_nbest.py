@@ -48,6 +48,43 @@ LONG = 48
 ROWS = 512
 
 
+class _Table:
+    """Stretches of one length by the hash of their characters; row 0 stands for none.
+
+    Slots are the first bits of the hash. Pieces that share a slot lie in layers.
+    """
+
+    BITS = 17
+
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, score: np.ndarray):
+        self.keys = np.concatenate([np.zeros(1, np.uint64), keys])
+        self.ids = np.concatenate([np.zeros(1, np.int32), ids])
+        self.score = np.concatenate([[-np.inf], score])
+        self.layers: list[np.ndarray] = []
+        slots = self.slot(keys)
+        order = np.argsort(slots, kind="stable")
+        first = np.searchsorted(slots[order], slots[order])
+        depth = np.arange(len(order)) - first
+        for d in range(int(depth.max()) + 1):
+            layer = np.zeros(1 << self.BITS, np.int32)
+            layer[slots[order][depth == d]] = order[depth == d] + 1
+            self.layers.append(layer)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The rows of keys; 0 where there is none."""
+        slots = self.slot(keys)
+        out = self.layers[0][slots]
+        out[self.keys[out] != keys] = 0
+        for layer in self.layers[1:]:
+            more = layer[slots]
+            hit = (more > 0) & (self.keys[more] == keys)
+            out[hit] = more[hit]
+        return out
+
+
 class Pieces:
     """A model's pieces, and segmentation of single words."""
 
@@ -72,15 +109,15 @@ class Pieces:
         crossing = [t for t in self.ids if "\n" in t or BLANK in t.lstrip(BLANK)]
         if crossing:
             raise ValueError(f"pieces span words: {crossing[:3]}")
-        by_length: dict[int, list[str]] = {}
-        for t in self.ids:
-            by_length.setdefault(len(t), []).append(t)
-        self.tables = {}
-        for n, ts in by_length.items():
-            codes = np.array([[ord(c) for c in t] for t in ts], np.uint64)
-            keys = _key(codes, n)[:, 0]
-            order = np.argsort(keys)
-            self.tables[n] = (keys[order], np.array([self.ids[t] for t in ts], np.int32)[order], np.array([self.score[t] for t in ts])[order])
+        # For each length, all stretches that start some piece; those that are pieces have a score.
+        self.tables = []
+        for n in range(1, self.longest + 1):
+            starts = sorted({t[:n] for t in self.ids if len(t) >= n})
+            codes = np.array([[ord(c) for c in t] for t in starts], np.uint64)
+            keys = np.zeros(len(starts), np.uint64)
+            for k in range(n):
+                keys = _extend(keys, codes[:, k])
+            self.tables.append(_Table(keys, np.array([self.ids.get(t, 0) for t in starts], np.int32), np.array([self.score.get(t, -np.inf) for t in starts])))
 
     def edges(self, word: str) -> list[list[tuple[int, float]]]:
         """For each end: (start, score) of the edges that stop there, longest first."""
@@ -173,14 +210,25 @@ class Pieces:
         first[0] = 0
         back, ids = np.zeros((n + 1, w), np.int32), np.zeros((n + 1, w), np.int32)
         found = {}
+        # Runs grow by a character as long as some piece starts so.
+        codes = codes.T.copy()
+        place = np.arange(n * w)
+        keys = np.zeros(n * w, np.uint64)
         for size in range(1, min(n, self.longest) + 1):
-            if size in self.tables:
-                keys, piece, score = self.tables[size]
-                k = _key(codes, size).T.copy()
-                at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                hit = keys[at] == k
-                if hit.any():
-                    found[size] = (np.where(hit, score[at], -np.inf), piece[at], hit.any(axis=1))
+            fits = place < (n - size + 1) * w
+            place, keys = place[fits], keys[fits]
+            keys = _extend(keys, codes.ravel()[place + (size - 1) * w])
+            rows = self.tables[size - 1].find(keys)
+            known = rows > 0
+            place, keys, rows = place[known], keys[known], rows[known]
+            if not len(place):
+                break
+            score, piece = np.full(n * w, -np.inf), np.zeros(n * w, np.int32)
+            score[place], piece[place] = self.tables[size - 1].score[rows], self.tables[size - 1].ids[rows]
+            score = score.reshape(n, w)
+            some = np.isfinite(score).any(axis=1)
+            if some.any():
+                found[size] = (score, piece.reshape(n, w), some)
         for stop in range(1, n + 1):
             for size in sorted((s for s in found if s <= stop), reverse=True):
                 scores, pieces, some = found[size]
@@ -209,14 +257,10 @@ class Pieces:
         return words, odd, first[n], first[n] - second[n], there.sum(axis=1), table[there].astype(np.int32)
 
 
-def _key(codes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of ``size`` columns."""
-    width = codes.shape[1] - size + 1
-    out = np.full((len(codes), width), size, np.uint64)
+def _extend(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The hashes of runs that are one character longer."""
     with np.errstate(over="ignore"):
-        for k in range(size):
-            out = mix(out + codes[:, k : k + width])
-    return out
+        return mix(keys + codes + np.uint64(1))
 
 
 @lru_cache(maxsize=2)
@@ -271,9 +315,15 @@ class Memory:
             self.best[word] = self.model.nbest(word, n)
         return self.best[word]
 
-    def encode(self, words: list[str], n: int) -> tuple[np.ndarray, list[tuple[float, list[tuple[int, tuple[int, ...], int]]]]]:
-        """ids of the best; for each of the n best its score and changes (word, its ids, its pieces more)."""
-        no = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of words, of which the new ones are learned first; distinct ones are looked up once."""
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn(set(distinct))
+        return np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+
+    def encode(self, words: list[str], no: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[float, list[tuple[int, tuple[int, ...], int]]]]]:
+        """ids of the best of words and their numbers; for each of the n best its score and changes (word, its ids, its pieces more)."""
         sizes = self.starts[no + 1] - self.starts[no]
         ends = np.cumsum(sizes)
         count = int(ends[-1]) if len(ends) else 0
@@ -292,9 +342,9 @@ class Memory:
 def encode_nbest(text: str, path: str, n: int = BEST) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations of a text: (score, ids), best first."""
     memory, words = Memory(load(path)), split(text)
-    memory.learn(set(words))
-    _, found = memory.encode(words, n)
-    best = [memory.flat[memory.starts[k] : memory.starts[k + 1]].tolist() for k in map(memory.at.__getitem__, words)]
+    no = memory.numbers(words)
+    _, found = memory.encode(words, no, n)
+    best = [memory.flat[memory.starts[k] : memory.starts[k + 1]].tolist() for k in no]
     out = []
     for score, changes in found:
         ids = list(best)
@@ -315,9 +365,10 @@ def _encoder(path: str, n: int):
                 ids, scores, sizes, exact = [], [], [], []
                 raw = [x.as_py() for x in part.column(last)]
                 texts = [split(t.decode("utf-8", "replace")) for t in raw]
-                memory.learn(set(itertools.chain.from_iterable(texts)))
-                for text, words in zip(raw, texts):
-                    best, found = memory.encode(words, n)
+                no = memory.numbers(list(itertools.chain.from_iterable(texts)))
+                parts = np.split(no, np.cumsum([len(w) for w in texts])[:-1]) if texts else []
+                for text, words, own in zip(raw, texts, parts):
+                    best, found = memory.encode(words, own, n)
                     ids.append(best)
                     scores.append([s for s, _ in found])
                     sizes.append([len(best) + sum(c[2] for c in changes) for _, changes in found])
