@@ -176,7 +176,7 @@ def communities(graph: DataFrame, by_component: bool = False) -> DataFrame:
     """
     out = "sym_id long, community long"
     if not by_component:
-        return graph.groupBy(F.lit(0)).applyInPandas(_run_leiden, out)
+        return graph.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_run_leiden, out)
     from lodestone.operators.graph import connected_components
 
     roots = connected_components(graph.select("a", "b")).select(F.col("node").alias("a"), "root")
