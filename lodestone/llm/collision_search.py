@@ -34,12 +34,12 @@ from lodestone.llm.common import prepare, stash
 PROJECTIONS = 128
 BLOCK = 16384
 QUERIES = 1024
-SHARE = 0.25
+SHARE = 0.2
 EXTRA = 8
 #: A vector must fall into this share of the windows to be a candidate.
-THRESHOLD = 0.85
-START = 1.6
-GROWTH = 1.25
+THRESHOLD = 0.8
+START = 1.8
+GROWTH = 1.2
 SEED = 20
 
 
@@ -52,43 +52,56 @@ class Block:
         self.lines = lines[:-1]
         fill = np.sqrt(np.maximum(reach * reach - (vectors * vectors).sum(axis=1), 0.0))
         at = vectors @ self.lines + fill[:, None] * lines[-1]
-        self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32)
+        self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
         self.values = np.ascontiguousarray(np.take_along_axis(at, self.order.T, axis=0).T)
 
-    def collisions(self, place: np.ndarray, half: float) -> np.ndarray:
+    def places(self, queries: np.ndarray) -> np.ndarray:
+        """Where each query, as long as the longest vector, falls on each line."""
+        return (queries * (self.reach / np.sqrt((queries * queries).sum(axis=1)))[:, None]) @ self.lines
+
+    def windows(self, places: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place in the sorted arrays of every query's window on every line."""
+        columns = list(zip(self.values, places.T))
+        lo = np.stack([np.searchsorted(v, p - half) for v, p in columns], axis=1)
+        return lo, np.stack([np.searchsorted(v, p + half, "right") for v, p in columns], axis=1)
+
+    def collisions(self, lo: list[int], hi: list[int]) -> np.ndarray:
         """In how many of its windows each vector falls; counted from the emptier side."""
         n = len(self.ids)
-        lo = [int(np.searchsorted(v, p - half)) for v, p in zip(self.values, place)]
-        hi = [int(np.searchsorted(v, p + half, "right")) for v, p in zip(self.values, place)]
         if sum(hi) - sum(lo) <= n * PROJECTIONS // 2:
             return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo, hi)]), minlength=n)
         outside = [x for o, a, b in zip(self.order, lo, hi) for x in (o[:a], o[b:])]
         return PROJECTIONS - np.bincount(np.concatenate(outside), minlength=n)
 
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that collide with the query in at least the threshold's share of windows."""
+    def candidates(self, queries: np.ndarray, k: int):
+        """For each query, the rows that collide with it most, of those in the threshold's share of windows.
+
+        Queries whose windows hold too few rows get wider ones, all others are done.
+        """
         n = len(self.ids)
         wanted = min(n, int(SHARE * n) + EXTRA * k)
-        place = (query * (self.reach / np.sqrt(query @ query))) @ self.lines
-        half = START * self.reach
-        while True:
-            hits = self.collisions(place, half)
-            if wanted == n or (hits >= THRESHOLD * PROJECTIONS).sum() >= wanted:
-                break
-            half *= GROWTH
-        least = np.partition(hits, n - wanted)[n - wanted]
-        return np.flatnonzero(hits >= least)
-
-    def nearest(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the ``k`` best verified vectors, best first."""
-        rows = self.candidates(query, k)
+        places, open_, half = self.places(queries), np.arange(len(queries)), START * self.reach
+        while len(open_):
+            lo, hi = self.windows(places[open_], half)
+            again = []
+            for i, a, b in zip(open_.tolist(), lo.tolist(), hi.tolist()):
+                hits = self.collisions(a, b)
+                if wanted < n and (hits >= THRESHOLD * PROJECTIONS).sum() < wanted:
+                    again.append(i)
+                    continue
+                least = np.partition(hits, n - wanted)[n - wanted]
+                yield i, np.flatnonzero(hits >= least)
+            open_, half = np.array(again, np.int64), half * GROWTH
+
+    def nearest(self, own: int, query: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the ``k`` best of the candidate rows, best first."""
         rows = rows[self.ids[rows] != own]
+        if len(rows) > k:
+            rough = self.vectors[rows] @ query
+            cut = np.partition(rough, len(rows) - k)[len(rows) - k]
+            rows = rows[rough >= cut - 1e-9 * self.reach * np.sqrt(query @ query)]
         # Summed along each row, so that equal vectors get equal products.
         scores = (self.vectors[rows] * query).sum(axis=1)
-        if len(rows) > k:
-            cut = np.partition(scores, len(rows) - k)[len(rows) - k]
-            keep = scores >= cut
-            rows, scores = rows[keep], scores[keep]
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows[best]], scores[best]
 
@@ -105,8 +118,10 @@ def _search(k: int):
         out: list[list[np.ndarray]] = [[], [], []]
         if asks.any() and not asks.all():
             block = Block(ids[~asks], vectors[~asks], float(table.column("reach")[0].as_py()))
-            for own, query in zip(ids[asks].tolist(), vectors[asks]):
-                found, scores = block.nearest(own, query, k)
+            owners, queries = ids[asks], vectors[asks]
+            for i, rows in block.candidates(queries, k):
+                own = int(owners[i])
+                found, scores = block.nearest(own, queries[i], rows, k)
                 for column, x in zip(out, (np.full(len(found), own), found, scores)):
                     column.append(x)
         return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, kinds)], names)
