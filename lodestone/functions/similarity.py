@@ -45,7 +45,12 @@ def minhash_jaccard(a: Column, b: Column) -> Column:
 
 def bands(signature: Column, rows: int) -> Column:
     """Fingerprints of the bands of ``rows`` slots each, with the band's number."""
-    n = F.floor(F.size(signature) / rows).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), n - 1), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(signature, b * rows + 1, rows)).alias("mark"))
-    )
+
+    def cut(s: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(s) / rows).cast("int") - 1),
+            lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(s, b * rows + 1, rows)).alias("mark")),
+        )
+
+    # The signature is bound once, as a lambda's variable.
+    return F.element_at(F.transform(F.array(signature), cut), 1)
