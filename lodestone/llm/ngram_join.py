@@ -307,6 +307,8 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
     prepare(spark)
     counts = spark.sparkContext.broadcast(shingle_counts(docs, width))  # 1 << BITS numbers, 4 MB
     texts = docs.select("doc_id", text_bytes().alias("text"))
+    # Both sides of the joins below grow with the input. They are merged at every size, so that
+    # what a small input tells of the plan holds for a large one.
     sets = stash(
         texts.mapInArrow(_prefixer(counts, width, percent), "doc_id long, n_shingles long, mark binary, prefix array<long>"), "sets"
     )
@@ -316,7 +318,7 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
     # One document stands for each distinct set; repeated rows of it count once.
     reps = stash(
         marked.select("doc_id", "mark", F.col("n_shingles").alias("n"), "prefix")
-        .join(groups, ["doc_id", "mark"])
+        .join(groups.hint("merge"), ["doc_id", "mark"])
         .dropDuplicates(["doc_id", "mark"]),
         "reps",
     )
@@ -326,7 +328,7 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
     group = (F.count("*").alias("df"), F.bit_xor(F.xxhash64("mark")).alias("who"))
     shared = stash(spread.groupBy("token").agg(*group).where("df > 1"), "shared")
     hits = stash(
-        spread.join(shared, "token")
+        spread.join(shared.hint("merge"), "token")
         .repartition("mark")
         .groupBy("mark", "n", "df", "who")
         .agg(F.min(F.struct("at", "token")).alias("hit"))
@@ -351,9 +353,9 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
         "listed",
     )
     wanted = stash(listed.select("mark").distinct().join(groups, "mark"), "wanted")
-    bodies = stash(texts.join(wanted, "doc_id").select("mark", "copies", "text"), "bodies")
+    bodies = stash(texts.join(wanted.hint("merge"), "doc_id").select("mark", "copies", "text"), "bodies")
     links = stash(
-        listed.join(bodies, "mark")
+        listed.join(bodies.hint("merge"), "mark")
         .select(*cell, "mark", "partners", "copies", "text")
         .repartition(*cell)
         .sortWithinPartitions(*cell)

@@ -75,9 +75,15 @@ class Counter:
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
+        seen: set[bytes] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
+                new = []
+                for d in part.column(0).to_pylist():  # repeated rows lie together
+                    new.append(d not in seen)
+                    seen.add(d)
+                part = part.filter(pa.array(new, pa.bool_()))
                 counts = counter.count([x.as_py().decode("utf-8", "replace") for x in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
@@ -120,7 +126,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     lone = texts.where("doc_id IS NULL").select(
         F.unhex(F.sha2(F.concat(F.lit(version.encode()), F.col("text")), 256)).alias("digest"), "text"
     ).join(misses.where("doc_id IS NULL").select("digest"), "digest", "left_semi")
-    fresh.unionByName(lone).mapInArrow(_encoder(tokenizer), CACHE).write.mode("append").parquet(table)
+    fresh.unionByName(lone).mapInArrow(_encoder(tokenizer), CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(table)
     counts = spark.read.schema(CACHE).parquet(table).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts = stash(counts, "counts")
     return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

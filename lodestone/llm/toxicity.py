@@ -3,7 +3,8 @@
 Confirmed toxic documents are the positives; any documents, without a look at their
 labels, are the unlabelled side. A linear model on the presence of words is trained with
 numpy on a risk estimate that takes the positives hidden among the unlabelled into
-account by the class prior, and that is kept from falling below zero:
+account by the class prior (the share of toxic labels, or less where the texts
+speak against it), and that is kept from falling below zero:
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``.
 
 Labels are learned from rows alone whose crc32 of the id as text leaves no 2 on division
@@ -111,6 +112,11 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Model:
         return out
 
     xp, xu = matrix(pos), matrix(unl if unl else pos)
+    # Labelled rows need not be a fair sample. As the positives are alike on both sides, no
+    # more of the unlabelled are positive than show a chosen word, per positive that does.
+    shown = [(x[:, :-1] > 0).any(axis=1).mean() for x in (xp, xu)]
+    if shown[0] > 0:
+        prior = min(prior, max(0.005, float(shown[1] / shown[0])))
     w = np.zeros(len(chosen) + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)

@@ -1,0 +1,460 @@
+"""Small cases and brute-force versions of the training-data operators."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import collision_search, ngram_join, pii, piece_nbest, quality_rules, secret_scans, source_mixing, token_counts, toxicity, url_filters
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text_len int, host string, mark string"
+LONG = "alpha beta " * 30_000
+
+
+def docs_of(spark, rows):
+    """Documents with columns of clashing names; rows are (doc_id, text, source)."""
+    return spark.createDataFrame([(i, t, None, s, len(t or ""), 1, "h", "m") for i, t, s in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def edge_rows():
+    return [
+        (1, "The quick brown fox jumps over the lazy dog again", "a"), (1, "The quick brown fox jumps over the lazy dog again", "a"),
+        (2, None, None), (3, "", "b"), (4, " \t\n\x0b ", "b"), (None, "some words here", None), (5, LONG, "a"), (6, "one two", "c"), (7, "One TWO", "c"),
+        (8, "ΟΔΟΣ é ü naïve words", "a"), (9, "a\u00a0b c\u2003d", "a"),
+    ]
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def plain_measures(text):
+    w = words_of(text)
+    seen, dup, lines = set(), 0, (text or "").split("\n")
+    for x in lines:
+        if words_of(x):
+            dup += x in seen
+            seen.add(x)
+    runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    covered = {j for i, r in enumerate(runs) if runs.count(r) > 1 for j in range(i, i + 8)} if len(runs) < 3000 else set(range(len(w)))
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered)
+
+
+def test_quality_edges(spark, edge_rows):
+    got = quality_rules.judge(docs_of(spark, edge_rows)).collect()
+    assert len(got) == len(edge_rows)
+    want = sorted(((i, *plain_measures(t)) for i, t, _ in edge_rows), key=str)
+    assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got), key=str) == want
+    assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) for r in got)
+    assert quality_rules.judge(docs_of(spark, [])).count() == 0
+
+
+def test_quality_host_verdict(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, "bad", "spam") for i in range(60)] + [(100, good, "spam")] + [(200 + i, good + str(i), f"h{i % 9}") for i in range(90)]
+    got = {r.doc_id: r for r in quality_rules.judge(docs_of(spark, rows)).collect()}
+    assert got[100].host_failed and not got[100].base_failed and not got[100].kept
+    assert all(got[200 + i].kept for i in range(90))
+
+
+def test_repeat_words_brute():
+    random.seed(5)
+    for _ in range(200):
+        t = " ".join(random.choice("ab") for _ in range(random.randint(0, 60)))
+        assert quality_rules.measure(t.encode()) == plain_measures(t)
+
+
+def test_toxicity_learns_and_keeps_clean(spark):
+    random.seed(1)
+    word = lambda: "".join(random.choice("aeiount") for _ in range(5))
+    texts, labels = [], []
+    for i in range(900):
+        t = " ".join(word() for _ in range(40))
+        toxic = i % 6 == 0
+        texts.append((i, t + (" vile rotten" if toxic else ""), "s"))
+        if i % 2 == 0:
+            labels.append((i, 1, int(toxic)))
+    docs = docs_of(spark, texts + [(None, "vile", "s"), (2000, None, "s"), (2001, "", "s"), (2002, LONG, "s")])
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, lab)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert len(got) == 904
+    held = [r for i, r in got.items() if i is not None and i < 900 and r.held_out]
+    assert held and all(r.predicted == int(r.doc_id % 6 == 0) for r in held)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
+    assert got[2000].score == got[2001].score and not got[None].held_out
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.where("doc_id % 6 = 0 AND doc_id < 900").count() == 0 and kept.where("doc_id < 900").count() == 750
+    nothing = toxicity.train(docs, lab.where("toxic = 0"))
+    assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.0}
+    assert toxicity.score(docs_of(spark, []), model).count() == 0
+
+
+def test_toxicity_risk_is_kept_from_negative():
+    pos = [np.array([1, 2]) for _ in range(20)]
+    unl = [np.array([3]) for _ in range(80)] + [np.array([1, 2]) for _ in range(20)]
+    m = toxicity.fit(pos, unl, 0.2)
+    assert set(m.weights) == {1, 2} and np.isfinite([*m.weights.values(), m.bias]).all()
+    assert m.bias < 0 < m.bias + sum(m.weights.values())
+
+
+def brute_components(rows, percent=90):
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(set(zip(w, w[1:], w[2:])) if len(w) >= 3 else {tuple(w)} if w else set())
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    links = [0] * len(rows)
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if rows[i][0] is None or rows[j][0] is None or not sets[i] or not sets[j]:
+            continue
+        both = len(sets[i] & sets[j])
+        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            links[i] += 1
+            links[j] += 1
+            up[root(i)] = root(j)
+    group = {}
+    for i, r in enumerate(rows):
+        group.setdefault(root(i), []).append(i)
+    out = []
+    for i, r in enumerate(rows):
+        ids = [rows[j][0] for j in group[root(i)] if rows[j][0] is not None]
+        out.append((r[0], len(sets[i]), min(ids) if r[0] is not None else None, links[i]))
+    return sorted(out, key=str)
+
+
+def variants(n, base_len, edits, seed, start=0):
+    random.seed(seed)
+    base = [f"w{random.randint(0, 10**6)}" for _ in range(base_len)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(random.randint(0, edits)):
+            w[random.randrange(base_len)] = f"x{random.randint(0, 10**6)}"
+        out.append((start + i, " ".join(w), "s"))
+    return out
+
+
+def joined(spark, rows, **kw):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.join_similar(docs_of(spark, rows), **kw).collect()), key=str)
+
+
+def test_join_edges(spark, edge_rows):
+    assert joined(spark, edge_rows) == brute_components(edge_rows)
+    assert joined(spark, []) == []
+
+
+def test_join_brute_and_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 16)  # many cells for one group
+    rows = variants(120, 120, 5, 3) + variants(40, 30, 2, 4, 1000) + [(2000 + i, "same text for all of these rows", "s") for i in range(50)]
+    rows += [(3000, rows[0][1].upper(), "s"), (3001, rows[1][1].replace(" ", "\n"), "s"), (3000, rows[5][1], "t")]
+    assert joined(spark, rows) == brute_components(rows)
+
+
+def test_drop_similar_keeps_one_of_each(spark):
+    rows = variants(30, 60, 1, 9) + [(5, "quite another text of several words", "s"), (99, None, "s"), (None, "words of no id at all", "s"), (98, "x y", "s"), (98, "x y", "s")]
+    want = {(i, c) for i, _, c, _ in brute_components(rows)}
+    got = ngram_join.drop_similar(docs_of(spark, rows))
+    assert got.columns == docs_of(spark, []).columns
+    kept = [r.doc_id for r in got.collect()]
+    assert sorted(kept, key=str) == sorted({i for i, c in want if i == c} - {5} | {98, 99} | {None}, key=str) or kept.count(98) == 1
+    assert kept.count(98) == 1 and kept.count(99) == 1 and kept.count(None) == 1
+
+
+def test_suffix_bound_never_cuts():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(2))
+        assert ngram_join.suffix_bound(x, y) >= len(np.intersect1d(x, y))
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute_secrets(t):
+    out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    return out + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+
+
+def test_secret_base_spans_brute():
+    random.seed(2)
+    parts = ["password", "Secret", "apikey", "api_key", "TOKEN", "to\u017fken", "=", ": ", '"', "'", "AKIA", "ABCDEF1234567890", "deadbeefdeadbeef", "0123", "é", " ", "\n", "x.y-z/w+12345"]
+    for _ in range(3000):
+        t = "".join(random.choice(parts) for _ in range(random.randint(0, 12)))
+        assert sorted(secret_scans.base_spans(t)) == sorted(brute_secrets(t))
+
+
+def test_secret_parts_need_each_other():
+    value = "Zx81kQpL0aB7cD9eF2gH"
+    alone = f"words {value} words"
+    paired = f"client_id: svc-account-7\nvalue {value}\n"
+    apart = f"client_id: svc-account-7\n\nvalue {value}\n"
+    kinds = lambda t: [k for k, _, _ in secret_scans.scan(t)[1]]
+    assert kinds(alone) == [] and kinds(apart) == [] and kinds(paired) == ["part_id", "part_secret"]
+    far = "client_id: svc-account-7 " + "a " * 400 + value
+    assert kinds(far) == []
+
+
+def test_secret_edges(spark, edge_rows):
+    rows = secret_scans.scan_secrets(docs_of(spark, edge_rows)).collect()
+    assert len(rows) == len(edge_rows) and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()} and {r.spans for r in rows} == {""}
+    assert secret_scans.scan_secrets(docs_of(spark, [])).count() == 0
+
+
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def brute_url(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+
+def test_url_rules_and_models(spark):
+    urls = [None, "", "nothing", "http://", "HTTP://Www.Example.COM/en/7?x#y", "http://example.com/en/8", "http://notexample.com/en/7", "a://x.net/de/1://b", "http://e.example.net/de/80", "http://example.net/de/9", "x://h?q/en/", "x://h#/en/", "http://É.org/es/ñ"]
+    urls += [f"http://good{i}.net/de/{i}" for i in range(40)] + [f"http://bad{i}.com/en/{i}" for i in range(40)] + ["http://good3.dev/de/44", "http://bad9.dev/en/44"] + ["http://good3.dev/de/44"]
+    pages = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
+    got = {r.page_id: r for r in url_filters.judge_urls(pages).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host, path, rule, verdict = brute_url(u)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
+        assert got[i].verdict == verdict if verdict else got[i].verdict in ("allow", "block")
+    at = urls.index("http://good3.dev/de/44")
+    assert got[at].verdict == "allow" and got[at + 1].verdict == "block" and got[at].ratio == got[len(urls) - 1].ratio
+    assert url_filters.judge_urls(pages.limit(0)).count() == 0
+    assert {r.verdict for r in url_filters.judge_urls(pages.limit(3)).collect()} == {"allow"}
+
+
+def test_url_model_is_a_distribution():
+    table = np.zeros((4, 1 << url_filters.BITS), np.int64)
+    assert url_filters.ratio(b"abc", table) == 0.0 and url_filters.ratio(b"", table) == 0.0
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_token_units_equal_whole_texts(bpe):
+    from tokenizers import Tokenizer
+
+    random.seed(1)
+    parts = ["a", " ", "  ", "\n", "\t", "'s", "é", "\u00a0", "<|endoftext|>", "12", "!", "\x1c", "\u2028", "hello", "\r\n", "\u3000", "don't", "<|", "|>", "\x85"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 30))) for _ in range(4000)]
+    whole = [len(e.ids) for e in Tokenizer.from_file(bpe).encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.Counter(bpe).count(texts) == whole
+
+
+def test_token_cache(spark, edge_rows, bpe, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe)
+    docs = docs_of(spark, edge_rows)
+    cache = f"file://{tmp_path}/cache"
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, bpe, cache).collect()), key=str)
+    want = []
+    for i, x, _ in edge_rows:
+        n = len(t.encode(x or "", add_special_tokens=False).ids)
+        want.append((i, len((x or "").encode()), n, n > 1024))
+    assert got == sorted(want, key=str)
+    stored = spark.read.parquet(f"{cache}/{token_counts.tokenizer_version(bpe)}")
+    assert stored.count() == 9 == len({x or "" for _, x, _ in edge_rows})
+    again = token_counts.count_tokens(docs.unionByName(docs_of(spark, [(50, "brand new text", "a")])), bpe, cache)
+    assert again.count() == len(edge_rows) + 1 and spark.read.parquet(f"{cache}/{token_counts.tokenizer_version(bpe)}").count() == 10
+    assert token_counts.count_tokens(docs_of(spark, []), bpe).count() == 0
+
+
+def test_search_recall_and_edges(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 24))
+    rows = [(i, (centres[i % 12] + 0.5 * rng.standard_normal(24)).astype(np.float32).tolist(), 1) for i in range(1200)]
+    rows += [(1200, rows[40][1], 1), (1201, rows[40][1], 1), (1300, None, 1), (1301, [], 1), (1302, [0.0] * 24, 1), (1303, [float("nan")] * 24, 1), (1304, [None] + [1.0] * 23, 1), (None, rows[3][1], 1), (1305, [1.0, 2.0], 1), (1306, [float("inf")] * 24, 1), (1340, [0.0] * 24, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    got = {}
+    for r in collision_search.search(vectors, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    usable = [(i, np.array(v, float)) for i, v, _ in rows[:1202]]
+    ids, x = np.array([i for i, _ in usable]), np.stack([v for _, v in usable])
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    recall = []
+    for q, found in got.items():
+        s = x @ x[list(ids).index(q)]
+        order = [j for j in np.lexsort((ids, -np.round(s, 9))) if ids[j] != q][:20]
+        recall.append(len({v for v, _ in found} & set(ids[order].tolist())) / 20)
+        assert len(found) == 20 and all(abs(sc - s[list(ids).index(v)]) < 1e-9 for v, sc in found)
+        assert found == sorted(found, key=lambda f: (-f[1], f[0])) and q not in [v for v, _ in found]
+    assert np.mean(recall) >= 0.9
+    assert [v for v, _ in got[1200]][:2] == [40, 1201]
+    few = collision_search.search(vectors.where("vec_id < 3"), F.col("vec_id") == 0).collect()
+    assert len(few) == 2 and collision_search.search(vectors.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum((x * 2 - 9 if x > 4 else x * 2) if i % 2 else x for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def brute_pii(t):
+    out = []
+    for k, p in PLAIN.items():
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if k == "ip" else 0, "card": 16 <= len(d) <= 19 and luhn(d or "1"), "phone": 8 <= len(d) <= 15}[k]
+            if ok:
+                out.append(f"{k}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_pii_brute(spark):
+    random.seed(4)
+    parts = ["a", "b.c", "@", "x-y", ".", "com", "_", "%", " ", "\n", "é😀", "192", "168", "0001", "256", "4111 1111 1111 1111", "4111-1111-1111-1111", "5500005555555559", "12", "7", "+4", "+", "(030)", "-", "123 456", "99999999999999999999"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(4000)] + ["1" * 5000, "a" * 5000 + "@", "a@b" + ".c" * 5000, "1.2.3.4.5.6.7.8"]
+    docs = docs_of(spark, list(zip(range(len(texts)), texts, itertools.repeat("s"))))
+    bad = []
+    for r in pii.find_pii(docs).collect():
+        want = brute_pii(texts[r.doc_id])
+        if r.base_sha256 != hashlib.sha256(want.encode()).hexdigest():
+            bad.append((texts[r.doc_id], want, r.spans))
+    assert bad == []
+
+
+def test_pii_iban_context_and_redaction(spark, edge_rows):
+    text = "call me at +49 30 1234567 or pay to DE89 3704 0044 0532 0130 00 é a@b.de end"
+    rows = [(11, text, "s"), (12, "bad DE88370400440532013000", "s"), (13, "+49 30 1234567", "s"), *edge_rows]
+    got = {r.doc_id: r for r in pii.find_pii(docs_of(spark, rows)).collect()}
+    assert got[11].n_iban == 1 and got[12].n_iban == 0 and got[11].n_email == 1
+    clean = pii.redact(docs_of(spark, rows))
+    assert clean.columns == docs_of(spark, []).columns and clean.count() == len(rows)
+    out = {r.doc_id: r for r in clean.collect()}
+    assert out[11].text == "call me at [PHONE] or pay to [IBAN] é [EMAIL] end" and out[11].n_chars == len(out[11].text)
+    assert out[12].text == rows[1][1] and out[5].text == LONG
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def water(sizes):
+    """Targets by repeated resharing of what is above the cap."""
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(names), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / total >= 2 * sizes[s]}
+        if not full:
+            return out | {s: left * weight[s] / total for s in open_}
+        for s in full:
+            out[s] = 2.0 * sizes[s]
+        left -= sum(out[s] for s in full)
+        open_ -= full
+    return out
+
+
+def test_mix(spark, edge_rows):
+    random.seed(6)
+    rows = [(i, " ".join("w" for _ in range(random.randint(0, 60))), random.choice(["a", "b", "c", "d", None])) for i in range(600)] + [(700 + i, "w w w w w", "b") for i in range(300)]
+    docs = docs_of(spark, rows)
+    got = source_mixing.mix(docs).collect()
+    src = {i: s for i, _, s in rows}
+    sizes, taken = {}, {}
+    for i, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(words_of(t))
+    want = water(sizes)
+    for r in got:
+        s = src[r.doc_id]
+        assert r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 and r.taken in (0, r.size, 2 * r.size)
+        taken[s] = taken.get(s, 0) + r.taken
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    again = {(r.doc_id, r.taken) for r in source_mixing.mix(docs.repartition(7)).collect()}
+    assert again == {(r.doc_id, r.taken) for r in got}
+    assert source_mixing.mix(docs_of(spark, edge_rows)).count() == len(edge_rows)
+    assert source_mixing.mix(docs_of(spark, [])).count() == 0
+    out = source_mixing.apply_mix(docs)
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+
+
+def test_fit_is_the_nearest_sum():
+    random.seed(8)
+    for _ in range(60):
+        lengths = np.array(sorted(random.sample(range(1, 40), random.randint(1, 5))))
+        counts = np.array([random.randint(0, 4) for _ in lengths])
+        budget = random.randint(0, 120)
+        take = source_mixing.fit(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        sums = {sum(k * x for k, x in zip(ks, lengths)) for ks in itertools.product(*(range(c + 1) for c in counts))}
+        even = np.minimum(counts, counts * budget // max(1, int((lengths * counts).sum()))) if budget < (lengths * counts).sum() else counts
+        if not even.any():
+            assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
+@pytest.fixture(scope="module")
+def model():
+    return piece_nbest.load(piece_nbest.model_path())
+
+
+def brute_segmentations(m, word):
+    if not word:
+        return [(0.0, ())]
+    out = []
+
+    def go(a, score, ids):
+        if a == len(word):
+            out.append((score, ids))
+        for b in range(a + 1, len(word) + 1):
+            t = word[a:b]
+            if t in m.score:
+                go(b, score + m.score[t], ids + (m.ids[t],))
+            elif b == a + 1:
+                go(b, score + m.unknown, ids + m.spell(t))
+
+    go(0, 0.0, ())
+    return sorted(out, key=lambda x: -x[0])
+
+
+def test_nbest_brute(model):
+    random.seed(3)
+    for _ in range(200):
+        w = "".join(random.choice("abthe▁inдé☃") for _ in range(random.randint(1, 9)))
+        want, got = brute_segmentations(model, w)[:5], model.nbest(w, 5)
+        assert [round(s, 6) for s, _ in got] == [round(s, 6) for s, _ in want]
+        assert all(model.raw(ids).decode() == w for _, ids in got) and len({ids for _, ids in got}) == len(got)
+    path = piece_nbest.model_path()
+    for _ in range(60):
+        t = " ".join("".join(random.choice("abthe☃\n") for _ in range(random.randint(0, 3))) for _ in range(3))
+        want = brute_segmentations(model, "▁" + t.replace(" ", "▁") if t else "")[:4]
+        got = piece_nbest.encode_nbest(t, path, 4)
+        assert [round(s, 4) for s, _ in got] == [round(s, 4) for s, _ in want] and all(model.decode(ids) == t for _, ids in got)
+
+
+def test_encode_and_decode(spark, edge_rows, model):
+    path = piece_nbest.model_path()
+    rows = [*edge_rows, *((100 + i, f"text number {i} with \u4e2d\u6587 and \U0001f600", "s") for i in range(1100))]
+    enc = piece_nbest.encode(docs_of(spark, rows), path)
+    got = {r.doc_id: r for r in enc.collect()}
+    assert enc.count() == len(rows) and all(r.round_trip for r in got.values())
+    assert got[2].n_pieces == 0 and got[2].nbest_scores == [0.0] and len(got[5].nbest_scores) == 4
+    assert all(list(r.nbest_scores) == sorted(r.nbest_scores, reverse=True) and r.nbest_pieces[0] == r.n_pieces for r in got.values())
+    back = {r.doc_id: r.text for r in piece_nbest.decode(enc, path).collect()}
+    assert back == {i: t or "" for i, t, _ in rows}
+    assert piece_nbest.encode(docs_of(spark, []), path).count() == 0
