@@ -159,7 +159,7 @@ def find(nodes: DataFrame, pattern: str, skeletons: DataFrame | None = None) ->
         for alt in alts:
             for line, captures in hits(alt, rows):
                 seen.setdefault(line, captures)
-        return pd.DataFrame({"path": pdf["path"].iloc[0], "line": list(seen), "captures": list(seen.values())})
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]] * len(seen), "line": list(seen), "captures": pd.Series(list(seen.values()), dtype=object)})
 
     simple = all(len(a) == 1 for a in alts)
     if not simple:

@@ -186,7 +186,7 @@ RULES = [
     ("type", re.compile(rf"\btype\s+{NAME}\s*[=<]")),
     ("module", re.compile(rf"\b(?:mod|namespace|package)\s+{NAME}")),
     ("constant", re.compile(rf"\bconst\s+(?:int\s+|auto\s+)?{NAME}\s*[:=]")),
-    ("function", re.compile(rf"^\s*(?:(?:public|private|protected|internal|static|final|virtual|override|async|inline|extern|unsigned|const)\s+)*[A-Za-z_][\w:<>,\s\*&\[\]]*?[\s\*&]{NAME}\s*\([^;{{}}]*\)\s*(?:const\s*)?(?:\{{|$)")),
+    ("function", re.compile(rf"^\s*(?!(?:return|else|new|throw|await|yield|case|delete|goto|use|import)\b)(?:(?:public|private|protected|internal|static|final|virtual|override|async|inline|extern|unsigned|const)\s+)*[A-Za-z_][\w:<>,\s\*&\[\]]*?[\s\*&]{NAME}\s*\([^;{{}}]*\)\s*(?:const\s*)?(?:\{{|$)")),
 ]
 PARENTS = [
     re.compile(rf"\b(?:class|interface|struct)\s+{NAME}[^{{]*?\b(extends|implements)\s+([\w.,\s]+?)(?=\bimplements\b|\{{|$)"),
@@ -206,16 +206,17 @@ def _blank(text: str, hashes: bool) -> str:
 
 
 def _end(lines: list[str], at: int) -> int:
-    """The last line of the block that opens on line ``at`` or the next two, else the line itself."""
+    """The last line of the block that opens on line ``at``, or at the start of the next; else the line itself."""
+    opens = "{" in lines[at - 1] or (at < len(lines) and lines[at].lstrip().startswith("{"))
+    if not opens:
+        return at
     depth, opened = 0, False
     for i in range(at - 1, len(lines)):
         depth += lines[i].count("{") - lines[i].count("}")
         opened = opened or "{" in lines[i]
         if opened and depth <= 0:
             return i + 1
-        if not opened and (i >= at + 1 or lines[i].rstrip().endswith(";")):
-            return at
-    return len(lines) if opened else at
+    return len(lines)
 
 
 def parse_rules(text: str, lang: str) -> Parsed:

@@ -77,9 +77,14 @@ def watch(spark: SparkSession, folder: str, catalog: Catalog, checkpoint: str, t
     return writer.trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """Events with a watermark if they stream; watermarks need times with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of events (ts, event_type, value) by window and type; works on streams and tables."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     return marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
         F.col("w.start").alias("window_start"), "event_type", "n", "total"
     )
@@ -87,7 +92,7 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of users (ts, user_id): events that follow each other within ``gap``."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     return marked.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(
         "user_id", F.col("w.start").alias("session_start"), "n"
     )
