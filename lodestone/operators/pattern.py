@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -155,15 +156,11 @@ def find(nodes: DataFrame, pattern: str, skeletons: DataFrame | None = None) ->
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(pdf["line"], pdf["node_text"]))
-        seen: dict[int, dict[str, str]] = {}
+        seen: dict[int, str] = {}
         for alt in alts:
             for line, captures in hits(alt, rows):
-                seen.setdefault(line, captures)
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]] * len(seen), "line": list(seen), "captures": pd.Series(list(seen.values()), dtype=object)})
-
-    simple = all(len(a) == 1 for a in alts)
-    if not simple:
-        return nodes.select("path", "line", "node_text").groupBy("path").applyInPandas(run, "path string, line int, captures map<string,string>")
+                seen.setdefault(line, json.dumps(captures))
+        return pd.DataFrame([(pdf["path"].iloc[0], *x) for x in seen.items()], columns=["path", "line", "captures"])
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -171,10 +168,13 @@ def find(nodes: DataFrame, pattern: str, skeletons: DataFrame | None = None) ->
             for path, line, text in zip(pdf["path"], pdf["line"], pdf["node_text"]):
                 for alt in alts:
                     if (c := match(alt[0], text)) is not None:
-                        out.append((path, line, c))
+                        out.append((path, line, json.dumps(c)))
                         break
             yield pd.DataFrame(out, columns=["path", "line", "captures"])
 
-    made = nodes.select("path", "line", "node_text").mapInPandas(stream, "path string, line int, captures map<string,string>")
-    keyed = made.withColumn("order", F.to_json("captures"))
-    return keyed.groupBy("path", "line").agg(F.min_by("captures", "order").alias("captures"))
+    rows, kinds = nodes.select("path", "line", "node_text"), "path string, line int, captures string"
+    if all(len(a) == 1 for a in alts):  # no file has to come together
+        made = rows.mapInPandas(stream, kinds).groupBy("path", "line").agg(F.min("captures").alias("captures"))
+    else:
+        made = rows.groupBy("path").applyInPandas(run, kinds)
+    return made.select("path", "line", F.from_json("captures", "map<string,string>").alias("captures"))

@@ -188,11 +188,14 @@ RULES = [
     ("constant", re.compile(rf"\bconst\s+(?:int\s+|auto\s+)?{NAME}\s*[:=]")),
     ("function", re.compile(rf"^\s*(?!(?:return|else|new|throw|await|yield|case|delete|goto|use|import)\b)(?:(?:public|private|protected|internal|static|final|virtual|override|async|inline|extern|unsigned|const)\s+)*[A-Za-z_][\w:<>,\s\*&\[\]]*?[\s\*&]{NAME}\s*\([^;{{}}]*\)\s*(?:const\s*)?(?:\{{|$)")),
 ]
+TYPE = rf"\b(?:class|interface|struct)\s+{NAME}"
+#: relation -> how a line tells (child, parents).
 PARENTS = [
-    re.compile(rf"\b(?:class|interface|struct)\s+{NAME}[^{{]*?\b(extends|implements)\s+([\w.,\s]+?)(?=\bimplements\b|\{{|$)"),
-    re.compile(rf"\bimpl(?:<[^>]*>)?\s+(?P<trait>[\w:]+)(?:<[^>]*>)?\s+for\s+(?P<type>\w+)"),
-    re.compile(rf"\b(?:class|struct)\s+{NAME}\s*(?:\([^)]*\))?\s*:\s*([^{{]+)"),
+    ("extends", re.compile(rf"{TYPE}[^{{]*?\bextends\s+([\w.,\s]+?)(?=\bimplements\b|\{{|$)")),
+    ("implements", re.compile(rf"{TYPE}[^{{]*?\bimplements\s+([\w.,\s]+?)(?=\{{|$)")),
+    ("extends", re.compile(rf"{TYPE}\s*(?:\([^)]*\)\s*)?:\s*([^{{]+)")),
 ]
+IMPL = re.compile(r"\bimpl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s+(\w+)")
 INCLUDE = re.compile(r'^\s*#\s*include\s+"([^"]+)"')
 IMPORT = re.compile(r"^\s*(?:use|import|from|require|using)\s+([\w.:/*{}\", ]+)")
 CALL = re.compile(rf"{NAME}\s*(?:::<[^>]*>)?\(")
@@ -231,14 +234,12 @@ def parse_rules(text: str, lang: str) -> Parsed:
                 out.symbols.append((m[1], kind, no, end, first_line(raw, no), doc_above(raw, no), body))
                 out.skeletons.append((kind, None, m[1], no - 1, end - 1, end > no or "{" in line))
                 break
-        for rule in PARENTS:
-            for m in rule.finditer(line):
-                if "trait" in rule.groupindex:
-                    out.hierarchy.append((m["type"], m["trait"].split("::")[-1], "implements", no))
-                else:
-                    relation = m[2] if rule is PARENTS[0] else "extends"
-                    for p in WORD.findall(re.sub(r"\b(?:public|private|protected|virtual)\b|\b\w+::", "", m[m.lastindex])):
-                        out.hierarchy.append((m[1], p, relation, no))
+        for relation, rule in PARENTS:
+            if m := rule.search(line):
+                for p in WORD.findall(re.sub(r"\b(?:public|private|protected|virtual)\b|\b\w+::", "", m[2])):
+                    out.hierarchy.append((m[1], p, relation, no))
+        if m := IMPL.search(line):
+            out.hierarchy.append((m[2], m[1].split("::")[-1], "implements", no))
         if m := INCLUDE.match(raw[no - 1]):
             out.includes.append((m[1], no))
         if m := IMPORT.match(line):
