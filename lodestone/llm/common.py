@@ -1,4 +1,4 @@
-"""What the operators of this package share: the shared folder, stashed tables, words.
+"""What the operators of this package share: stashed tables, keys, words and their hashes.
 
 Words are maximal runs of characters other than space and U+0009..U+000D. On UTF-8
 bytes that is exactly ``bytes.split()``, and ``bytes.lower()`` lowers A-Z alone, so
@@ -7,55 +7,15 @@ the Python parts of the operators take text as binary.
 
 from __future__ import annotations
 
-import os
-import pathlib
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.sources.storage import prepare, shared_dir, stash  # noqa: F401
+
 #: The word pattern in the syntax of Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    A folder of our own is taken only where that setting is unset, as in local tests.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="lodestone-"))
-    return _OWN_DIR[0]
-
-
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    root = str(pathlib.Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Lineage ends there, a lost executor costs nothing that was stashed, and the reader
-    has no partitioning left over, so a later join by a hot key keeps an exchange of its
-    own on each side, which adaptive execution can split.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def text_bytes(col: str = "text") -> Column:
     """A text column as UTF-8 bytes; null is the empty text."""

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import hash_words, mix, prepare, roll, stash, text_bytes
+from lodestone.operators.graph import connected_components
 
 WIDTH = 3
 BITS = 19
@@ -267,40 +268,6 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node that it reaches) of every node of ``edges`` (a, b).
-
-    Alternating star contraction: every node's larger neighbours, then its smaller ones,
-    are hung on its least neighbour, until nothing changes. Each round is written out; the
-    joins read plain tables, so a hub's neighbours can be split between tasks.
-    """
-
-    def contract(e: DataFrame, both: bool) -> DataFrame:
-        pairs = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else e
-        # In small-star each node looks at smaller ones only: edges go from larger to smaller.
-        least = stash(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        seen = pairs.join(least, "a")
-        if both:
-            out = seen.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = seen.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return stash(out.where("a <> b").distinct(), "star")
-
-    def sign(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return tuple(r)
-
-    e = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = sign(e)
-    while before[0]:
-        e = contract(contract(e, True), False)
-        after = sign(e)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (documents linked with it) of every row."""
     spark = docs.sparkSession
@@ -352,18 +319,18 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
         dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_lister(percent), "token long, a int, b int, mark binary, partners binary"),
         "listed",
     )
-    wanted = stash(listed.select("mark").distinct().join(groups, "mark"), "wanted")
-    bodies = stash(texts.join(wanted.hint("merge"), "doc_id").select("mark", "copies", "text"), "bodies")
+    # Texts come to the listed rows by id and go straight on to their cells.
+    wanted = stash(listed.join(groups.hint("merge"), "mark"), "wanted")
     links = stash(
-        listed.join(bodies.hint("merge"), "mark")
+        texts.join(wanted.hint("merge"), "doc_id")
         .select(*cell, "mark", "partners", "copies", "text")
         .repartition(*cell)
         .sortWithinPartitions(*cell)
         .mapInArrow(_verifier(width, percent), "mark binary, root binary, links long"),
         "links",
     )
-    found = components(links.select(F.col("mark").alias("a"), F.col("root").alias("b")))
-    members = stash(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "mark"), "members")
+    found = connected_components(links.select(F.col("mark").alias("a"), F.col("root").alias("b")))
+    members = stash(found.withColumnRenamed("node", "mark"), "members")
     least = stash(members.join(groups, "mark").groupBy("root").agg(F.min("doc_id").alias("component")), "least")
     degrees = links.groupBy("mark").agg(F.sum("links").alias("links"))
     placed = stash(members.join(least, "root").join(degrees, "mark", "left").select("mark", "component", "links"), "placed")
