@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import hash_words, mix, prepare, roll, stash, text_bytes
@@ -280,29 +281,35 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
         texts.mapInArrow(_prefixer(counts, width, percent), "doc_id long, n_shingles long, mark binary, prefix array<long>"), "sets"
     )
     marked = sets.where("doc_id IS NOT NULL AND mark IS NOT NULL")
-    groups = stash(marked.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "groups")
+    # Sets are named by their least id, and a number where several share it, as long as there
+    # are rows for each shingle: small numbers shrink when they are shuffled, digests don't.
+    numbered = F.row_number().over(W.partitionBy("doc_id").orderBy("mark")) - 1
+    groups = stash(
+        marked.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("tie", numbered), "groups"
+    )
 
     # One document stands for each distinct set; repeated rows of it count once.
     reps = stash(
-        marked.select("doc_id", "mark", F.col("n_shingles").alias("n"), "prefix")
+        marked.select("doc_id", "mark", F.col("n_shingles").cast("int").alias("n"), "prefix")
         .join(groups.hint("merge"), ["doc_id", "mark"])
-        .dropDuplicates(["doc_id", "mark"]),
+        .dropDuplicates(["doc_id", "mark"])
+        .select("doc_id", "tie", "n", "prefix"),
         "reps",
     )
-    spread = reps.select("mark", "n", F.posexplode("prefix").alias("at", "token"))
+    spread = reps.select("doc_id", "tie", "n", F.posexplode("prefix").alias("at", "token"))
     # Shingles that the same sets share lead to the same pairs: the first of them stands for
-    # all. Such groups of sets are told by their number and a digest of their marks.
-    group = (F.count("*").alias("df"), F.bit_xor(F.xxhash64("mark")).alias("who"))
+    # all. Such groups of sets are told by their number and a digest of their names.
+    group = (F.count("*").alias("df"), F.bit_xor(F.xxhash64("doc_id", "tie")).alias("who"))
     shared = stash(spread.groupBy("token").agg(*group).where("df > 1"), "shared")
-    hits = stash(
+    hits = (
         spread.join(shared.hint("merge"), "token")
-        .repartition("mark")
-        .groupBy("mark", "n", "df", "who")
+        .repartition("doc_id", "tie")
+        .groupBy("doc_id", "tie", "n", "df", "who")
         .agg(F.min(F.struct("at", "token")).alias("hit"))
-        .groupBy("mark", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("hit.at", "hit.token", "df"))).alias("hits")),
-        "hits",
+        .groupBy("doc_id", "tie", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("hit.at", "hit.token", "df"))).alias("hits"))
     )  # no more than a document's own prefix
+    hits = stash(hits.join(groups.hint("merge"), ["doc_id", "tie"]).select("mark", "n", "hits"), "hits")
     dealt = (
         hits.select("mark", "n", "hits", F.posexplode("hits").alias("k", "hit"))
         .select(
