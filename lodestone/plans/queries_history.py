@@ -300,7 +300,7 @@ def a6_coverage(spark, sf_dir):
     return reports.coverage(f, done)
 
 
-@query("SELECT doc_id, sum(length(text)) OVER (PARTITION BY source) AS total FROM documents")
+@query("SELECT doc_id, (sum(length(text)) OVER (PARTITION BY source))::BIGINT AS total FROM documents")
 def a3_score_sum(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"))
     totals = d.groupBy("source").agg(F.sum("n").alias("total"))
