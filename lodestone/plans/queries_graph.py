@@ -405,10 +405,7 @@ def c3_bundle_symbol(spark, sf_dir):
     return reports.bundle_symbol({"caller": callers, "callee": callees})
 
 
-t4_sql = f"""WITH {NAMED} SELECT least(count(*), 20)::BIGINT AS shown, count(*) > 20 AS more FROM calls WHERE callee < 40"""
-
-
-@query(t4_sql)
+@query(f"WITH {NAMED} SELECT least(count(*), 20)::BIGINT AS shown, count(*) > 20 AS more FROM calls WHERE callee < 40")
 def t4_probe_and_truncate(spark, sf_dir):
     probe = corpora.calls(spark, sf_dir).where("callee < 40").limit(21)
     return probe.agg(F.least(F.count("*"), F.lit(20)).alias("shown"), (F.count("*") > 20).alias("more"))
