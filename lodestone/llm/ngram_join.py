@@ -368,7 +368,7 @@ def drop_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
     kept = stash(
         found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_least"), F.count("*").alias("_rows")).where("_least = doc_id"), "kept"
     ).select(F.col("doc_id").alias("_kept"), "_rows")
-    stays = docs.join(kept, docs["doc_id"] == F.col("_kept"))
+    stays = docs.join(kept.hint("merge"), docs["doc_id"] == F.col("_kept"))  # as many rows as documents
     once = stays.where("_rows = 1").select(*docs.columns)
     many = stays.where("_rows > 1").withColumn("_digest", F.sha2(text_bytes(), 256)).dropDuplicates(["_kept", "_digest"]).select(*docs.columns)
     return once.unionByName(many).unionByName(docs.where("doc_id IS NULL"))

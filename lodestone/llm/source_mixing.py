@@ -179,7 +179,7 @@ def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
         mix(docs, seed).groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"), "mix"
     ).withColumnRenamed("doc_id", "_id").withColumnRenamed("size", "_size")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    taken = docs.withColumn("_words", size).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    taken = docs.withColumn("_words", size).join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
     place = F.row_number().over(W.partitionBy("_id", "_size").orderBy("text"))
     once = taken.where("_rows = 1")
     many = taken.where("_rows > 1").withColumn("_place", place)
