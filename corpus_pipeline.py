@@ -24,8 +24,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies."""
-    return ngram_join.drop_similar(docs)
+    """One document of each group of exact and near copies: five-word shingles, a similarity of 0.8."""
+    return ngram_join.drop_similar(docs, percent=80, width=5)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
