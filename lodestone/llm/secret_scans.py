@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,13 +55,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def weak_parts(text: str) -> list[tuple[str, int, int]]:
+def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     out = []
     if ":" in text or "=" in text:
         out += [("part_id", m.start(), m.end()) for m in IDENT.finditer(text)]
     if "://" in text:
         out += [("part_endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    if out:  # values alone are never reported
+    if out or any(k == "access" for k, _, _ in base):  # values alone are never reported
         for m in OPAQUE.finditer(text):
             v = m[0]
             if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and _entropy(v) >= ENTROPY:
@@ -93,14 +93,18 @@ def link(text: str, base: list[tuple[str, int, int]], weak: list[tuple[str, int,
 
     role = {"assign": "secret", "hex": "secret", "access": "id", "part_id": "id", "part_secret": "secret", "part_endpoint": "id"}
     parts = sorted((s, e, k) for k, s, e in base + weak if k != "part_secret" or free(s))
+    ids = [s for s, _, k in parts if role[k] == "id"]
     last: dict[tuple[int, str], int] = {}
     linked: set[int] = set()
     for order in (range(len(parts)), range(len(parts) - 1, -1, -1)):
         last.clear()
         for i in order:
-            s, _, k = parts[i]
+            s, e, k = parts[i]
             scope, mine = bisect_right(cuts, s), role[k]
             other = last.get((scope, "secret" if mine == "id" else "id"))
+            if k == "part_secret" and other is not None and s < other < e:  # an id within the value is no other part
+                j = bisect_left(ids, e)
+                other = ids[j] if j < len(ids) and bisect_right(cuts, ids[j]) == scope else None
             if other is not None and abs(other - s) <= SCOPE:
                 linked.add(i)
             last[scope, mine] = s
@@ -114,7 +118,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and linked weak spans of one text, as (kind, start, end) in code points."""
     base = base_spans(text)
-    return base, link(text, base, weak_parts(text))
+    return base, link(text, base, weak_parts(text, base))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
