@@ -27,7 +27,7 @@ SHARE = 1.5
 MOST = 2.0
 #: Slots that a hash deals the documents of one length to, so that no length is hot.
 SLOTS = 512
-#: The knapsack closes a gap of at most so many words; larger ones are closed by share.
+#: The knapsack closes a gap of so many words, or of two longest documents; larger ones are closed by share.
 GAP = 1 << 16
 
 
@@ -71,6 +71,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
     An even share of every length leaves a gap below the longest document times the number
     of lengths; a bounded knapsack over what is left, as sets of reachable sums, closes it.
+    Its table is at least twice the longest document wide, so that long ones are weighed too.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
@@ -81,17 +82,17 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     gap = budget - int((take * lengths).sum())
     rest = counts - take
     # Long documents first, while the gap is wider than the knapsack's table.
+    width = max(GAP, 2 * int(lengths.max()))
     for i in np.argsort(-lengths, kind="stable"):
-        if gap <= GAP:
+        if gap <= width:
             break
-        more = min(int(rest[i]), (gap - GAP // 2) // int(lengths[i]) if gap - GAP // 2 > 0 else 0)
+        more = min(int(rest[i]), (gap - width // 2) // int(lengths[i]))
         take[i] += more
         rest[i] -= more
         gap -= more * int(lengths[i])
     if gap > 0:
-        top = min(gap, GAP) + int(lengths.max()) if lengths.max() <= GAP else min(gap, GAP)
-        made = _knapsack(lengths, rest, min(gap, GAP), int(top))
-        take = take + made
+        # Sums of twice the gap and more are no nearer than none.
+        take = take + _knapsack(lengths, rest, gap, gap + min(gap, int(lengths.max())))
     return take
 
 
@@ -114,12 +115,9 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, goal: int, top: int) -> n
             step *= 2
         if reach >> goal & 1:
             break
-    low = goal
-    while not reach >> low & 1:
-        low -= 1
-    high = goal
-    while high <= top and not reach >> high & 1:
-        high += 1
+    low = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = reach >> goal
+    high = goal + (above & -above).bit_length() - 1 if above else top + 1
     at = high if high <= top and high - goal < goal - low else low
     out = np.zeros(len(lengths), np.int64)
     for (i, k), before in zip(reversed(parts), reversed(states[:-1])):

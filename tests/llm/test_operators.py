@@ -422,6 +422,29 @@ def test_fit_is_the_nearest_sum():
             assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
 
 
+def test_fit_of_long_documents():
+    take = lambda lengths, counts, budget: source_mixing.fit(np.array(lengths), np.array(counts), budget).tolist()
+    assert take([60_000], [1], 54_000) == [1] and take([100_000], [1], 90_000) == [1] and take([100_000], [1], 40_000) == [0]
+    assert take([10**6], [1], 60_000) == [0] and take([10**6], [1], 600_000) == [1] and take([66_000, 70_000], [1, 1], 65_000) == [1, 0]
+    random.seed(9)
+    assert take([200_000, 150_000], [1, 3], 299_000) == [0, 2]
+    for _ in range(200):
+        budget = random.randint(1, 140_000)
+        lengths = random.sample(range(max(65_537, budget // 2 + 1), 300_000), random.randint(1, 4))
+        counts = [random.randint(1, 2) for _ in lengths]
+        got = sum(k * x for k, x in zip(take(lengths, counts, budget), lengths))
+        sums = {sum(k * x for k, x in zip(ks, lengths)) for ks in itertools.product(*(range(c + 1) for c in counts))}
+        even = [c * budget // sum(c * x for c, x in zip(counts, lengths)) for c in counts]
+        assert any(even) or abs(got - budget) == min(abs(s - budget) for s in sums), (lengths, counts, budget)
+
+
+def test_mix_of_one_long_document(spark):
+    rows = [(1, "w " * 100_000, "a"), (2, "w " * 100_000, "b"), (3, "w " * 1_000_000, "c")]
+    got = {r.doc_id: r for r in source_mixing.mix(docs_of(spark, rows)).collect()}
+    for r in got.values():
+        assert abs(r.taken - r.target) == min(abs(k * r.size - r.target) for k in range(3))
+
+
 @pytest.fixture(scope="module")
 def model():
     return piece_nbest.load(piece_nbest.model_path())
