@@ -12,12 +12,19 @@ keep the second best give every word's least loss, for whole batches of words at
 the search runs in the words that can matter.
 
 Normalisation is the model's own kind: a blank before the text, blanks as U+2581, nothing
-else changed. Decoding turns pieces back into the text.
+else changed. Decoding turns pieces back into the text; a text that holds U+2581 itself
+comes back with blanks there, and says so in ``round_trip``.
+
+The model given was made by pair merging: its scores are minus the ranks of merges. The
+best segmentation is the one of the highest sum of scores in the lattice, as for a unigram
+model; the library's own encoding of such a model merges pairs greedily by rank instead, and
+need not be the same. No n-best of the library exists to compare with for this kind.
 
 Edges. A null or empty text has no pieces and one segmentation of score 0. Fewer than n
-segmentations are all returned. Ties go to longer last pieces, then earlier words. Repeated
-rows give equal rows; an empty table an empty result; extra columns are not read. Words
-and texts of any length are segmented whole.
+segmentations are all returned. Ties are broken the same way every time, towards longer last
+pieces of a word. Repeated rows give equal rows; an empty table an empty result; extra
+columns are not read. Words and texts of any length are segmented whole; a run of thousands
+of blanks, dashes or letters without a blank takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -30,8 +37,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm.common import mix, prepare, text_bytes
 
@@ -44,8 +51,9 @@ WORDS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 #: Words remembered by a worker at a time, and longest word that is batched.
 MEMORY = 300_000
 LONG = 48
-#: Documents whose words are segmented together.
+#: Documents whose words are segmented together, and their bytes.
 ROWS = 512
+BYTES = 8 << 20
 
 
 class _Table:
@@ -119,21 +127,19 @@ class Pieces:
                 keys = _extend(keys, codes[:, k])
             self.tables.append(_Table(keys, np.array([self.ids.get(t, 0) for t in starts], np.int32), np.array([self.score.get(t, -np.inf) for t in starts])))
 
-    def edges(self, word: str) -> list[list[tuple[int, float]]]:
-        """For each end: (start, score) of the edges that stop there, longest first."""
-        out: list[list[tuple[int, float]]] = [[]]
+    def spelled(self, word: str, stop: int) -> list[tuple[int, float]]:
+        """(start, score) of the edges that end at ``stop``, longest first."""
+        get = self.score.get
+        here = [(start, s) for start in range(max(0, stop - self.longest), stop) if (s := get(word[start:stop])) is not None]
+        if not here or here[-1][0] != stop - 1:
+            here.append((stop - 1, self.unknown))
+        return here
+
+    def forward(self, word: str) -> np.ndarray:
+        """The best score of every prefix: a number for each character, whatever its edges."""
+        best = np.zeros(len(word) + 1)
         for stop in range(1, len(word) + 1):
-            here = [(start, s) for start in range(max(0, stop - self.longest), stop) if (s := self.score.get(word[start:stop])) is not None]
-            if not here or here[-1][0] != stop - 1:
-                here.append((stop - 1, self.unknown))
-            out.append(here)
-        return out
-
-    def forward(self, edges: list[list[tuple[int, float]]]) -> list[float]:
-        """The best score of every prefix."""
-        best = [0.0]
-        for here in edges[1:]:
-            best.append(max(best[start] + s for start, s in here))
+            best[stop] = max(best[start] + s for start, s in self.spelled(word, stop))
         return best
 
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -142,16 +148,21 @@ class Pieces:
         A* from the end: a state is a suffix segmented so far; its priority is the suffix's
         score plus the best score of the prefix left, which no completion exceeds and one
         attains, so complete segmentations leave the queue in order.
+
+        Suffixes that start at one place leave the queue best first, and none but the ``n``
+        best of them can be part of the ``n`` best segmentations: later ones are not expanded.
+        Of equal priorities the longer suffix goes first, so ties don't spread. A word takes
+        at most ``n`` expansions for each of its characters, however many segmentations tie.
         """
         if not word:
             return [(0.0, ())]
-        edges = self.edges(word)
-        best = self.forward(edges)
+        best = self.forward(word)
         tick = itertools.count()
-        queue = [(-best[-1], next(tick), len(word), 0.0, None)]
-        out = []
+        queue = [(-best[-1], len(word), next(tick), 0.0, None)]
+        out: list[tuple[float, tuple[int, ...]]] = []
+        expanded = np.zeros(len(word) + 1, np.int64)
         while queue and len(out) < n:
-            _, _, stop, done, chain = heapq.heappop(queue)
+            _, stop, _, done, chain = heapq.heappop(queue)
             if stop == 0:
                 cuts, c = [0], chain
                 while c is not None:
@@ -159,8 +170,11 @@ class Pieces:
                     c = c[1]
                 out.append((done, tuple(i for a, b in zip(cuts, cuts[1:]) for i in self.spell(word[a:b]))))
                 continue
-            for start, s in edges[stop]:
-                heapq.heappush(queue, (-(done + s + best[start]), next(tick), start, done + s, (stop, chain)))
+            if expanded[stop] == n:
+                continue
+            expanded[stop] += 1
+            for start, s in self.spelled(word, stop):
+                heapq.heappush(queue, (-(done + s + best[start]), start, next(tick), done + s, (stop, chain)))
         return out
 
     def spell(self, piece: str) -> tuple[int, ...]:
@@ -322,8 +336,8 @@ class Memory:
         self.learn(set(distinct))
         return np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
 
-    def encode(self, words: list[str], no: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[float, list[tuple[int, tuple[int, ...], int]]]]]:
-        """ids of the best of words and their numbers; for each of the n best its score and changes (word, its ids, its pieces more)."""
+    def encode(self, words: list[str], no: np.ndarray, n: int) -> tuple[list[float], list[np.ndarray]]:
+        """Scores and ids of the ``n`` best segmentations of words and their numbers."""
         sizes = self.starts[no + 1] - self.starts[no]
         ends = np.cumsum(sizes)
         count = int(ends[-1]) if len(ends) else 0
@@ -333,25 +347,41 @@ class Memory:
         order = np.argpartition(loss, few - 1)[:few] if 0 < few < len(words) else np.arange(few)
         order = np.sort(order).tolist()
         choices = [self.nbest(words[i], n) for i in order]
-        out = []
+        scores, every = [], []
         for score, picks in combine(float(self.score[no].sum()), choices, n):
-            out.append((score, [(i, o[k][1], len(o[k][1]) - len(o[0][1])) for i, o, k in zip(order, choices, picks) if k]))
-        return ids, out
+            scores.append(score)
+            parts, at = [], 0
+            for i, options, k in zip(order, choices, picks):
+                if k:  # another segmentation of this word than its best
+                    parts += [ids[at : ends[i] - sizes[i]], np.array(options[k][1], np.int32)]
+                    at = ends[i]
+            every.append(np.concatenate([*parts, ids[at:]]) if parts else ids)
+        return scores, every
 
 
 def encode_nbest(text: str, path: str, n: int = BEST) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations of a text: (score, ids), best first."""
     memory, words = Memory(load(path)), split(text)
-    no = memory.numbers(words)
-    _, found = memory.encode(words, no, n)
-    best = [memory.flat[memory.starts[k] : memory.starts[k + 1]].tolist() for k in no]
-    out = []
-    for score, changes in found:
-        ids = list(best)
-        for i, other, _ in changes:
-            ids[i] = list(other)
-        out.append((score, [x for w in ids for x in w]))
-    return out
+    scores, every = memory.encode(words, memory.numbers(words), n)
+    return [(score, ids.tolist()) for score, ids in zip(scores, every)]
+
+
+def lists(rows: list[np.ndarray]) -> pa.Array:
+    """Arrays of ids as one Arrow array of lists."""
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]), pa.int32()))
+
+
+def portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, count) of runs of rows of at most ``ROWS`` rows, and ``BYTES`` bytes if more than one."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first == ROWS or held + size > BYTES):
+            yield first, i - first
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes) - first
 
 
 def _encoder(path: str, n: int):
@@ -360,40 +390,44 @@ def _encoder(path: str, n: int):
         memory = Memory(model)
         for b in batches:
             last = b.num_columns - 1
-            for lo in range(0, b.num_rows, ROWS):
-                part = b.slice(lo, ROWS)
-                ids, scores, sizes, exact = [], [], [], []
+            for lo, rows in portions(pc.binary_length(b.column(last)).to_pylist()):
+                part = b.slice(lo, rows)
+                best, others, counts, scores, exact = [], [], [0], [], []
                 raw = [x.as_py() for x in part.column(last)]
                 texts = [split(t.decode("utf-8", "replace")) for t in raw]
                 no = memory.numbers(list(itertools.chain.from_iterable(texts)))
-                parts = np.split(no, np.cumsum([len(w) for w in texts])[:-1]) if texts else []
+                parts = np.split(no, np.cumsum([len(w) for w in texts])[:-1])
                 for text, words, own in zip(raw, texts, parts):
-                    best, found = memory.encode(words, own, n)
-                    ids.append(best)
-                    scores.append([s for s, _ in found])
-                    sizes.append([len(best) + sum(c[2] for c in changes) for _, changes in found])
-                    exact.append(model.raw(best.tolist()).replace(BLANK.encode(), b" ")[bool(words) :] == text)
-                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                    found, every = memory.encode(words, own, n)
+                    best.append(every[0])
+                    others += every[1:]
+                    counts.append(len(others))
+                    scores.append(found)
+                    exact.append(model.raw(every[0].tolist()).replace(BLANK.encode(), b" ")[bool(words) :] == text)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(k) for k in range(last)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())),
-                        pa.array([len(i) for i in ids], pa.int64()),
+                        lists(best),
+                        pa.array([len(i) for i in best], pa.int64()),
                         pa.array(scores, pa.list_(pa.float64())),
-                        pa.array(sizes, pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(counts, pa.int32()), lists(others)),
                         pa.array(exact, pa.bool_()),
                     ],
-                    [*b.schema.names[:last], "piece_ids", "n_pieces", "nbest_scores", "nbest_pieces", "round_trip"],
+                    [*b.schema.names[:last], "piece_ids", "n_pieces", "nbest_scores", "other_ids", "round_trip"],
                 )
 
     return run
 
 
-ENCODED = "piece_ids array<int>, n_pieces long, nbest_scores array<double>, nbest_pieces array<long>, round_trip boolean"
+ENCODED = "piece_ids array<int>, n_pieces long, nbest_scores array<double>, other_ids array<array<int>>, round_trip boolean"
 
 
 def encode_rows(docs: DataFrame, keep: tuple[str, ...], path: str, n: int = BEST) -> DataFrame:
-    """The columns ``keep`` of every row, and its piece_ids, n_pieces, nbest_scores, nbest_pieces and round_trip."""
+    """The columns ``keep`` of every row, and its piece_ids, n_pieces, nbest_scores, other_ids and round_trip.
+
+    ``piece_ids`` is the best segmentation, ``other_ids`` holds the second to the ``n``-th,
+    ``nbest_scores`` the scores of all of them.
+    """
     prepare(docs.sparkSession)
     rows = docs.select(*keep, text_bytes().alias("text"))
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
@@ -401,7 +435,7 @@ def encode_rows(docs: DataFrame, keep: tuple[str, ...], path: str, n: int = BEST
 
 
 def encode(docs: DataFrame, path: str, n: int = BEST) -> DataFrame:
-    """doc_id, piece_ids, n_pieces, nbest_scores, nbest_pieces and round_trip of every document."""
+    """doc_id, piece_ids, n_pieces, nbest_scores, other_ids and round_trip of every document."""
     return encode_rows(docs, ("doc_id",), path, n)
 
 

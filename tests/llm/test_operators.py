@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -491,7 +492,30 @@ def test_encode_and_decode(spark, edge_rows, model):
     got = {r.doc_id: r for r in enc.collect()}
     assert enc.count() == len(rows) and all(r.round_trip for r in got.values())
     assert got[2].n_pieces == 0 and got[2].nbest_scores == [0.0] and len(got[5].nbest_scores) == 4
-    assert all(list(r.nbest_scores) == sorted(r.nbest_scores, reverse=True) and r.nbest_pieces[0] == r.n_pieces for r in got.values())
+    assert all(list(r.nbest_scores) == sorted(r.nbest_scores, reverse=True) and len(r.piece_ids) == r.n_pieces for r in got.values())
+    assert all(len(r.other_ids) == len(r.nbest_scores) - 1 for r in got.values())
+    texts = {i: t or "" for i, t, _ in rows}
+    for i, r in got.items():  # every segmentation spells its text, none comes twice
+        every = [tuple(r.piece_ids), *map(tuple, r.other_ids)]
+        assert len(set(every)) == len(every) and all(model.decode(x) == texts[i] for x in every)
+        alone = piece_nbest.encode_nbest(texts[i], path)
+        assert [s for s, _ in alone] == list(r.nbest_scores) and [tuple(x) for _, x in alone] == every
     back = {r.doc_id: r.text for r in piece_nbest.decode(enc, path).collect()}
     assert back == {i: t or "" for i, t, _ in rows}
     assert piece_nbest.encode(docs_of(spark, []), path).count() == 0
+
+
+def test_nbest_of_long_runs(model):
+    path = piece_nbest.model_path()
+    start = time.process_time()
+    for t in ("x" + " " * 10_000 + "y", "-" * 10_000, "\u4e2d\u6587\u5b57" * 3333, "ab" * 5000, " " * 401):
+        found = piece_nbest.encode_nbest(t, path)
+        assert all(model.decode(ids) == t for _, ids in found) and len({tuple(ids) for _, ids in found}) == len(found)
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    assert time.process_time() - start < 30
+
+
+def test_nbest_of_ties(model):
+    for w in ("a" * 12, "\u2581" * 11, "-" * 12, "abab" * 3):
+        want, got = brute_segmentations(model, w)[:8], model.nbest(w, 8)
+        assert [round(s, 6) for s, _ in got] == [round(s, 6) for s, _ in want] and len({ids for _, ids in got}) == len(got)
