@@ -63,6 +63,48 @@ def test_quality_host_verdict(spark):
     assert all(got[200 + i].kept for i in range(90))
 
 
+def plain_prior(hosts):
+    """Pooled rate and weight of the prior, from (n, failed) of hosts, host by host."""
+    nn, p = sum(n for n, _ in hosts), sum(f for _, f in hosts) / sum(n for n, _ in hosts)
+    seen = sum(n * (f / n - p) ** 2 for n, f in hosts)
+    chance = p * (1 - p) * sum(1 - n / nn for n, _ in hosts)
+    alike = p * (1 - p) * sum(n * (1 - n / nn) for n, _ in hosts)
+    rho = (seen - chance) / (alike - chance) if alike > chance else 0
+    return p, (max(1 / rho - 1, 0) if rho > 1e-9 else 1e9)
+
+
+def test_quality_prior(spark):
+    random.seed(12)
+    rows, truth = [], {}
+    for h in range(40):
+        rate = random.betavariate(0.6, 2.4)
+        n = random.choice([1, 2, 5, 30, 200])
+        failed = sum(random.random() < rate for _ in range(n))
+        truth[f"s{h}"] = (n, failed)
+        good = " ".join(f"w{i}" for i in range(30))
+        rows += [(len(rows) + i, "too short" if i < failed else good, str(h)) for i in range(n)]
+    feats = quality_rules.features(docs_of(spark, rows))
+    p, m = plain_prior(list(truth.values()))
+    assert 1 < m < 12  # the hosts were drawn with a weight of 3
+    rates = {r.host: r.rate_base for r in quality_rules.host_rates(feats).collect()}
+    for h, (n, f) in truth.items():
+        assert abs(rates[h] - (f + p * m) / (n + m)) < 1e-9
+    got = {r.doc_id: r.host_failed for r in quality_rules.judge(docs_of(spark, rows)).collect()}
+    for i, _, h in rows:
+        n, f = truth[f"s{h}"]
+        assert got[i] == ((f + p * m) / (n + m) > 0.5)
+    assert any(f == n == 1 for n, f in truth.values()) or any(got.values())
+
+
+def test_quality_small_host_is_shrunk_and_other_rules_count(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "bad", "tiny")] + [(100 + i, good if i % 17 else "bad", f"h{i % 12}") for i in range(240)]
+    rows += [(1000 + i, good + " # # # # # #", "marks") for i in range(50)]
+    got = {r.doc_id: r for r in quality_rules.judge(docs_of(spark, rows)).collect()}
+    assert not got[1].host_failed and got[1].base_failed
+    assert got[1000].host_failed and not got[1000].base_failed and not got[1000].kept and got[101].kept
+
+
 def test_repeat_words_brute():
     random.seed(5)
     for _ in range(200):
