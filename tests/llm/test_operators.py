@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -300,9 +301,58 @@ def test_url_rules_and_models(spark):
     assert {r.verdict for r in url_filters.judge_urls(pages.limit(3)).collect()} == {"allow"}
 
 
-def test_url_model_is_a_distribution():
-    table = np.zeros((4, 1 << url_filters.BITS), np.int64)
-    assert url_filters.ratio(b"abc", table) == 0.0 and url_filters.ratio(b"", table) == 0.0
+class PlainModel:
+    """A variable-order Markov model as nested counts by context, context by context."""
+
+    def __init__(self, urls):
+        self.seen = {}
+        for u in urls:
+            s = [None] * 4 + list(u) + ["end"]
+            for i in range(4, len(s)):
+                for k in range(5):
+                    after = self.seen.setdefault(tuple(s[i - k : i]), {})
+                    after[s[i]] = after.get(s[i], 0) + 1
+
+    def p(self, context, symbol):
+        out = 1 / 257
+        for k in range(5):
+            after = self.seen.get(tuple(context[len(context) - k :]), {})
+            out = (after.get(symbol, 0) + 4.0 * out) / (sum(after.values()) + 4.0)
+        return out
+
+    def log(self, url):
+        s = [None] * 4 + list(url) + ["end"]
+        return sum(math.log(self.p(s[i - 4 : i], s[i])) for i in range(4, len(s)))
+
+
+def test_url_model_brute(spark):
+    random.seed(3)
+    word = lambda letters: "".join(random.choice(letters) for _ in range(random.randint(0, 12))).encode()
+    rows = [(i, i % 3, word("abc/." if i % 2 else "cdé/")) for i in range(300)] + [(300, 1, b""), (301, 0, b"\x00a"), (302, 2, b"hot " * 3000)]
+    good, bad = PlainModel([u for _, s, u in rows if s == 1]), PlainModel([u for _, s, u in rows if s == 2])
+    for context in ([None] * 4, list(b"abca"), [None, None] + list(b"zz")):
+        assert abs(sum(good.p(context, c) for c in [*range(256), "end"]) - 1) < 1e-9
+    table = spark.createDataFrame(rows, "row long, side int, url binary")
+    got = {r.row: r.ratio for r in url_filters.score_urls(table).collect()}
+    assert len(got) == len(rows)
+    for i, _, u in rows:
+        assert abs(got[i] - (good.log(u) - bad.log(u)) / (len(u) + 1)) < 1e-7
+    ratios = url_filters.log_ratios(url_filters.count_runs(table)).collect()
+    by_context = {}
+    for r in ratios:  # what was seen after a context never adds to more than 1
+        pa_, pr = by_context.get(r.run >> 9, (0, 0))
+        by_context[r.run >> 9] = (pa_ + r.pa, pr + r.pr)
+    assert max(max(x) for x in by_context.values()) <= 1 + 1e-9
+
+
+def test_url_cut_is_calibrated_on_held_out_urls(spark):
+    urls = [f"http://good{i}.net/de/{i}" for i in range(200)] + [f"http://bad{i}.com/en/{i}" for i in range(200)]
+    pages = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
+    scored = {r.page_id: r.ratio for r in url_filters.judge_urls(pages).collect()}
+    fold = {r.page_id for r in pages.where("pmod(xxhash64(cast(url AS binary)), 5) = 0").collect()}
+    assert 40 < len(fold) < 130
+    right = [(scored[i] > 0) == (i < 200) for i in fold]
+    assert np.mean(right) > 0.95
 
 
 @pytest.fixture(scope="module")
