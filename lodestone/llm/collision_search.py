@@ -1,28 +1,38 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
 Vectors are projected on ``PROJECTIONS`` random lines; on each line the block's vectors
-are a sorted array. A query opens a window around its own projection on every line and
-widens all windows alike (virtual rehashing: the hash's radius grows, nothing is hashed
-anew) until enough vectors fall into a large enough share of the windows. The vectors that
-collide most often are verified by their exact inner product on the original components.
+are a sorted array. A query opens a narrow window around its own projection on every line
+and widens all windows alike (virtual rehashing: the hash's radius grows, nothing is hashed
+anew; only what a window gains is counted). Vectors that fall into ``THRESHOLD`` of the
+windows are verified by their exact inner product on the original components.
+
+Two vectors at distance d lie within h of each other on a line with probability
+2 Phi(h / d) - 1. So as soon as ``k`` vectors are verified, the k-th best distance d_k says
+how often a vector that is nearer must collide, and windows of ``STOP`` times d_k are wide
+enough to tell: there the search stops widening, and verifies every vector that collides no
+more than ``sigmas`` standard deviations less often than one at d_k would. How many that
+are follows from the data: few in clusters, a fifth of all where all vectors are about as
+far apart (and there no index saves much). No number of candidates is set, and none is cut.
+``sigmas=inf`` verifies every vector, which is exact.
 
 Largest inner product is turned into least distance by one more component, which fills
 every vector up to the greatest norm.
 
 All rows are indexed, in blocks of ``BLOCK``; all queries meet all blocks, so neighbours
-are never lost to a block's border. ``SHARE`` and ``EXTRA`` set how many vectors of a block
-are verified for a query; ties at that cut are verified too, so copies stand or fall
-together and order among them is by id.
+are never lost to a block's border.
 
 Edges. Vectors that are null, empty, zero, or hold nulls or non-finite numbers take no
 part, as candidates or queries; a null id takes none either. Vectors of another dimension
 than the query's are no candidates. Fewer candidates than asked for are all returned. A
-query is never its own neighbour, nor is a repeated row of it. An empty table gives an
-empty result. Extra columns are not read.
+query is never its own neighbour, nor is a repeated row of it. Repeated rows are one vector,
+as query and as candidate; of different vectors of one id the least stands. Ties are by id.
+An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,65 +43,107 @@ from lodestone.llm.common import prepare, stash
 
 PROJECTIONS = 128
 BLOCK = 16384
-QUERIES = 1024
-SHARE = 0.2
-EXTRA = 8
-#: A vector must fall into this share of the windows to be a candidate.
+QUERIES = 4096
+#: A vector that falls into this share of the windows is verified while they widen.
 THRESHOLD = 0.8
-START = 1.8
-GROWTH = 1.2
+#: Half a window, over the k-th best distance, at which widening stops: 80 % of collisions.
+STOP = 1.2816
+#: Half of the first windows, over the greatest norm, and by how much they widen.
+START = 0.1
+GROWTH = 1.35
+SIGMAS = 1.5
 SEED = 20
+#: Queries whose windows a task holds at a time.
+AT_ONCE = 256
+
+
+def distinct(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One vector of each id, the least, in the order of ids."""
+    if len(np.unique(ids)) < len(ids):
+        order = np.lexsort((*vectors.T[::-1], ids))
+        ids, vectors = ids[order], vectors[order]
+    found, first = np.unique(ids, return_index=True)
+    return found, vectors[first]
 
 
 class Block:
     """Sorted arrays of a block's projections."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, reach: float):
-        self.ids, self.vectors, self.reach = ids, vectors, reach
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, reach: float, sigmas: float = SIGMAS):
+        self.ids, self.vectors, self.reach, self.sigmas = ids, vectors, reach, sigmas
         lines = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         self.lines = lines[:-1]
         fill = np.sqrt(np.maximum(reach * reach - (vectors * vectors).sum(axis=1), 0.0))
         at = vectors @ self.lines + fill[:, None] * lines[-1]
-        self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
+        self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T.astype(np.int32))
         self.values = np.ascontiguousarray(np.take_along_axis(at, self.order.T, axis=0).T)
 
     def places(self, queries: np.ndarray) -> np.ndarray:
         """Where each query, as long as the longest vector, falls on each line."""
         return (queries * (self.reach / np.sqrt((queries * queries).sum(axis=1)))[:, None]) @ self.lines
 
-    def windows(self, places: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, places: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last place in the sorted arrays of every query's window on every line."""
         columns = list(zip(self.values, places.T))
         lo = np.stack([np.searchsorted(v, p - half) for v, p in columns], axis=1)
         return lo, np.stack([np.searchsorted(v, p + half, "right") for v, p in columns], axis=1)
 
-    def collisions(self, lo: list[int], hi: list[int]) -> np.ndarray:
-        """In how many of its windows each vector falls; counted from the emptier side."""
+    def gained(self, lo: np.ndarray, hi: np.ndarray, was_lo: np.ndarray, was_hi: np.ndarray) -> np.ndarray:
+        """In how many windows each vector falls that it did not fall into before."""
         n = len(self.ids)
-        if sum(hi) - sum(lo) <= n * PROJECTIONS // 2:
-            return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo, hi)]), minlength=n)
-        outside = [x for o, a, b in zip(self.order, lo, hi) for x in (o[:a], o[b:])]
-        return PROJECTIONS - np.bincount(np.concatenate(outside), minlength=n)
-
-    def candidates(self, queries: np.ndarray, k: int):
-        """For each query, the rows that collide with it most, of those in the threshold's share of windows.
-
-        Queries whose windows hold too few rows get wider ones, all others are done.
-        """
+        parts = [x for o, a, b, c, d in zip(self.order, lo.tolist(), hi.tolist(), was_lo.tolist(), was_hi.tolist()) for x in (o[a:c], o[d:b])]
+        return np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
+
+    def distance(self, score: float, norm: float) -> float:
+        """The distance that an inner product with a query of this norm stands for."""
+        return math.sqrt(max(0.0, 2 * self.reach * (self.reach - score / norm)))
+
+    def least_hits(self, half: float, distance: float) -> float:
+        """Collisions that a vector at this distance reaches, but for the chance of ``sigmas``."""
+        if not math.isfinite(self.sigmas):
+            return 0.0
+        p = math.erf(half / distance / math.sqrt(2)) if distance > 0 else 1.0
+        return PROJECTIONS * p - self.sigmas * math.sqrt(PROJECTIONS * p * (1 - p))
+
+    def search(self, owners: np.ndarray, queries: np.ndarray, k: int):
+        """(query's number, ids, scores) of the ``k`` best found for each query, best first."""
+        if not math.isfinite(self.sigmas):
+            everything = np.arange(len(self.ids))
+            for i, query in enumerate(queries):
+                yield i, *self.nearest(int(owners[i]), query, everything, k)
+            return
         n = len(self.ids)
-        wanted = min(n, int(SHARE * n) + EXTRA * k)
-        places, open_, half = self.places(queries), np.arange(len(queries)), START * self.reach
+        places, norms = self.places(queries), np.sqrt((queries * queries).sum(axis=1))
+        half = np.full(len(queries), START * self.reach)
+        middle = self.windows(places, np.zeros(len(queries)))[0]
+        was_lo, was_hi = middle, middle.copy()
+        hits = {i: np.zeros(n, np.int16) for i in range(len(queries))}
+        best: dict[int, np.ndarray] = {}  # the k best scores verified so far
+        verified = {i: np.zeros(n, bool) for i in range(len(queries))}
+        open_ = np.arange(len(queries))
         while len(open_):
-            lo, hi = self.windows(places[open_], half)
+            lo, hi = self.windows(places[open_], half[open_])
             again = []
-            for i, a, b in zip(open_.tolist(), lo.tolist(), hi.tolist()):
-                hits = self.collisions(a, b)
-                if wanted < n and (hits >= THRESHOLD * PROJECTIONS).sum() < wanted:
+            for at, i in enumerate(open_.tolist()):
+                seen = hits[i]
+                seen += self.gained(lo[at], hi[at], was_lo[i], was_hi[i])
+                was_lo[i], was_hi[i] = lo[at], hi[at]
+                new = np.flatnonzero((seen >= THRESHOLD * PROJECTIONS) & ~verified[i])
+                verified[i][new] = True
+                new = new[self.ids[new] != owners[i]]
+                scores = np.concatenate([best.get(i, np.zeros(0)), self.vectors[new] @ queries[i]])
+                best[i] = scores if len(scores) <= k else -np.partition(-scores, k - 1)[:k]
+                whole = int((hi[at] - lo[at]).min()) == n
+                far = self.distance(float(best[i].min()), norms[i]) if len(best[i]) >= k else math.inf
+                if not whole and half[i] < STOP * far:
+                    # The k-th best can only come nearer: no window needs to be wider than it says now.
+                    half[i] = min(half[i] * GROWTH, STOP * far)
                     again.append(i)
                     continue
-                least = np.partition(hits, n - wanted)[n - wanted]
-                yield i, np.flatnonzero(hits >= least)
-            open_, half = np.array(again, np.int64), half * GROWTH
+                rows = np.arange(n) if whole and not math.isfinite(far) else np.flatnonzero(seen >= self.least_hits(half[i], far))
+                yield i, *self.nearest(int(owners[i]), queries[i], rows, k)
+                del hits[i], verified[i]
+            open_ = np.array(again, np.int64)
 
     def nearest(self, own: int, query: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the ``k`` best of the candidate rows, best first."""
@@ -106,7 +158,7 @@ class Block:
         return self.ids[rows[best]], scores[best]
 
 
-def _search(k: int):
+def _search(k: int, sigmas: float):
     names = ["query_id", "vec_id", "score"]
     kinds = [pa.int64(), pa.int64(), pa.float64()]
 
@@ -117,20 +169,23 @@ def _search(k: int):
         vectors = flat.astype(np.float64).reshape(len(ids), -1)
         out: list[list[np.ndarray]] = [[], [], []]
         if asks.any() and not asks.all():
-            block = Block(ids[~asks], vectors[~asks], float(table.column("reach")[0].as_py()))
-            owners, queries = ids[asks], vectors[asks]
-            for i, rows in block.candidates(queries, k):
-                own = int(owners[i])
-                found, scores = block.nearest(own, queries[i], rows, k)
-                for column, x in zip(out, (np.full(len(found), own), found, scores)):
-                    column.append(x)
+            block = Block(*distinct(ids[~asks], vectors[~asks]), float(table.column("reach")[0].as_py()), sigmas)
+            owners, queries = distinct(ids[asks], vectors[asks])
+            for lo in range(0, len(owners), AT_ONCE):
+                part = slice(lo, lo + AT_ONCE)
+                for i, found, scores in block.search(owners[part], queries[part], k):
+                    for column, x in zip(out, (np.full(len(found), owners[lo + i]), found, scores)):
+                        column.append(x)
         return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, kinds)], names)
 
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id and score: the ``k`` nearest rows found for each row that ``is_query`` (a Column) marks."""
+def search(vectors: DataFrame, is_query, k: int = 20, sigmas: float = SIGMAS) -> DataFrame:
+    """query_id, rank, vec_id and score: the ``k`` nearest rows found for each row that ``is_query`` (a Column) marks.
+
+    More ``sigmas`` find more of the true neighbours and verify more vectors; ``inf`` finds all.
+    """
     spark = vectors.sparkSession
     prepare(spark)
     usable = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(
@@ -151,7 +206,7 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     base = spread.select("dim", deal(1, "blocks").alias("block"), every("asked").alias("part"), "vec_id", "embedding", "reach", F.lit(False).alias("asks"))
     asked = spread.where("asks").select("dim", every("blocks").alias("block"), deal(2, "asked").alias("part"), "vec_id", "embedding", "reach", F.lit(True).alias("asks"))
     found = (
-        base.unionByName(asked).groupBy("dim", "block", "part").applyInArrow(_search(k), "query_id long, vec_id long, score double")
+        base.unionByName(asked).groupBy("dim", "block", "part").applyInArrow(_search(k, sigmas), "query_id long, vec_id long, score double")
     )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -611,3 +611,56 @@ def test_nbest_of_ties(model):
     for w in ("a" * 12, "\u2581" * 11, "-" * 12, "abab" * 3):
         want, got = brute_segmentations(model, w)[:8], model.nbest(w, 8)
         assert [round(s, 6) for s, _ in got] == [round(s, 6) for s, _ in want] and len({ids for _, ids in got}) == len(got)
+
+
+def nearest_by_product(ids, x, queries, k):
+    """The k nearest of every query by the full matrix of inner products."""
+    out = {}
+    for q in queries:
+        s = x @ x[q]
+        order = [j for j in np.lexsort((ids, -np.round(s, 12))) if ids[j] != ids[q]]
+        out[int(ids[q])] = [int(ids[j]) for j in order[:k]]
+    return out
+
+
+def test_search_recall_on_the_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_list()).astype(float)
+    want = nearest_by_product(ids, x, np.flatnonzero(ids % 20 == 0), 20)
+    got = {}
+    for r in collision_search.op7_collision_search(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.9
+
+
+def test_search_exact_setting_and_repeated_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 8)).astype(np.float32)
+    x[200:] *= 0.1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[0], rows[0], rows[20], rows[33], rows[33]]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = nearest_by_product(np.arange(300), x.astype(float), range(0, 300, 20), 20)
+    for block in (16384, 64):
+        monkeypatch.setattr(collision_search, "BLOCK", block)
+        got = {}
+        for r in collision_search.search(vectors, F.col("vec_id") % 20 == 0, sigmas=float("inf")).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == want
+
+
+def test_search_narrow_windows_in_clusters():
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((60, 32))
+    x = np.repeat(centres, 50, axis=0) + 0.02 * rng.standard_normal((3000, 32))
+    block = collision_search.Block(np.arange(3000), x, float(np.sqrt((x * x).sum(axis=1)).max()))
+    looked, recall = [], []
+    nearest = block.nearest
+    block.nearest = lambda own, query, rows, k: looked.append(len(rows)) or nearest(own, query, rows, k)
+    at = np.arange(0, 3000, 100)
+    for i, found, _ in block.search(at, x[at], 20):
+        s = x @ x[at[i]]
+        s[at[i]] = -np.inf
+        recall.append(len(set(found.tolist()) & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9 and np.mean(looked) < 300  # a tenth of all
