@@ -51,7 +51,7 @@ STOP = 1.2816
 #: Half of the first windows, over the greatest norm, and by how much they widen.
 START = 0.1
 GROWTH = 1.35
-SIGMAS = 1.5
+SIGMAS = 2.0
 SEED = 20
 #: Queries whose windows a task holds at a time.
 AT_ONCE = 256
