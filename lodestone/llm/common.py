@@ -8,7 +8,7 @@ the Python parts of the operators take text as binary.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.sources.storage import prepare, shared_dir, stash  # noqa: F401
@@ -27,6 +27,14 @@ def host_key(col: str = "source") -> Column:
     return F.when(F.col(col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(col)))
 
 
+def fresh(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` starts with."""
+    names, out = [c.lower() for c in df.columns], "_"
+    while any(c.startswith(out) for c in names):
+        out += "_"
+    return out
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word; equal words are hashed once."""
     import xxhash

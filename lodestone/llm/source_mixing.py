@@ -2,8 +2,10 @@
 
 Documents are counted by exact length in words within their source. A source's target
 is met by whole passes over the source and, for what remains, a choice of how many
-documents of each length to take: an even share of every length first, then a bounded
-knapsack over the lengths for the rest, and seeded documents fill the counts.
+documents of each length to take: an even share of every length, from the longest down,
+each making good what the longer ones fell short, until two longest documents are left to
+fill; then a bounded knapsack over the lengths for the rest. It is solved exactly, whatever
+the lengths are. Seeded documents fill the counts.
 
 Edges. A null text has size 0 and is never taken. A null source is a source of its own,
 last in order. Equal lengths are told apart by a seeded hash of the id and, for repeated
@@ -27,8 +29,6 @@ SHARE = 1.5
 MOST = 2.0
 #: Slots that a hash deals the documents of one length to, so that no length is hot.
 SLOTS = 512
-#: The knapsack closes a gap of so many words, or of two longest documents; larger ones are closed by share.
-GAP = 1 << 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -69,48 +69,50 @@ def targets(sized: DataFrame) -> DataFrame:
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come nearest ``budget``.
 
-    An even share of every length leaves a gap below the longest document times the number
-    of lengths; a bounded knapsack over what is left, as sets of reachable sums, closes it.
-    Its table is at least twice the longest document wide, so that long ones are weighed too.
+    An even share of every length, longest first, stops short of the budget by two longest
+    documents, and by less than three: what a length falls short of its share in whole
+    documents goes to the next one. The bounded knapsack closes that gap with what is left,
+    exactly, so the whole is off by no more than the best such choice.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros_like(counts)
     if budget >= total:
         return counts.copy()
-    take = np.minimum(counts, (counts.astype(object) * budget // total).astype(np.int64))
-    gap = budget - int((take * lengths).sum())
-    rest = counts - take
-    # Long documents first, while the gap is wider than the knapsack's table.
-    width = max(GAP, 2 * int(lengths.max()))
+    longest = int(lengths.max())
+    even = max(0, budget - 2 * longest)
+    take = np.zeros_like(counts)
+    short = 0  # words that longer documents fell short, in parts of ``total``
     for i in np.argsort(-lengths, kind="stable"):
-        if gap <= width:
-            break
-        more = min(int(rest[i]), (gap - width // 2) // int(lengths[i]))
-        take[i] += more
-        rest[i] -= more
-        gap -= more * int(lengths[i])
-    if gap > 0:
-        # Sums of twice the gap and more are no nearer than none.
-        take = take + _knapsack(lengths, rest, gap, gap + min(gap, int(lengths.max())))
-    return take
+        n, size = int(counts[i]), int(lengths[i])
+        wanted = short + even * n * size
+        take[i] = min(n, wanted // (total * size))
+        short = wanted - int(take[i]) * total * size
+    gap = budget - int((take * lengths).sum())
+    # Sums of twice the gap and more are no nearer than none, and without any one document a
+    # sum above the gap by the longest would still reach it.
+    return take + _knapsack(lengths, counts - take, gap, gap + min(gap, longest))
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, goal: int, top: int) -> np.ndarray:
-    """Counts of each length whose sum is the reachable one nearest ``goal`` (the lower of two)."""
-    # Reachable sums are bits of one integer. A bounded count is split into binary parts.
-    parts: list[tuple[int, int]] = []
+    """Counts of each length whose sum is the reachable one nearest ``goal`` (the lower of two).
+
+    Reachable sums are bits of one integer, and of every sum the part by which it was first
+    reached is kept: four bytes for each of ``top`` sums, whatever the number of parts.
+    """
     reach, mask = 1, (1 << (top + 1)) - 1
-    states = [reach]
+    by = np.full(top + 1, -1, np.int32)
+    parts: list[tuple[int, int]] = []
     for i in np.argsort(lengths, kind="stable"):
         n, step = min(int(counts[i]), top // max(1, int(lengths[i]))), 1
-        while n > 0 and not reach >> goal & 1:
+        while n > 0 and not reach >> goal & 1:  # a bounded count in binary parts
             k = min(step, n)
-            grown = (reach | reach << k * int(lengths[i])) & mask
-            if grown != reach:
+            new = (reach << k * int(lengths[i])) & mask & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little")
+                by[np.flatnonzero(bits)] = len(parts)
                 parts.append((int(i), k))
-                states.append(grown)
-                reach = grown
+                reach |= new
             n -= k
             step *= 2
         if reach >> goal & 1:
@@ -120,10 +122,10 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, goal: int, top: int) -> n
     high = goal + (above & -above).bit_length() - 1 if above else top + 1
     at = high if high <= top and high - goal < goal - low else low
     out = np.zeros(len(lengths), np.int64)
-    for (i, k), before in zip(reversed(parts), reversed(states[:-1])):
-        if not before >> at & 1:
-            out[i] += k
-            at -= k * int(lengths[i])
+    while at:
+        i, k = parts[by[at]]
+        out[i] += k
+        at -= k * int(lengths[i])
     return out
 
 
@@ -169,21 +171,24 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them.
+    """The rows of ``docs`` as often as the mix takes them, with their columns as they are.
 
-    Rows that share id and size share out their copies among them by the order of their texts.
+    Rows that share id and size share out their copies among them by the order of their
+    texts. A row of no words, or of a null text, is never taken. An empty table stays empty.
     """
     plan = stash(
-        mix(docs, seed).groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"), "mix"
-    ).withColumnRenamed("doc_id", "_id").withColumnRenamed("size", "_size")
+        mix(docs, seed).groupBy("doc_id", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "mix"
+    )
+    # The whole row travels as one column, so that none of its names can clash with ours.
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    taken = docs.withColumn("_words", size).join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    place = F.row_number().over(W.partitionBy("_id", "_size").orderBy("text"))
-    once = taken.where("_rows = 1")
-    many = taken.where("_rows > 1").withColumn("_place", place)
-    many = many.withColumn("_copies", F.expr("_copies div _rows + int(_place <= _copies % _rows)")).where("_copies > 0").drop("_place")
+    held = docs.select(F.col("doc_id").alias("id"), size.alias("words"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    taken = held.join(plan.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")))
+    place = F.row_number().over(W.partitionBy("doc_id", "size").orderBy("row.text"))
+    once = taken.where("rows = 1")
+    many = taken.where("rows > 1").withColumn("place", place)
+    many = many.withColumn("copies", F.expr("copies div rows + int(place <= copies % rows)")).where("copies > 0").drop("place")
     rows = once.unionByName(many)
-    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

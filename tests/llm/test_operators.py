@@ -664,3 +664,52 @@ def test_search_narrow_windows_in_clusters():
         s[at[i]] = -np.inf
         recall.append(len(set(found.tolist()) & set(np.argsort(-s)[:20].tolist())) / 20)
     assert np.mean(recall) >= 0.9 and np.mean(looked) < 300  # a tenth of all
+
+
+def test_fit_of_many_and_long_lengths():
+    rng = np.random.default_rng(4)
+    for longest in (300, 20_000, 300_000):
+        lengths = np.unique(rng.integers(1, longest, 400))
+        counts = rng.integers(1, 50, len(lengths))
+        total = int((lengths * counts).sum())
+        for budget in (1, 17, longest, 3 * longest + 1, total // 3, total - 1):
+            take = source_mixing.fit(lengths, counts, budget)
+            assert (take >= 0).all() and (take <= counts).all() and abs(int((take * lengths).sum()) - budget) <= int(lengths.min())
+        take = source_mixing.fit(lengths, counts, total // 2)
+        halves = [int((take * lengths)[part].sum()) / max(1, int((counts * lengths)[part].sum())) for part in (lengths < longest // 2, lengths >= longest // 2)]
+        assert max(abs(h - 0.5) for h in halves) < 0.1  # an even share of short and of long ones
+    even = source_mixing.fit(np.array([4, 6, 10]), np.array([5, 5, 5]), 51)
+    assert abs(int((even * np.array([4, 6, 10])).sum()) - 51) == 1
+
+
+CLASH = ["_t", "_spans", "m_email", "p_card", "spans_ip", "_id", "_copies", "_rows", "_size", "_place", "_words", "_again", "_kept", "_digest", "_least", "row", "copies", "size", "place", "hits", "again", "words", "rows", "mark", "token", "id"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    rows = [(i, f"words of document number {i} that stand alone a{i}@b.de", "en", f"s{i % 2}", 40, *([f"x{i}"] * len(CLASH))) for i in range(12)]
+    rows += [rows[3], (20, None, None, None, None, *([None] * len(CLASH))), (None, "no id at all", "en", "s0", 3, *(["y"] * len(CLASH)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH))
+    kept = ngram_join.drop_similar(docs)
+    clean, mixed = pii.redact(docs), source_mixing.apply_mix(docs)
+    safe = toxicity.drop_toxic(docs, toxicity.Model({}, -np.inf))
+    for out in (kept, clean, mixed, safe):
+        assert out.columns == docs.columns
+        assert all(r[c] == (f"x{r.doc_id}" if r.text and r.doc_id is not None else "y" if r.text else None) for r in out.collect() for c in CLASH)
+    assert kept.count() == 14 and clean.count() == safe.count() == 15 and clean.where("text like '%[EMAIL]%'").count() == 13
+    assert all(stage(docs.limit(0)).count() == 0 for stage in (ngram_join.drop_similar, pii.redact, source_mixing.apply_mix))
+
+
+def test_pii_context_is_whole_words(spark):
+    rows = [(1, "the hotel description says 10.0.0.1 to display", "s"), (2, "the server 10.0.0.1 answers", "s"), (3, "my ip: 10.0.0.1", "s")]
+    got = {r.doc_id: r.max_score for r in pii.find_pii(docs_of(spark, rows)).collect()}
+    assert round(got[1], 6) == 0.6 and round(got[2], 6) == round(got[3], 6) == 0.7
+
+
+def test_pii_many_hits_in_one_text(spark):
+    n = 20_000
+    text = "".join(f"user{i}@example.com, +49 30 {1000000 + i}; " for i in range(n))
+    start = time.time()
+    got = pii.find_pii(docs_of(spark, [(1, text, "s")])).collect()[0]
+    assert got.n_email == got.n_phone == n and got.base_sha256 == hashlib.sha256(brute_pii(text).encode()).hexdigest()
+    clean = pii.redact(docs_of(spark, [(1, text, "s")])).collect()[0].text
+    assert clean == "[EMAIL], [PHONE]; " * n and time.time() - start < 60
