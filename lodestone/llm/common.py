@@ -8,11 +8,14 @@ the Python parts of the operators take text as binary.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.sources.storage import prepare, shared_dir, stash  # noqa: F401
 
+#: Arrays that one task adds up.
+FAN = 256
 #: The word pattern in the syntax of Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,6 +49,27 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
+def add_arrays(parts: DataFrame) -> DataFrame:
+    """(piece, counts) with the sums, number by number, of (part, piece, counts): arrays of longs in binary.
+
+    As a tree: a part's number is divided by ``FAN`` from level to level, so that no task
+    gathers more than ``FAN`` arrays of a piece, however many parts there are.
+    """
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"part": pdf["part"].iloc[:1].tolist(), "piece": pdf["piece"].iloc[:1].tolist(), "counts": [total.tobytes()]})
+
+    parts = stash(parts, "parts")
+    most = parts.agg(F.max("part")).first()[0] or 0
+    while True:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("part", "piece").applyInPandas(add, "part int, piece int, counts binary")
+        most //= FAN
+        if most == 0:
+            return parts.select("piece", "counts")
+        parts = stash(parts, "parts")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(32))

@@ -8,8 +8,9 @@ threshold share a shingle in their prefixes, so sets meet on prefix shingles onl
    as large for any input. A cell may mix shingles; that moves some in the order, which
    stays one order for all, so no pair is lost.
 2. Every document gives its prefix. Documents with one set are one from here on.
-3. Prefix shingles that two sets have are kept; their sets are dealt to square cells of at
-   most about ``2 * CHUNK`` sets, so that a shingle of a third of all rows is shared out.
+3. Prefix shingles that two sets have are kept; their sets are dealt to square cells of
+   about ``2 * CHUNK`` sets or ``2 * HELD`` shingles, whichever is less, so that a shingle of
+   a third of all rows is shared out and cells of long texts hold fewer of them.
 4. A cell lists its pairs by length, by place in the prefix, and only where the shingle is
    the first that the two prefixes share, so each pair is listed in one cell.
 5. Cells that list pairs get the texts of those sets once, drop pairs by the suffix
@@ -29,19 +30,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hash_words, mix, prepare, roll, stash, text_bytes
+from lodestone.llm.common import add_arrays, hash_words, mix, prepare, roll, stash, text_bytes
 from lodestone.operators.graph import connected_components
 
 WIDTH = 3
 BITS = 19
 PIECES = 64
+#: Sets, and shingles, that a side of a cell holds about.
 CHUNK = 512
+HELD = 1 << 21
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -75,31 +78,24 @@ def _counter(width: int):
                 table += np.bincount(np.concatenate(sets), minlength=1 << BITS)
                 seen = True
         if seen:
-            # Small numbers travel as small integers where they fit.
-            kind = np.uint16 if table.max() < 1 << 16 else np.int64
+            part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([part] * PIECES, pa.int32()),
                     pa.array(range(PIECES), pa.int32()),
-                    pa.array([np.dtype(kind).itemsize] * PIECES, pa.int32()),
-                    pa.array([x.astype(kind).tobytes() for x in np.split(table, PIECES)], pa.binary()),
+                    pa.array([x.tobytes() for x in np.split(table, PIECES)], pa.binary()),
                 ],
-                ["piece", "width", "counts"],
+                ["part", "piece", "counts"],
             )
 
     return count
 
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.uint16 if w == 2 else np.int64).astype(np.int64) for w, x in zip(pdf["width"], pdf["counts"]))
-    return pd.DataFrame({"piece": pdf["piece"].iloc[:1].tolist(), "counts": [total.tobytes()]})
-
-
 def shingle_counts(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     """How often each cell's shingles occur, over all documents: ``1 << BITS`` numbers."""
-    parts = docs.select(text_bytes().alias("text")).mapInArrow(_counter(width), "piece int, width int, counts binary")
-    rows = parts.groupBy("piece").applyInPandas(_add, "piece int, counts binary").collect()  # PIECES rows
+    parts = docs.select(text_bytes().alias("text")).mapInArrow(_counter(width), "part int, piece int, counts binary")
     table = np.zeros((PIECES, (1 << BITS) // PIECES), np.int64)
-    for r in rows:
+    for r in add_arrays(parts).collect():  # PIECES rows
         table[r.piece] = np.frombuffer(r.counts, np.int64)
     return table.ravel()
 
@@ -235,7 +231,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verifier(width: int, percent: int):
+def _verifier(width: int, percent: int, degrees: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in by_cell(batches):
             marks, partners, copies, texts = (cell.column(k).to_pylist() for k in range(3, 7))
@@ -245,7 +241,7 @@ def _verifier(width: int, percent: int):
                 if m not in sets and hashlib.md5(s.tobytes()).digest() == m:  # rows may share an id
                     sets[m], pairs[m], weight[m] = s, p, c
             up = {m: m for m in sets}
-            degree = dict.fromkeys(sets, 0)
+            degree, met = dict.fromkeys(sets, 0), set()
 
             def root(m: bytes) -> bytes:
                 while up[m] != m:
@@ -256,12 +252,15 @@ def _verifier(width: int, percent: int):
             for m, raw in pairs.items():
                 for k in range(0, len(raw), 16):
                     other = raw[k : k + 16]
+                    low, high = sorted((root(m), root(other)))
+                    if low == high and not degrees:  # the two are of one class already
+                        continue
                     if linked(sets[m], sets[other], percent):
                         degree[m] += weight[other]
                         degree[other] += weight[m]
-                        low, high = sorted((root(m), root(other)))
+                        met.update((m, other))
                         up[high] = low
-            found = [(m, root(m), d) for m, d in degree.items() if d]
+            found = [(m, root(m), degree[m]) for m in met]
             if found:
                 kinds = (pa.binary(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds)], ["mark", "root", "links"])
@@ -269,8 +268,12 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (documents linked with it) of every row."""
+def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH, degrees: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (documents linked with it) of every row.
+
+    Without ``degrees``, n_links is null, and pairs that others have joined already are not
+    verified: groups of n near copies then cost about n comparisons in each cell, not n * n.
+    """
     spark = docs.sparkSession
     prepare(spark)
     counts = spark.sparkContext.broadcast(shingle_counts(docs, width))  # 1 << BITS numbers, 4 MB
@@ -299,15 +302,16 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
     spread = reps.select("doc_id", "tie", "n", F.posexplode("prefix").alias("at", "token"))
     # Shingles that the same sets share lead to the same pairs: the first of them stands for
     # all. Such groups of sets are told by their number and a digest of their names.
-    group = (F.count("*").alias("df"), F.bit_xor(F.xxhash64("doc_id", "tie")).alias("who"))
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / HELD)).cast("int")
+    group = (F.count("*").alias("df"), chunks.alias("chunks"), F.bit_xor(F.xxhash64("doc_id", "tie")).alias("who"))
     shared = stash(spread.groupBy("token").agg(*group).where("df > 1"), "shared")
     hits = (
         spread.join(shared.hint("merge"), "token")
         .repartition("doc_id", "tie")
-        .groupBy("doc_id", "tie", "n", "df", "who")
+        .groupBy("doc_id", "tie", "n", "df", "chunks", "who")
         .agg(F.min(F.struct("at", "token")).alias("hit"))
         .groupBy("doc_id", "tie", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("hit.at", "hit.token", "df"))).alias("hits"))
+        .agg(F.array_sort(F.collect_list(F.struct("hit.at", "hit.token", "chunks"))).alias("hits"))
     )  # no more than a document's own prefix
     hits = stash(hits.join(groups.hint("merge"), ["doc_id", "tie"]).select("mark", "n", "hits"), "hits")
     dealt = (
@@ -315,7 +319,7 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
         .select(
             F.col("hit.token").alias("token"), "mark", "n", F.col("hit.at").alias("at"),
             F.expr("transform(slice(hits, 1, k), x -> x.token)").alias("before"),
-            F.ceil(F.col("hit.df") / CHUNK).cast("int").alias("chunks"),
+            F.col("hit.chunks").alias("chunks"),
         )
         .withColumn("side", F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -333,7 +337,7 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
         .select(*cell, "mark", "partners", "copies", "text")
         .repartition(*cell)
         .sortWithinPartitions(*cell)
-        .mapInArrow(_verifier(width, percent), "mark binary, root binary, links long"),
+        .mapInArrow(_verifier(width, percent, degrees), "mark binary, root binary, links long"),
         "links",
     )
     found = connected_components(links.select(F.col("mark").alias("a"), F.col("root").alias("b")))
@@ -343,12 +347,12 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
     placed = stash(members.join(least, "root").join(degrees, "mark", "left").select("mark", "component", "links"), "placed")
     classes = stash(
         groups.join(placed, "mark", "left").select(
-            "mark", F.coalesce("component", "doc_id").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+            "mark", F.coalesce("component", "doc_id").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0)) if degrees else F.lit(None).cast("long")).alias("n_links")
         ),
         "classes",
     )
     alone = sets.where("doc_id IS NULL OR mark IS NULL").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0 if degrees else None).cast("long").alias("n_links")
     )
     return (
         sets.where("doc_id IS NOT NULL AND mark IS NOT NULL")
@@ -362,15 +366,18 @@ def drop_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH) -> Data
     """The rows of ``docs`` with one document of each component: that of the least id.
 
     Rows repeated with their text are one document. Rows that share an id but not the text
-    stay apart. Rows without an id or without words stay.
+    stay apart. Rows without an id stay, all of them, and so do those without words. Columns of
+    any name stay as they are. An empty table stays empty.
     """
-    found = join_similar(docs, percent, width)
+    found = join_similar(docs, percent, width, degrees=False)
     kept = stash(
-        found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_least"), F.count("*").alias("_rows")).where("_least = doc_id"), "kept"
-    ).select(F.col("doc_id").alias("_kept"), "_rows")
-    stays = docs.join(kept.hint("merge"), docs["doc_id"] == F.col("_kept"))  # as many rows as documents
-    once = stays.where("_rows = 1").select(*docs.columns)
-    many = stays.where("_rows > 1").withColumn("_digest", F.sha2(text_bytes(), 256)).dropDuplicates(["_kept", "_digest"]).select(*docs.columns)
+        found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows")).where("least = doc_id"), "kept"
+    ).select("doc_id", "rows")
+    # The whole row travels as one column, so that none of its names can clash with ours.
+    held = docs.where("doc_id IS NOT NULL").select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    stays = held.join(kept.hint("merge"), "doc_id")  # as many rows as documents
+    once = stays.where("rows = 1").select("row.*")
+    many = stays.where("rows > 1").withColumn("digest", F.sha2(text_bytes("row.text"), 256)).dropDuplicates(["doc_id", "digest"]).select("row.*")
     return once.unionByName(many).unionByName(docs.where("doc_id IS NULL"))
 
 
