@@ -139,12 +139,64 @@ def test_toxicity_learns_and_keeps_clean(spark):
     assert toxicity.score(docs_of(spark, []), model).count() == 0
 
 
-def test_toxicity_risk_is_kept_from_negative():
-    pos = [np.array([1, 2]) for _ in range(20)]
-    unl = [np.array([3]) for _ in range(80)] + [np.array([1, 2]) for _ in range(20)]
-    m = toxicity.fit(pos, unl, 0.2)
-    assert set(m.weights) == {1, 2} and np.isfinite([*m.weights.values(), m.bias]).all()
-    assert m.bias < 0 < m.bias + sum(m.weights.values())
+def plain_risk(pos, unl, w, prior):
+    """The risk's two parts document by document; documents are sets of features."""
+    p = lambda d: 1 / (1 + math.exp(-(sum(w[i] for i in d) + w[-1])))
+    up = prior * sum(-math.log(p(d)) for d in pos) / len(pos)
+    return up, sum(-math.log(1 - p(d)) for d in unl) / len(unl) - prior * sum(-math.log(1 - p(d)) for d in pos) / len(pos)
+
+
+def test_toxicity_risk_brute():
+    rng = np.random.default_rng(4)
+    draw = lambda n: [np.flatnonzero(rng.random(6) < 0.3) for _ in range(n)]
+    pos, unl = draw(15), draw(40)
+    times = rng.integers(1, 4, 40)
+    many = [d for d, k in zip(unl, times) for _ in range(k)]
+    seen = set()
+    for scale in (0.1, 1.0, 5.0):
+        for prior in (0.05, 0.3, 0.95):
+            w = rng.standard_normal(7) * scale
+            a, b = toxicity.Shown.of(pos), toxicity.Shown.of(unl, times)
+            want = plain_risk(pos, many, w, prior)
+            assert np.allclose(toxicity.risk(a, b, w, prior), want)
+            got, numeric = toxicity.slope(a, b, w, prior), []
+            for i in range(7):
+                step = np.zeros(7)
+                step[i] = 1e-6
+                parts = [plain_risk(pos, many, w + s, prior) for s in (step, -step)]
+                up, negative = [(x - y) / 2e-6 for x, y in zip(*parts)]
+                numeric.append(up + negative if want[1] >= 0 else -negative)
+            assert np.allclose(got, numeric, atol=1e-5)
+            seen.add(want[1] >= 0)
+    assert seen == {True, False}  # both sides of the correction
+
+
+def test_toxicity_fit_separates():
+    pos = [np.array([0, 1])] * 20
+    unl = [np.zeros(0, int)] * 80 + [np.array([0, 1])] * 20
+    w = toxicity.fit(toxicity.Shown.of(pos), toxicity.Shown.of(unl), 2, 0.2)
+    assert np.isfinite(w).all() and w[-1] < 0 < w.sum()
+
+
+def test_toxicity_shards_and_repeated_ids(spark):
+    random.seed(2)
+    rows = [(i, " ".join(random.choice("abcdefgh") * 3 for _ in range(20)) + (" foul" if i % 5 == 0 else ""), "s") for i in range(600)]
+    docs = docs_of(spark, rows + [rows[5]] * 300)
+    lab = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(0, 600, 3)], "doc_id long, quality int, toxic int")
+    for shard in (9000, 100):  # one classifier, and the mean of several
+        model = toxicity.train(docs, lab, shard=shard)
+        assert all(r.predicted == int(r.doc_id % 5 == 0) for r in toxicity.score(docs, model).collect())
+    again = toxicity.train(docs.repartition(5), lab, shard=100)
+    assert again == model
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    bad, good = got[got.toxic == 1].score.to_numpy(), got[got.toxic == 0].score.to_numpy()
+    auc = np.mean([(b > good).mean() + (b == good).mean() / 2 for b in bad])
+    print("held out:", len(bad), len(good), "auc", auc, "caught", (bad >= 0.3).mean(), "false", (good >= 0.3).mean())
+    assert len(bad) > 50 and auc > 0.85 and (bad >= 0.3).mean() > 0.7 and (good >= 0.3).mean() < 0.02
 
 
 def brute_components(rows, percent=90):
