@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import os
 import re
 import uuid
@@ -27,7 +28,7 @@ from lodestone.llm.common import prepare, shared_dir, stash, text_bytes
 
 #: A blank that stands alone between characters that are no white space.
 ALONE = re.compile(r" (?<=\S )(?=\S)")
-#: Units that a worker remembers at a time.
+#: Units, and digests, that a worker remembers at a time.
 MEMORY = 300_000
 CACHE = "digest binary, n_tokens long"
 
@@ -47,6 +48,10 @@ class Counter:
     characters, and special strings hold no blank, so a text's count is the sum of its
     units' counts, a unit being the stretch from one such blank up to the next. Units come
     again and again and are encoded once while a worker remembers them.
+
+    That is read from the tokenizer's own description: byte-level pieces by the usual pattern,
+    no blank put before a text, no normaliser, no added token that holds white space or eats
+    the white space beside it. Texts of any other tokenizer are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -57,11 +62,27 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
+        self.by_unit = self._splits_at_blanks(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _splits_at_blanks(config: dict) -> bool:
+        pre = config.get("pre_tokenizer") or {}
+        added = config.get("added_tokens") or []
+        return (
+            config.get("normalizer") is None
+            and config.get("model", {}).get("type") == "BPE"
+            and pre.get("type") == "ByteLevel"
+            and pre.get("use_regex", True)
+            and not pre.get("add_prefix_space")
+            and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        )
 
     def encoded(self, units: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def count(self, texts: list[str]) -> list[int]:
+        if not self.by_unit:
+            return self.encoded(texts)
         split = [ALONE.split(t) for t in texts]
         if len(self.known) > MEMORY:
             self.known.clear()
@@ -80,9 +101,11 @@ def _encoder(path: str):
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 new = []
-                for d in part.column(0).to_pylist():  # repeated rows lie together
+                for d in part.column(0).to_pylist():  # repeated rows lie together; those missed are dropped below
                     new.append(d not in seen)
                     seen.add(d)
+                if len(seen) > MEMORY:
+                    seen.clear()
                 part = part.filter(pa.array(new, pa.bool_()))
                 counts = counter.count([x.as_py().decode("utf-8", "replace") for x in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
