@@ -3,15 +3,16 @@
 Vectors are projected on ``PROJECTIONS`` random lines; on each line the block's vectors
 are a sorted array. A query opens a narrow window around its own projection on every line
 and widens all windows alike (virtual rehashing: the hash's radius grows, nothing is hashed
-anew; only what a window gains is counted). Vectors that fall into ``THRESHOLD`` of the
-windows are verified by their exact inner product on the original components.
+anew; only what a window gains is counted). Vectors that fall into enough of the windows
+are verified by their exact inner product on the original components.
 
 Two vectors at distance d lie within h of each other on a line with probability
-2 Phi(h / d) - 1. So as soon as ``k`` vectors are verified, the k-th best distance d_k says
-how often a vector that is nearer must collide, and windows of ``STOP`` times d_k are wide
-enough to tell: there the search stops widening, and verifies every vector that collides no
-more than ``sigmas`` standard deviations less often than one at d_k would. How many that
-are follows from the data: few in clusters, a fifth of all where all vectors are about as
+2 Phi(h / d) - 1. The vectors that collide most are verified at once; the k-th best distance
+d_k among them says how often a vector that is nearer must collide, and windows of ``STOP`` times d_k are wide
+enough to tell: windows are widened to that, or not at all if they are wider, and every
+vector is verified that collides no more than ``sigmas`` standard deviations less often than
+one at d_k would. How many that
+are follows from the data: few in clusters, half of all where all vectors are about as
 far apart (and there no index saves much). No number of candidates is set, and none is cut.
 ``sigmas=inf`` verifies every vector, which is exact.
 
@@ -41,16 +42,14 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import prepare, stash
 
-PROJECTIONS = 128
+PROJECTIONS = 64
 BLOCK = 16384
 QUERIES = 4096
-#: A vector that falls into this share of the windows is verified while they widen.
-THRESHOLD = 0.8
 #: Half a window, over the k-th best distance, at which widening stops: 80 % of collisions.
 STOP = 1.2816
-#: Half of the first windows, over the greatest norm, and by how much they widen.
+#: Half of the first windows, over the greatest norm; and how many times k vectors are verified at once.
 START = 0.1
-GROWTH = 1.35
+FIRST = 4
 SIGMAS = 2.0
 SEED = 20
 #: Queries whose windows a task holds at a time.
@@ -75,7 +74,7 @@ class Block:
         self.lines = lines[:-1]
         fill = np.sqrt(np.maximum(reach * reach - (vectors * vectors).sum(axis=1), 0.0))
         at = vectors @ self.lines + fill[:, None] * lines[-1]
-        self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T.astype(np.int32))
+        self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
         self.values = np.ascontiguousarray(np.take_along_axis(at, self.order.T, axis=0).T)
 
     def places(self, queries: np.ndarray) -> np.ndarray:
@@ -88,11 +87,16 @@ class Block:
         lo = np.stack([np.searchsorted(v, p - half) for v, p in columns], axis=1)
         return lo, np.stack([np.searchsorted(v, p + half, "right") for v, p in columns], axis=1)
 
-    def gained(self, lo: np.ndarray, hi: np.ndarray, was_lo: np.ndarray, was_hi: np.ndarray) -> np.ndarray:
-        """In how many windows each vector falls that it did not fall into before."""
+    def widen(self, hits: np.ndarray, lo: np.ndarray, hi: np.ndarray, was_lo: np.ndarray, was_hi: np.ndarray) -> np.ndarray:
+        """In how many windows each vector falls, from what narrower ones held; counted from the emptier side."""
         n = len(self.ids)
-        parts = [x for o, a, b, c, d in zip(self.order, lo.tolist(), hi.tolist(), was_lo.tolist(), was_hi.tolist()) for x in (o[a:c], o[d:b])]
-        return np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
+        inside = int((hi - lo - was_hi + was_lo).sum())
+        outside = n * PROJECTIONS - int((hi - lo).sum())
+        if inside <= outside:
+            parts = [x for o, a, b, c, d in zip(self.order, lo.tolist(), hi.tolist(), was_lo.tolist(), was_hi.tolist()) for x in (o[a:c], o[d:b])]
+            return hits + np.bincount(np.concatenate(parts), minlength=n)
+        parts = [x for o, a, b in zip(self.order, lo.tolist(), hi.tolist()) for x in (o[:a], o[b:])]
+        return PROJECTIONS - np.bincount(np.concatenate(parts), minlength=n)
 
     def distance(self, score: float, norm: float) -> float:
         """The distance that an inner product with a query of this norm stands for."""
@@ -115,34 +119,32 @@ class Block:
         n = len(self.ids)
         places, norms = self.places(queries), np.sqrt((queries * queries).sum(axis=1))
         half = np.full(len(queries), START * self.reach)
-        middle = self.windows(places, np.zeros(len(queries)))[0]
-        was_lo, was_hi = middle, middle.copy()
-        hits = {i: np.zeros(n, np.int16) for i in range(len(queries))}
-        best: dict[int, np.ndarray] = {}  # the k best scores verified so far
-        verified = {i: np.zeros(n, bool) for i in range(len(queries))}
+        held = self.windows(places, np.zeros(len(queries)))[0]
+        was_lo, was_hi = held, held.copy()
+        hits: dict[int, np.ndarray] = {}
+        best: dict[int, float] = {}  # the k-th best distance verified so far
         open_ = np.arange(len(queries))
         while len(open_):
             lo, hi = self.windows(places[open_], half[open_])
             again = []
             for at, i in enumerate(open_.tolist()):
-                seen = hits[i]
-                seen += self.gained(lo[at], hi[at], was_lo[i], was_hi[i])
+                seen = self.widen(hits.pop(i, 0), lo[at], hi[at], was_lo[i], was_hi[i])
                 was_lo[i], was_hi[i] = lo[at], hi[at]
-                new = np.flatnonzero((seen >= THRESHOLD * PROJECTIONS) & ~verified[i])
-                verified[i][new] = True
-                new = new[self.ids[new] != owners[i]]
-                scores = np.concatenate([best.get(i, np.zeros(0)), self.vectors[new] @ queries[i]])
-                best[i] = scores if len(scores) <= k else -np.partition(-scores, k - 1)[:k]
                 whole = int((hi[at] - lo[at]).min()) == n
-                far = self.distance(float(best[i].min()), norms[i]) if len(best[i]) >= k else math.inf
+                # The vectors that collide most are verified first: they tell how wide windows need to be.
+                most = np.argpartition(seen, n - FIRST * k)[n - FIRST * k :] if n > FIRST * k else np.arange(n)
+                scores = self.vectors[most[self.ids[most] != owners[i]]] @ queries[i]
+                far = best.get(i, math.inf)
+                if len(scores) >= k:
+                    far = best[i] = min(far, self.distance(float(np.partition(scores, len(scores) - k)[len(scores) - k]), norms[i]))
                 if not whole and half[i] < STOP * far:
                     # The k-th best can only come nearer: no window needs to be wider than it says now.
-                    half[i] = min(half[i] * GROWTH, STOP * far)
+                    half[i] = STOP * far if math.isfinite(far) else 2 * half[i]
+                    hits[i] = seen
                     again.append(i)
                     continue
-                rows = np.arange(n) if whole and not math.isfinite(far) else np.flatnonzero(seen >= self.least_hits(half[i], far))
+                rows = np.arange(n) if not math.isfinite(far) else np.flatnonzero(seen >= self.least_hits(half[i], far))
                 yield i, *self.nearest(int(owners[i]), queries[i], rows, k)
-                del hits[i], verified[i]
             open_ = np.array(again, np.int64)
 
     def nearest(self, own: int, query: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
