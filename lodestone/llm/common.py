@@ -8,7 +8,7 @@ the Python parts of the operators take text as binary.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,14 +56,14 @@ def add_arrays(parts: DataFrame) -> DataFrame:
     gathers more than ``FAN`` arrays of a piece, however many parts there are.
     """
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1].tolist(), "piece": pdf["piece"].iloc[:1].tolist(), "counts": [total.tobytes()]})
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
+        return pa.table({"part": table.column("part")[:1], "piece": table.column("piece")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     parts = stash(parts, "parts")
     most = parts.agg(F.max("part")).first()[0] or 0
     while True:
-        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("part", "piece").applyInPandas(add, "part int, piece int, counts binary")
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("part", "piece").applyInArrow(add, "part int, piece int, counts binary")
         most //= FAN
         if most == 0:
             return parts.select("piece", "counts")

@@ -38,7 +38,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm.common import mix, prepare, text_bytes
 
@@ -49,7 +50,7 @@ FLOOR = -1e8
 PENALTY = 10.0
 WORDS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 #: Words remembered by a worker at a time, and longest word that is batched.
-MEMORY = 300_000
+MEMORY = 200_000
 LONG = 48
 #: Documents whose words are segmented together, and their bytes.
 ROWS = 512
@@ -336,8 +337,11 @@ class Memory:
         self.learn(set(distinct))
         return np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
 
-    def encode(self, words: list[str], no: np.ndarray, n: int) -> tuple[list[float], list[np.ndarray]]:
-        """Scores and ids of the ``n`` best segmentations of words and their numbers."""
+    def encode(self, words: list[str], no: np.ndarray, n: int) -> tuple[np.ndarray, list[float], list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """Ids of the best segmentation of words and their numbers, the ``n`` best scores, and the edits of the others.
+
+        An edit (at, drop, ids) puts ``ids`` in the place of ``drop`` ids of the best from ``at`` on.
+        """
         sizes = self.starts[no + 1] - self.starts[no]
         ends = np.cumsum(sizes)
         count = int(ends[-1]) if len(ends) else 0
@@ -347,23 +351,28 @@ class Memory:
         order = np.argpartition(loss, few - 1)[:few] if 0 < few < len(words) else np.arange(few)
         order = np.sort(order).tolist()
         choices = [self.nbest(words[i], n) for i in order]
-        scores, every = [], []
+        scores, edits = [], []
         for score, picks in combine(float(self.score[no].sum()), choices, n):
             scores.append(score)
-            parts, at = [], 0
-            for i, options, k in zip(order, choices, picks):
-                if k:  # another segmentation of this word than its best
-                    parts += [ids[at : ends[i] - sizes[i]], np.array(options[k][1], np.int32)]
-                    at = ends[i]
-            every.append(np.concatenate([*parts, ids[at:]]) if parts else ids)
-        return scores, every
+            edits.append([(int(ends[i] - sizes[i]), int(sizes[i]), o[k][1]) for i, o, k in zip(order, choices, picks) if k])
+        return ids, scores, edits[1:]
+
+
+def edited(best: list[int], edits) -> list[int]:
+    """The ids of another segmentation, from those of the best and its edits (at, drop, ids) in order."""
+    out, last = [], 0
+    for at, drop, ids in edits:
+        out += [*best[last:at], *ids]
+        last = at + drop
+    return out + list(best[last:])
 
 
 def encode_nbest(text: str, path: str, n: int = BEST) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations of a text: (score, ids), best first."""
     memory, words = Memory(load(path)), split(text)
-    scores, every = memory.encode(words, memory.numbers(words), n)
-    return [(score, ids.tolist()) for score, ids in zip(scores, every)]
+    ids, scores, edits = memory.encode(words, memory.numbers(words), n)
+    best = ids.tolist()
+    return [(score, edited(best, e)) for score, e in zip(scores, [[], *edits])]
 
 
 def lists(rows: list[np.ndarray]) -> pa.Array:
@@ -372,6 +381,15 @@ def lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]), pa.int32()))
 
 
+EDITS = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
+
+def edit_lists(rows: list[list[list[tuple]]]) -> pa.Array:
+    """Edits of each row's other segmentations as one Arrow array."""
+    made = [[[{"at": a, "drop": d, "ids": list(i)} for a, d, i in one] for one in row] for row in rows]
+    return pa.array(made, EDITS)
+
+
 def portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """(first, count) of runs of rows of at most ``ROWS`` rows, and ``BYTES`` bytes if more than one."""
     first, held = 0, 0
@@ -392,41 +410,41 @@ def _encoder(path: str, n: int):
             last = b.num_columns - 1
             for lo, rows in portions(pc.binary_length(b.column(last)).to_pylist()):
                 part = b.slice(lo, rows)
-                best, others, counts, scores, exact = [], [], [0], [], []
+                best, others, scores, exact = [], [], [], []
                 raw = [x.as_py() for x in part.column(last)]
                 texts = [split(t.decode("utf-8", "replace")) for t in raw]
                 no = memory.numbers(list(itertools.chain.from_iterable(texts)))
                 parts = np.split(no, np.cumsum([len(w) for w in texts])[:-1])
                 for text, words, own in zip(raw, texts, parts):
-                    found, every = memory.encode(words, own, n)
-                    best.append(every[0])
-                    others += every[1:]
-                    counts.append(len(others))
+                    ids, found, edits = memory.encode(words, own, n)
+                    best.append(ids)
+                    others.append(edits)
                     scores.append(found)
-                    exact.append(model.raw(every[0].tolist()).replace(BLANK.encode(), b" ")[bool(words) :] == text)
+                    exact.append(model.raw(ids.tolist()).replace(BLANK.encode(), b" ")[bool(words) :] == text)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(k) for k in range(last)),
                         lists(best),
                         pa.array([len(i) for i in best], pa.int64()),
                         pa.array(scores, pa.list_(pa.float64())),
-                        pa.ListArray.from_arrays(pa.array(counts, pa.int32()), lists(others)),
+                        edit_lists(others),
                         pa.array(exact, pa.bool_()),
                     ],
-                    [*b.schema.names[:last], "piece_ids", "n_pieces", "nbest_scores", "other_ids", "round_trip"],
+                    [*b.schema.names[:last], "piece_ids", "n_pieces", "nbest_scores", "nbest_edits", "round_trip"],
                 )
 
     return run
 
 
-ENCODED = "piece_ids array<int>, n_pieces long, nbest_scores array<double>, other_ids array<array<int>>, round_trip boolean"
+ENCODED = "piece_ids array<int>, n_pieces long, nbest_scores array<double>, nbest_edits array<array<struct<at:int,drop:int,ids:array<int>>>>, round_trip boolean"
 
 
 def encode_rows(docs: DataFrame, keep: tuple[str, ...], path: str, n: int = BEST) -> DataFrame:
-    """The columns ``keep`` of every row, and its piece_ids, n_pieces, nbest_scores, other_ids and round_trip.
+    """The columns ``keep`` of every row, and its piece_ids, n_pieces, nbest_scores, nbest_edits and round_trip.
 
-    ``piece_ids`` is the best segmentation, ``other_ids`` holds the second to the ``n``-th,
-    ``nbest_scores`` the scores of all of them.
+    ``piece_ids`` is the best segmentation and ``nbest_scores`` has the scores of all ``n``.
+    ``nbest_edits`` holds the second to the ``n``-th as what differs from the best in order of
+    place, a few words each; ``segmentations`` writes them out.
     """
     prepare(docs.sparkSession)
     rows = docs.select(*keep, text_bytes().alias("text"))
@@ -435,10 +453,27 @@ def encode_rows(docs: DataFrame, keep: tuple[str, ...], path: str, n: int = BEST
 
 
 def encode(docs: DataFrame, path: str, n: int = BEST) -> DataFrame:
-    """doc_id, piece_ids, n_pieces, nbest_scores, other_ids and round_trip of every document."""
+    """doc_id, piece_ids, n_pieces, nbest_scores, nbest_edits and round_trip of every document."""
     return encode_rows(docs, ("doc_id",), path, n)
 
 
+def segmentations(encoded: DataFrame) -> DataFrame:
+    """doc_id, rank (from 1), score and piece_ids: every segmentation of every row of ``encoded`` in full."""
+    best = F.col("piece_ids")
+
+    def spelled(edits: Column) -> Column:
+        """Pieces between the edits, and the edits, in order."""
+        stops = F.concat(F.transform(edits, lambda e: e["at"]), F.array(F.size(best)))
+        starts = F.concat(F.array(F.lit(0)), F.transform(edits, lambda e: e["at"] + e["drop"]))
+        kept = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda x: F.slice(best, x["a"] + 1, x["b"] - x["a"]))
+        return F.flatten(F.zip_with(kept, F.transform(edits, lambda e: e["ids"]), lambda k, i: F.concat(k, F.coalesce(i, F.array().cast("array<int>")))))
+
+    none = F.array(F.array().cast("array<struct<at:int,drop:int,ids:array<int>>>"))
+    every = F.arrays_zip(F.col("nbest_scores").alias("score"), F.concat(none, F.col("nbest_edits")).alias("edits"))
+    rows = encoded.select("doc_id", "piece_ids", F.posexplode(every).alias("at", "one"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("rank"), F.col("one.score").alias("score"), spelled(F.col("one.edits")).alias("piece_ids"))
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of every row of ``encoded`` (doc_id, piece_ids)."""
     prepare(encoded.sparkSession)

@@ -692,10 +692,13 @@ def test_encode_and_decode(spark, edge_rows, model):
     assert enc.count() == len(rows) and all(r.round_trip for r in got.values())
     assert got[2].n_pieces == 0 and got[2].nbest_scores == [0.0] and len(got[5].nbest_scores) == 4
     assert all(list(r.nbest_scores) == sorted(r.nbest_scores, reverse=True) and len(r.piece_ids) == r.n_pieces for r in got.values())
-    assert all(len(r.other_ids) == len(r.nbest_scores) - 1 for r in got.values())
-    texts = {i: t or "" for i, t, _ in rows}
+    assert all(len(r.nbest_edits) == len(r.nbest_scores) - 1 for r in got.values())
+    texts, full = {i: t or "" for i, t, _ in rows}, {}
+    for r in piece_nbest.segmentations(enc.dropDuplicates(["doc_id"])).orderBy("doc_id", "rank").collect():
+        full.setdefault(r.doc_id, []).append((r.score, tuple(r.piece_ids)))
     for i, r in got.items():  # every segmentation spells its text, none comes twice
-        every = [tuple(r.piece_ids), *map(tuple, r.other_ids)]
+        every = [ids for _, ids in full[i]]
+        assert every[0] == tuple(r.piece_ids) and [s for s, _ in full[i]] == list(r.nbest_scores)
         assert len(set(every)) == len(every) and all(model.decode(x) == texts[i] for x in every)
         alone = piece_nbest.encode_nbest(texts[i], path)
         assert [s for s, _ in alone] == list(r.nbest_scores) and [tuple(x) for _, x in alone] == every
