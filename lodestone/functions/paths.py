@@ -12,12 +12,24 @@ MAX_PATTERNS = 64
 MAX_LENGTH = 256
 #: Where tests live.
 TEST_GLOBS = (
-    "**/tests/**", "**/test/**", "**/__tests__/**", "**/spec/**", "**/specs/**", "**/testdata/**", "**/fixtures/**",
-    "**/*_test.go", "**/*_test.py", "**/test_*.py", "**/*_test.rs", "**/*.test.ts", "**/*.test.tsx", "**/*.test.js",
-    "**/*.spec.ts", "**/*.spec.tsx", "**/*.spec.js", "**/*Test.java", "**/*Tests.java", "**/*Test.kt", "**/*Tests.cs",
+    "**/tests/**", "**/__tests__/**", "**/test/**", "**/spec/**", "**/tests.rs", "**/*_test.rs", "**/*_tests.rs", "**/*_test.go",
+    "**/*_test.dart", "**/integration_test/**/*.dart", "**/*_test.py", "**/test_*.py", "**/*.test.ts", "**/*.test.tsx",
+    "**/*.test.js", "**/*.test.jsx", "**/*.spec.ts", "**/*.spec.tsx", "**/*.spec.js", "**/*.spec.jsx", "**/*_spec.rb",
+    "**/*Test.java", "**/*Tests.java", "**/*Test.kt", "**/*Tests.kt", "**/*Tests.cs", "**/*Tests.swift", "**/*.Tests/**",
+    "**/test_*.cc", "**/test_*.cpp", "**/*_test.cc", "**/*_test.cpp", "**/conftest.py",
 )
 #: Extensions of prose.
-DOC_EXTENSIONS = ("md", "mdx", "markdown", "rst", "txt", "adoc", "org")
+DOC_EXTENSIONS = ("md", "markdown", "txt", "rst", "adoc")
+#: Banners of generators, by tool, that one of the first ten lines may hold.
+BANNERS = (
+    ("automatically generated by rust-bindgen", "rust-bindgen"),
+    ("@generated automatically by Diesel CLI", "diesel-cli"),
+    ("auto generated by OpenAPI Generator", "openapi-generator"),
+    ("Code generated by Prisma", "prisma"),
+    ("Generated by the gRPC Python protocol compiler plugin", "grpc-python"),
+)
+#: How many lines a banner is looked for in.
+BANNER_LINES = 40
 
 
 def glob_regex(pattern: str) -> str:
@@ -80,11 +92,12 @@ class PathScope:
 
 
 def extension(path: Column) -> Column:
-    return F.regexp_extract(path, r"\.([^./]+)$", 1)
+    """What follows the last dot of a file's name; nothing for a name that only starts with one."""
+    return F.regexp_extract(path, r"[^/]\.([^./]*)$", 1)
 
 
 def is_test_path(path: Column, globs=TEST_GLOBS) -> Column:
-    return path.rlike(any_glob(globs))
+    return F.translate(path, "\\", "/").rlike(any_glob(globs))
 
 
 def is_doc_path(path: Column) -> Column:
@@ -92,27 +105,58 @@ def is_doc_path(path: Column) -> Column:
 
 
 def framework(path: Column) -> Column:
-    """The test framework that a path suggests."""
-    return (
-        F.when(path.rlike(r"_test\.go$"), "go-test")
-        .when(path.rlike(r"(^|/)test_[^/]*\.py$|_test\.py$"), "pytest")
-        .when(path.rlike(r"\.(test|spec)\.[jt]sx?$"), "jest")
-        .when(path.rlike(r"Tests?\.java$|Tests?\.kt$"), "junit")
-        .when(path.rlike(r"Tests?\.cs$"), "xunit")
-        .when(path.rlike(r"\.rs$"), "cargo-test")
-        .otherwise("unknown")
+    """The test framework that a path suggests; the first rule that fits counts."""
+    rules = (
+        (r"(^|/)tests/.*\.rs$", "rust-integration"),
+        (r"_test\.rs$", "rust-cargo"),
+        (r"_test\.go$", "go-test"),
+        (r"(^|/)(test_[^/]*\.py|[^/]*_test\.py|conftest\.py)$|/tests?/.*\.py$", "pytest"),
+        (r"^(?=.*(\.test\.|\.spec\.|__tests__/)).*\.(ts|tsx|js|jsx)$", "jest"),
+        (r"Tests?\.java$", "junit"),
+        (r"Tests?\.kt$", "kotest"),
+        (r"Tests\.cs$|\.Tests/.*\.cs$", "xunit"),
+        (r"_test\.(cc|cpp)$|/test_.*\.(cc|cpp)$", "gtest"),
     )
+    out = F.lit("unknown")
+    for pattern, label in reversed(rules):
+        out = F.when(path.rlike(pattern), label).otherwise(out)
+    return out
+
+
+def generated_by(text: Column) -> Column:
+    """(tool, source) by a generator's banner in the first lines; a null tool without one.
+
+    ``source`` is the file that a banner names on a line of its own, anywhere in those lines.
+    """
+    lines = F.transform(F.slice(F.split(text, "\n", BANNER_LINES + 1), 1, BANNER_LINES), lambda x: F.regexp_replace(x, "\r$", ""))
+
+    def tool_and_source(x: Column) -> Column:
+        among = lambda n, test: F.exists(F.slice(x, 1, n), test)
+        has = lambda n, part: among(n, lambda y: y.contains(part))
+        body = lambda y: F.regexp_extract(y, r"^\s*(?://|#|--) (.*?)\s*$", 1)
+        banner = among(BANNER_LINES, lambda y: body(y).startswith("Code generated ") & body(y).endswith(" DO NOT EDIT."))
+        javah = F.trim(F.get(x, 0)) == "/* DO NOT EDIT THIS FILE - it is machine generated */"
+        tool = (
+            F.when(banner, "code-generated-banner")
+            .when(has(3, "Generated by the protocol buffer compiler.  DO NOT EDIT!"), "protoc")
+            .when(has(8, "GENERATED CODE -- DO NOT EDIT!"), "protoc-js")
+            .when(has(6, "Autogenerated by Thrift Compiler"), "thrift")
+            .when(javah & has(3, "#include <jni.h>"), "javah")
+        )
+        for part, name in BANNERS:
+            tool = tool.when(has(10, part), name)
+        tool = tool.when(among(5, lambda y: y.rlike(r"^\s*(//|\*|#|/\*)\s*@generated")), "generated-annotation")
+        named = F.transform(x, lambda y: F.trim(F.regexp_extract(body(y), "^source: (.*)$", 1)))
+        source = F.get(F.filter(named, lambda y: y != ""), 0)
+        return F.struct(tool.alias("tool"), F.when(tool.isNotNull(), source).alias("source"))
+
+    # The lines are bound once, as a lambda's variable.
+    return F.element_at(F.transform(F.array(lines), tool_and_source), 1)
 
 
 def is_generated(text: Column) -> Column:
     """Whether one of the first lines bears a generator's banner."""
-    lines = F.slice(F.split(text, "\n"), 1, 40)
-    banner = r"^(//|#|--) Code generated .* DO NOT EDIT\.$"
-    phrase = r"(?i)(auto-?generated by|generated by the protocol buffer compiler|this file was automatically generated)"
-    early = F.slice(lines, 1, 10)
-    return F.exists(lines, lambda x: x.rlike(banner)) | F.exists(early, lambda x: x.rlike(phrase)) | F.exists(
-        F.slice(lines, 1, 5), lambda x: x.rlike(r"^\s*(//|#|--|\*|/\*+)\s*@generated")
-    )
+    return generated_by(text)["tool"].isNotNull()
 
 
 def metadata_matches(signature: Column, visibility: str | None = None, modifiers: tuple[str, ...] = ()) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 #: Words that a query does not search for.
 STOPWORDS = (
-    "a", "an", "the", "is", "are", "was", "in", "of", "to", "for", "and", "or", "that", "this", "it", "with", "on", "by", "from", "as", "at", "be",
+    "the", "a", "an", "is", "are", "of", "to", "in", "for", "on", "with", "it", "this", "that",
+    "and", "or", "but", "if", "as", "at", "by", "from",
 )
 #: What separates the words of a document.
 SEPARATOR = r"[^\p{L}\p{N}_]+"
@@ -46,13 +47,15 @@ def is_identifier(name: Column) -> Column:
     return name.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
-#: Names that belong to a language's standard library.
-STDLIB = ("println", "print", "format", "vec", "panic", "assert", "assert_eq", "assert_ne", "len", "unwrap", "expect", "clone", "into")
+#: Names of standard-library methods.
+STDLIB = (
+    "c_str", "size", "length", "empty", "begin", "end", "cbegin", "cend", "front", "back", "push_back", "pop_back", "emplace_back",
+)
 
 
 def is_stdlib_or_macro(name: Column) -> Column:
-    """Names of the standard library, dunder names, and short names in capitals."""
-    return name.startswith("std::") | name.startswith("__") | name.isin(*STDLIB) | name.rlike(r"^[A-Z]{1,6}$")
+    """Qualified or reserved names, common methods, and names in capitals of at most six bytes."""
+    return name.startswith("std::") | name.startswith("__") | name.isin(*STDLIB) | name.rlike(r"^(?=[_0-9]*[A-Z])[A-Z_0-9]{1,6}$")
 
 
 def looks_like_test(name: Column) -> Column:
@@ -96,11 +99,10 @@ def ancestors(path: Column) -> Column:
 
 
 def query_shape(query: str) -> str:
-    """What kind of name a query looks like, by its letters."""
-    if re.fullmatch(r"[A-Z][A-Z0-9]*(_[A-Z0-9]+)+", query):
+    """What kind of name a query looks like, by its letters: constant, type, function or ambiguous."""
+    mixed, capital = re.search("[a-z]", query), re.match("[A-Z]", query)
+    if re.fullmatch("[A-Z_]{2,}", query) and "_" in query:
         return "constant"
-    if re.fullmatch(r"[A-Z][A-Za-z0-9]*", query) and re.search("[a-z]", query):
+    if capital and mixed:
         return "type"
-    if re.fullmatch(r"[a-z][a-z0-9]*(_[a-z0-9]+)*", query) or re.fullmatch(r"[a-z]+([A-Z][a-z0-9]*)+", query):
-        return "function"
-    return "ambiguous"
+    return "function" if "_" in query or (mixed and re.search("[A-Z]", query)) else "ambiguous"

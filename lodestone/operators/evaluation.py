@@ -34,3 +34,21 @@ def report(scores: DataFrame) -> DataFrame:
     return scores.rollup("query_type").agg(
         F.count("*").alias("n"), F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall"), F.avg("mrr").alias("mrr")
     )
+
+
+def containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of ``documents`` (doc_id, body) that hold the whole text of ``passages`` (item_id, text).
+
+    A passage looks for documents by one word of its own that stands between two separators, the
+    one that the fewest documents have; what meets is compared whole. A passage of fewer than
+    three words is compared with all documents.
+    """
+    split = r"[^\\p{L}\\p{N}_]+"
+    inner = F.expr(f"array_distinct(filter(slice(split(text, '{split}'), 2, greatest(size(split(text, '{split}')) - 2, 0)), x -> x <> ''))")
+    asked = passages.select("item_id", "text", F.explode(inner).alias("word"))
+    terms = documents.select("doc_id", F.explode(F.expr(f"array_distinct(split(body, '{split}'))")).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    rare = asked.join(terms.groupBy("word").agg(F.count("*").alias("df")), "word").groupBy("item_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    met = terms.join(rare, "word").select("item_id", "doc_id")
+    near = met.join(passages.select("item_id", "text"), "item_id").join(documents, "doc_id").where(F.contains("body", F.col("text"))).select("item_id", "doc_id")
+    short = passages.where((F.size(inner) == 0) & F.col("text").isNotNull()).select("item_id", "text")
+    return near.unionByName(documents.join(short, F.contains("body", F.col("text"))).select("item_id", "doc_id"))

@@ -17,7 +17,7 @@ from lodestone.operators.graph import connected_components
 #: Fixed values of rename scoring.
 MIN_LENGTH_RATIO, MIN_JACCARD, MIN_SCORE = 0.60, 0.70, 0.65
 WITH_COSINE, WITHOUT_COSINE = (0.70, 0.20, 0.10), (0.78, 0.22)
-SLOTS, BAND_ROWS = 240, 5
+SLOTS, BAND_ROWS = 240, 12
 MAX_PREFIX_NAMES = 50
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,14 +15,18 @@ from lodestone.functions.text import query_shape
 #: Fixed values of fusion and re-ranking.
 RRF_K = 60
 KIND_BOOST = {
-    "type": (("struct", "class", "interface", "trait", "enum"), 1.3),
+    "type": (("class", "struct", "interface", "trait", "enum", "type_alias"), 1.3),
     "function": (("function", "method"), 1.2),
-    "constant": (("constant",), 1.1),
+    "constant": (("constant", "property"), 1.1),
 }
 IMPL, HEADING, EXACT, TEST, HINT = 0.7, 0.6, 1.5, 0.8, 1.4
 DEPTH_STEP, DEPTH_FLOOR = 0.02, 0.5
 OVERLAP_STEP, OVERLAP_CAP = 0.08, 1.4
 SAME_DIR, SIBLING_DIR = 1.15, 1.05
+#: What an infinite score is taken for.
+LARGEST = sys.float_info.max / 2
+#: Other names of kinds that can be asked for.
+KIND_NAMES = {"def": "def", "definition": "def", "comment": "comment", "test": "test", "ref": "ref", "reference": "ref"}
 
 
 def ranks(rows: DataFrame, score: str = "score", tie: str = "sym_id") -> DataFrame:
@@ -46,40 +53,68 @@ def fuse(lists: list[DataFrame]) -> DataFrame:
 
 
 def kind_boost(kind: Column, shape: str) -> Column:
-    out = F.lit(1.0)
-    if shape in KIND_BOOST:
-        kinds, boost = KIND_BOOST[shape]
-        out = F.when(kind.isin(*kinds), boost).otherwise(out)
-    return out
+    """How much a kind counts for a query of this shape; blocks of implementation count less, but for constants."""
+    kinds, boost = KIND_BOOST.get(shape, ((), 1.0))
+    out = F.lit(1.0) if shape == "constant" else F.when(kind == "impl", IMPL).otherwise(1.0)
+    return F.when(kind.isin(*kinds), boost).otherwise(out) if kinds else out
+
+
+def kinds_asked(kind: str | None) -> list[str]:
+    """The kinds of a list with commas, other names resolved."""
+    return [KIND_NAMES.get(k, k) for x in (kind or "").split(",") if (k := x.strip())]
+
+
+def has_kind(asked: list[str]) -> Column:
+    """Whether a row (kind, path) is of any of the kinds asked for."""
+    rules = {
+        "def": F.col("kind") != "heading",
+        "comment": F.col("kind") == "heading",
+        "test": is_test_path(F.col("path")),
+        "ref": F.lit(False),  # usages alone have references
+    }
+    return reduce(lambda a, b: a | b, (rules.get(k, F.col("kind") == k) for k in asked), F.lit(False))
+
+
+def nearness(near: str) -> Column:
+    """How much a row's path counts beside the path ``near``: directories they share from the top, and neighbourhood."""
+    above = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    own = above(near)
+    here = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    parent = F.when(F.contains(here, F.lit("/")), F.regexp_replace(here, "/[^/]*$", "")).otherwise("")
+    parts = own.split("/")
+    prefixes = ["/".join(parts[: i + 1]) for i in range(len(parts))] if own else []
+    shared = sum((((here == p) | here.startswith(p + "/")).cast("int") for p in prefixes), F.lit(0))
+    overlap = F.when(shared > 0, F.least(F.lit(OVERLAP_CAP), 1 + OVERLAP_STEP * shared)).otherwise(1.0)
+    beside = F.when((here == own) & F.lit(own != ""), SAME_DIR).when((parent == above(own)) & F.lit(above(own) != ""), SIBLING_DIR).otherwise(1.0)
+    return overlap * beside
+
+
+def finite(score: Column) -> Column:
+    """A score without NaN (0) or infinities (the largest)."""
+    return F.when(F.isnan(score), 0.0).when(F.abs(score) == float("inf"), LARGEST).otherwise(score)
 
 
 def rerank(rows: DataFrame, query: str, kind: str | None = None, near: str | None = None) -> DataFrame:
     """Boost scores by kind, name, place and hints; a lone row stays as it is.
 
-    ``kind`` is a kind asked for, ``near`` a path whose neighbourhood is favoured. Order is by
-    boosted score, then by the order before.
+    ``kind`` names kinds asked for, with commas; ``near`` is a path whose neighbourhood is
+    favoured. Order is by boosted score, then by the order before.
     """
+    asked = kinds_asked(kind)
     depth = F.size(F.split("path", "/")) - 1
     boost = kind_boost(F.col("kind"), query_shape(query))
-    boost = boost * F.when(F.col("kind") == "impl", IMPL).when(F.col("kind") == "heading", HEADING).otherwise(1.0)
+    if not {"comment", "heading"} & set(asked):
+        boost = boost * F.when(F.col("kind") == "heading", HEADING).otherwise(1.0)
     boost = boost * F.when(F.lower("name") == query.lower(), EXACT).otherwise(1.0)
     boost = boost * F.when(depth > 1, F.greatest(F.lit(DEPTH_FLOOR), 1 - DEPTH_STEP * (depth - 1))).otherwise(1.0)
     boost = boost * F.when(is_test_path(F.col("path")), TEST).otherwise(1.0)
-    if kind:
-        boost = boost * F.when(F.col("kind") == kind, HINT).otherwise(1.0)
-    words = [w for w in query.lower().replace("_", " ").split() if w]
-    if words:
-        shared = sum(F.lower("path").contains(w).cast("int") for w in words)
-        boost = boost * F.least(F.lit(OVERLAP_CAP), 1 + OVERLAP_STEP * shared)
+    if asked:
+        boost = boost * F.when(has_kind(asked), HINT).otherwise(1.0)
     if near:
-        own = near.rsplit("/", 1)[0] if "/" in near else ""
-        parent = own.rsplit("/", 1)[0] if "/" in own else ""
-        here = F.regexp_replace("path", r"/?[^/]*$", "")
-        above = F.regexp_replace(here, r"/?[^/]*$", "")
-        boost = boost * F.when(here == own, SAME_DIR).when((above == parent) & F.lit(parent != ""), SIBLING_DIR).otherwise(1.0)
+        boost = boost * nearness(near)
     alone = F.count("*").over(W.partitionBy()) == 1
-    boosted = F.when(alone, F.col("score")).otherwise(F.col("score") * boost)
-    return rows.withColumn("boosted", F.when(F.isnan(boosted), 0.0).otherwise(boosted))
+    score = finite(F.col("score"))
+    return rows.withColumn("boosted", F.when(alone, score).otherwise(finite(score * boost)))
 
 
 def signals(results: DataFrame, structural: DataFrame, bm25: DataFrame, semantic: DataFrame) -> DataFrame:

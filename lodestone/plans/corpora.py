@@ -44,6 +44,19 @@ sym AS (
 """
 
 
+def named(spark: SparkSession, sf_dir: str, truth: list[tuple], name: str) -> DataFrame:
+    """Documents that bear the names of a truth table (name, what is true of it) in turn: doc_id, name, text."""
+    names = F.array(*(F.lit(t[0]) for t in truth))
+    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(names, (F.col("doc_id") % len(truth) + 1).cast("int")).alias(name), "text")
+
+
+def truth_sql(truth: list[tuple], *columns: str) -> str:
+    """The same documents with the truth table's columns beside them."""
+    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {', '.join(map(show, t))})" for k, t in enumerate(truth))
+    return f"SELECT doc_id, {', '.join(columns)} FROM (SELECT doc_id FROM documents) JOIN (VALUES {rows}) v(k, {', '.join(columns)}) ON k = doc_id % {len(truth)}"
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as one file each: (path, text, lang)."""
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text", "lang")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths, similarity, text
 from lodestone.operators import history, joins, pattern, reports, vectors
 from lodestone.plans import corpora
-from lodestone.plans.corpora import FILES, SIGHTINGS, SNAPSHOTS, SYMBOLS, table
+from lodestone.plans.corpora import CALLS, FILES, HIERARCHY, SIGHTINGS, SNAPSHOTS, SYMBOLS, table, truth_sql
 from lodestone.plans.registry import query
 from lodestone.sources import files as sources
 from lodestone.streaming import refresh
@@ -39,16 +39,41 @@ def f3_path_substring(spark, sf_dir):
     return corpora.symbols(spark, sf_dir).where(F.col("path").contains("/de/")).select("sym_id")
 
 
-@query("SELECT path, lower(path) SIMILAR TO '.*\\.(md|txt|rst)' AS doc FROM (VALUES ('a/b.md'), ('x.RS'), ('R.TXT'), ('n'), ('d.md/x.py')) v(path)")
-def f5_doc_paths(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in ("a/b.md", "x.RS", "R.TXT", "n", "d.md/x.py")], "path string")
-    return rows.select("path", paths.is_doc_path(F.col("path")).alias("doc"))
+DOC_PATHS = [("a/b.md", True), ("x.RS", False), ("R.TXT", True), ("n", False), ("d.md/x.py", False), ("h.markdown", True), ("a.rst", True), ("b.adoc", True), ("c.mdx", False), ("e.org", False), (".md", False), ("a.b/.txt", False), ("x.tar.MD", True), ("LICENSE", False)]
 
 
-@query("SELECT doc_id, false AS generated FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, true FROM documents WHERE doc_id % 3 = 0")
+@query(truth_sql(DOC_PATHS, "path", "doc"))
+def f5_doc_paths(spark, sf_dir):
+    return corpora.named(spark, sf_dir, DOC_PATHS, "path").select("doc_id", "path", paths.is_doc_path(F.col("path")).alias("doc"))
+
+
+HEADS = [
+    ("plain text\n", None, None),
+    ("// Code generated by stub. DO NOT EDIT.\n// source: a/b.proto\n", "code-generated-banner", "a/b.proto"),
+    ("\n\n  -- Code generated x DO NOT EDIT.  \n", "code-generated-banner", None),
+    ("a // Code generated by stub. DO NOT EDIT.\n", None, None),
+    ("// Code generated by stub. DO NOT EDIT\n", None, None),
+    ("# Generated by the protocol buffer compiler.  DO NOT EDIT!\n# source: x.proto\n", "protoc", "x.proto"),
+    ("# Generated by the protocol buffer compiler. DO NOT EDIT!\n# source: x.proto\n", None, None),
+    ("1\n2\n3\n# Generated by the protocol buffer compiler.  DO NOT EDIT!\n", None, None),
+    ("1\n2\n3\n4\n5\n6\n// GENERATED CODE -- DO NOT EDIT!\n", "protoc-js", None),
+    ("/**\n * Autogenerated by Thrift Compiler (0.9)\n", "thrift", None),
+    ("/* DO NOT EDIT THIS FILE - it is machine generated */\n#include <jni.h>\n", "javah", None),
+    ("/* DO NOT EDIT THIS FILE - it is machine generated */\n#include <stdio.h>\n", None, None),
+    ("/* automatically generated by rust-bindgen 0.6 */\n", "rust-bindgen", None),
+    ("// @generated automatically by Diesel CLI.\n", "diesel-cli", None),
+    (" * auto generated by OpenAPI Generator\n", "openapi-generator", None),
+    ("// Code generated by Prisma\n", "prisma", None),
+    ("# Generated by the gRPC Python protocol compiler plugin. DO NOT EDIT!\n", "grpc-python", None),
+    ("x\n * @generated SignedSource\n", "generated-annotation", None),
+    ("about @generated files\n", None, None),
+]
+
+
+@query(truth_sql(HEADS, "head", "tool", "source").replace("head, tool, source FROM", "tool IS NOT NULL AS generated, tool, source FROM").replace("\n", "' || chr(10) || '"))
 def f6_generated(spark, sf_dir):
-    banner = F.when(F.col("doc_id") % 3 == 0, "// Code generated by stub. DO NOT EDIT.\n").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", paths.is_generated(F.concat(banner, "text")).alias("generated"))
+    marked = corpora.named(spark, sf_dir, HEADS, "head").withColumn("found", paths.generated_by(F.concat("head", "text")))
+    return marked.select("doc_id", paths.is_generated(F.concat("head", "text")).alias("generated"), "found.tool", "found.source")
 
 
 @query(rf"WITH {SYMBOLS} SELECT sym_id FROM sym WHERE list_contains(regexp_split_to_array(signature, '[\s(<:]+'), 'the')")
@@ -56,11 +81,15 @@ def f7_metadata_filter(spark, sf_dir):
     return corpora.symbols(spark, sf_dir).where(paths.metadata_matches(F.col("signature"), "the")).select("sym_id")
 
 
-@query(f"WITH {SYMBOLS} SELECT sym_id, CASE WHEN kind IN ('function', 'method') THEN 1.2 ELSE 1.0 END::DOUBLE AS boost FROM sym")
+KIND_BOOSTS = [("function", 1, 1.2, 1.0, 1), ("method", 1, 1.2, 1.0, 1), ("class", 1.3, 1, 1, 1), ("type_alias", 1.3, 1, 1, 1), ("impl", 0.7, 0.7, 1, 0.7), ("property", 1, 1, 1.1, 1), ("constant", 1, 1, 1.1, 1), ("heading", 1, 1, 1, 1), ("enum", 1.3, 1, 1, 1)]
+SHAPES = ("type", "function", "constant", "ambiguous")
+
+
+@query(truth_sql([(k, *map(str, b)) for k, *b in KIND_BOOSTS], "kind", *SHAPES).replace("kind, type, function, constant, ambiguous FROM", "kind, type::DOUBLE AS type, function::DOUBLE AS function, constant::DOUBLE AS constant, ambiguous::DOUBLE AS ambiguous FROM"))
 def f8_kind_boost(spark, sf_dir):
     from lodestone.operators.ranking import kind_boost
 
-    return corpora.symbols(spark, sf_dir).select("sym_id", kind_boost(F.col("kind"), "function").alias("boost"))
+    return corpora.named(spark, sf_dir, KIND_BOOSTS, "kind").select("doc_id", "kind", *(kind_boost(F.col("kind"), s).alias(s) for s in SHAPES))
 
 
 @query(f"WITH {SYMBOLS} SELECT sym_id FROM sym WHERE path IN (SELECT path FROM sym WHERE sym_id % 70 = 5)")
@@ -74,21 +103,37 @@ def f10_identifier_shaped(spark, sf_dir):
     return corpora.symbols(spark, sf_dir).select("sym_id", text.is_identifier(F.col("name")).alias("identifier"))
 
 
-@query("SELECT name, known FROM (VALUES ('std::mem', true), ('__init__', true), ('println', true), ('MAX', true), ('LONGNAME', false), ('parse', false)) v(name, known)")
+KNOWN_NAMES = [("std::mem", True), ("__init__", True), ("println", False), ("MAX", True), ("MAX_1", True), ("A1_B2C", True), ("LONGNAME", False), ("parse", False), ("c_str", True), ("push_back", True), ("size", True), ("clone", False), ("_12", False), ("", False), ("Max", False)]
+
+
+@query(truth_sql(KNOWN_NAMES, "name", "known"))
 def f11_stdlib_names(spark, sf_dir):
-    rows = spark.createDataFrame([(n,) for n in ("std::mem", "__init__", "println", "MAX", "LONGNAME", "parse")], "name string")
-    return rows.select("name", text.is_stdlib_or_macro(F.col("name")).alias("known"))
+    return corpora.named(spark, sf_dir, KNOWN_NAMES, "name").select("doc_id", "name", text.is_stdlib_or_macro(F.col("name")).alias("known"))
+
+
+TEST_NAMES = [("test_a", True), ("a_test", True), ("TestA", True), ("ATest", True), ("ATests", True), ("testa", False), ("a_tests", False), ("Tester", True), ("latest", False), ("", False)]
 
 
-@query("SELECT n AS node, n % 5 = 0 AS test FROM range(300) r(n)")
+@query(truth_sql(TEST_NAMES, "name", "test"))
 def f12_test_names(spark, sf_dir):
-    return corpora.functions(spark).select("node", text.looks_like_test(F.col("name")).alias("test"))
+    return corpora.named(spark, sf_dir, TEST_NAMES, "name").select("doc_id", "name", text.looks_like_test(F.col("name")).alias("test"))
 
 
-@query("SELECT path, label FROM (VALUES ('a_test.go', 'go-test'), ('t/test_x.py', 'pytest'), ('x.spec.ts', 'jest'), ('FooTest.java', 'junit'), ('BarTests.cs', 'xunit'), ('tests/a.rs', 'cargo-test'), ('a.rb', 'unknown')) v(path, label)")
+TEST_PATHS = [
+    ("tests/a.rs", True, "rust-integration"), ("x/tests/a_test.rs", True, "rust-integration"), ("src/a_test.rs", True, "rust-cargo"), ("src/a_tests.rs", True, "unknown"),
+    ("src/tests.rs", True, "unknown"), ("src/a.rs", False, "unknown"), ("a_test.go", True, "go-test"), ("t/test_x.py", True, "pytest"), ("a_test.py", True, "pytest"), ("latest.py", False, "unknown"),
+    ("conftest.py", True, "pytest"), ("a/test/h.py", True, "pytest"), ("src/test_data/model.py", False, "unknown"), ("x.spec.ts", True, "jest"), ("x.test.jsx", True, "jest"), ("__tests__/x.js", True, "jest"),
+    ("x.test.foots", False, "unknown"), ("FooTest.java", True, "junit"), ("FooTests.java", True, "junit"), ("FooTest.kt", True, "kotest"), ("FooTests.kt", True, "kotest"), ("BarTests.cs", True, "xunit"),
+    ("My.Tests/A.cs", True, "xunit"), ("BarTest.cs", False, "unknown"), ("a/test_x.cc", True, "gtest"), ("test_x.cpp", True, "unknown"), ("a_test.cpp", True, "gtest"), ("A_spec.rb", True, "unknown"),
+    ("lib/a_test.dart", True, "unknown"), ("integration_test/a/b.dart", True, "unknown"), ("FooTests.swift", True, "unknown"), ("spec/a.rb", True, "unknown"), ("specs/a.rb", False, "unknown"),
+    ("testdata/a.go", False, "unknown"), ("fixtures/a.go", False, "unknown"), ("src\\tests\\a.rs", True, "unknown"), ("a.rb", False, "unknown"),
+]
+
+
+@query(truth_sql(TEST_PATHS, "path", "test", "label"))
 def f13_framework(spark, sf_dir):
-    names = ("a_test.go", "t/test_x.py", "x.spec.ts", "FooTest.java", "BarTests.cs", "tests/a.rs", "a.rb")
-    return spark.createDataFrame([(n,) for n in names], "path string").select("path", paths.framework(F.col("path")).alias("label"))
+    rows = corpora.named(spark, sf_dir, TEST_PATHS, "path")
+    return rows.select("doc_id", "path", paths.is_test_path(F.col("path")).alias("test"), paths.framework(F.col("path")).alias("label"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-01-01' AND '1995-06-30' AND contains(lower(o_orderpriority), 'urg') AND o_orderstatus = 'O'")
@@ -353,9 +398,12 @@ def w7_running_gain(spark, sf_dir):
     return d.select("doc_id", F.round(F.sum(gain).over(w), 6).alias("dcg"))
 
 
-@query("SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[1:least(2, len(string_split(text, chr(10))))], chr(10))) AS body_hash FROM documents")
+@query("SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[1:CASE WHEN doc_id % 3 = 0 THEN 1000000 ELSE 1 + doc_id % 5 END], chr(10))) AS body_hash FROM documents")
 def w8_body_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(F.slice(F.split("text", "\n"), 1, 2), "\n")).alias("body_hash"))
+    from lodestone.sources.parser import extract_body
+
+    stop = F.when(F.col("doc_id") % 3 == 0, 1_000_000).otherwise(1 + F.col("doc_id") % 5).cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(extract_body(F.col("text"), F.lit(1), stop)).alias("body_hash"))
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
@@ -464,24 +512,34 @@ def s24_compact(spark, sf_dir):
 # --- sources and parsing
 
 
-@query("""SELECT path, lang FROM (VALUES ('a/b.rs', 'rust'), ('x.py', 'python'), ('m.PY', NULL), ('t.tsx', 'tsx'), ('no', NULL), ('k.kt', 'kotlin')) v(path, lang)""")
+EXTENSIONS = [
+    ("a/b.rs", "rust"), ("x.py", "python"), ("m.PY", None), ("x.pyi", None), ("t.tsx", "typescript"), ("t.mjs", "typescript"), ("t.jsx", "typescript"), ("no", None), ("k.kt", "kotlin"), ("k.kts", "kotlin"),
+    ("a.h", "cpp"), ("a.hxx", "cpp"), ("a.c", None), ("a.hh", None), ("q.sql", "sql"), ("d.dart", "dart"), ("p.phtml", "php"), ("i.htm", "html"), ("r.markdown", "markdown"), ("a.scala", None), ("p.json", None), ("b.bash", "bash"), ("y.yml", "yaml"), (".rs", None),
+]
+
+
+@query(truth_sql(EXTENSIONS, "path", "lang"))
 def s3_language(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in ("a/b.rs", "x.py", "m.PY", "t.tsx", "no", "k.kt")], "path string")
-    return rows.select("path", sources.language(F.col("path")).alias("lang"))
+    return corpora.named(spark, sf_dir, EXTENSIONS, "path").select("doc_id", "path", sources.language(F.col("path")).alias("lang"))
 
 
-@query("SELECT doc_id, false AS binary_ FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, true FROM documents WHERE doc_id % 5 = 0")
+@query(r"""SELECT doc_id, len(list_filter(string_split(c, chr(10))[1:100], lambda x: length(x) > 10000)) > 0
+  OR (length(h) > 0 AND length(regexp_replace(h, '[^\x01-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) >= 0.05 * length(h)) AS binary_
+FROM (SELECT doc_id, c, left(c, 8192) AS h FROM (
+  SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN repeat(chr(1), 1 + length(text) // 4) || plain WHEN doc_id % 4 = 3 THEN repeat('a', 1 + doc_id % 20000) || plain ELSE plain END AS c
+  FROM (SELECT *, regexp_replace(text, '[^\x01-\x7F]', '', 'g') AS plain FROM documents)))""")
 def s4_binary_files(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("text", F.array_join(F.slice(F.split("text", "\n"), 1, 1), "\n"))
-    content = F.concat(F.substring("text", 1, 500).cast("binary"), F.when(F.col("doc_id") % 5 == 0, F.unhex(F.repeat(F.lit("01"), 400))).otherwise(F.lit(b"")))
-    return d.select("doc_id", sources.looks_binary(content).alias("binary_"))
+    d = table(spark, sf_dir, "documents").withColumn("plain", F.regexp_replace("text", r"[^\x01-\x7F]", ""))
+    odd = F.when(F.col("doc_id") % 4 == 1, F.expr("repeat(chr(1), int(1 + length(text) div 4))")).when(F.col("doc_id") % 4 == 3, F.expr("repeat('a', int(1 + doc_id % 20000))"))
+    return d.select("doc_id", sources.looks_binary(F.concat(F.coalesce(odd, F.lit("")), "plain").cast("binary")).alias("binary_"))
+
+
+BINARY_PATHS = [("a.PNG", True), ("a.txt", False), ("b.webp", True), ("c.docx", True), ("d.7z", True), ("e.bin", False), ("f.dat", False), ("g.svg", False), ("h.parquet", True), ("i.ogg", True), ("j.pyc", True), ("k", False), ("l.tar", True), ("m.json", False)]
 
 
-@query("SELECT doc_id, doc_id % 5 = 0 AS skipped FROM documents")
+@query(truth_sql(BINARY_PATHS, "path", "skipped"))
 def s5_grep_skips(spark, sf_dir):
-    content = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 5 == 0, F.lit(b"")).otherwise(F.lit(b"x")))
-    path = F.when(F.col("doc_id") % 5 == 0, "a.PNG").otherwise("a.txt")
-    return table(spark, sf_dir, "documents").select("doc_id", sources.grep_skips(path, content).alias("skipped"))
+    return corpora.named(spark, sf_dir, BINARY_PATHS, "path").select("doc_id", "path", sources.grep_skips(F.col("path"), F.col("text").cast("binary")).alias("skipped"))
 
 
 @query("SELECT count(*) AS files, count(DISTINCT text) AS contents FROM documents")

@@ -12,6 +12,9 @@ from lodestone.plans.corpora import FILES, SYMBOLS, table
 from lodestone.plans.registry import query
 from lodestone.plans.search import SearchRequest, channels, search, trace
 
+#: What the SQL leaves out of queries.
+STOP_SQL = """('the', 'a', 'an', 'is', 'are', 'of', 'to', 'in', 'for', 'on', 'with', 'it', 'this', 'that',
+  'and', 'or', 'but', 'if', 'as', 'at', 'by', 'from')"""
 QUESTION = "the license version of thing"
 NAME = "the"
 
@@ -81,16 +84,15 @@ def r5_bm25_results(spark, sf_dir):
 
 
 @query(rf"""WITH {TERMS},
-words AS (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(array_to_string((regexp_extract_all(text, '\S+'))[1:8], ' ')), '[^\p{{L}}\p{{N}}_]+')) AS term FROM benchmark),
-asked AS (SELECT query_id, term, count(*) AS times FROM words WHERE strlen(term) >= 2 AND term NOT IN {tuple(text.STOPWORDS)} GROUP BY ALL),
+words AS (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+')) AS term FROM benchmark),
+asked AS (SELECT query_id, term, count(*) AS times FROM words WHERE strlen(term) >= 2 AND term NOT IN {STOP_SQL} GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 s AS (SELECT query_id, sym_id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
   FROM post JOIN asked USING (term) JOIN df USING (term) JOIN dl USING (sym_id), stat GROUP BY ALL)
 SELECT query_id, sym_id, round(score, 6) AS score, rank::INT AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sym_id) AS rank FROM s) WHERE rank <= 20""")
 def r4_bm25_many(spark, sf_dir):
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 8), " ")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), head.alias("query"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     out = bm25.search_many(bm25.build(documents(spark, sf_dir)), asked)
     return out.select("query_id", "sym_id", F.round("score", 6).alias("score"), "rank")
 
@@ -269,28 +271,39 @@ def r13_fuse(spark, sf_dir):
     return ranking.fuse(list(lists.values())).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT * FROM (VALUES ('MAX_SIZE', 'constant'), ('ParsedFile', 'type'), ('parse_file', 'function'), ('parseFile', 'function'), ('ABC', 'ambiguous'), ('a b', 'ambiguous')) v(query, shape)")
+@query("SELECT * FROM (VALUES ('MAX_SIZE', 'constant'), ('__', 'constant'), ('ParsedFile', 'type'), ('Parsed_file', 'type'), ('parse_file', 'function'), ('parseFile', 'function'), ('MAX_2', 'function'), ('ABC', 'ambiguous'), ('a b', 'ambiguous'), ('', 'ambiguous')) v(query, shape)")
 def r14_query_shape(spark, sf_dir):
-    names = ("MAX_SIZE", "ParsedFile", "parse_file", "parseFile", "ABC", "a b")
+    names = ("MAX_SIZE", "__", "ParsedFile", "Parsed_file", "parse_file", "parseFile", "MAX_2", "ABC", "a b", "")
     return spark.createDataFrame([(n, text.query_shape(n)) for n in names], "query string, shape string")
 
 
-BOOST = r"""
+def boosted_sql(near: str = "", hinted: str = "false", headings: str = "0.6") -> str:
+    """Boosts for the query 'thing', an ambiguous one; ``near`` is the directory of a context path three levels deep."""
+    at = f"string_split('{near}', '/')"
+    same = " + ".join(f"(dirs[1:{k}] = {at}[1:{k}] AND len(dirs) >= {k})::INT" for k in (1, 2, 3))
+    place = f"""* least(1.4, 1 + 0.08 * ({same}))
+    * CASE WHEN dirs = {at} THEN 1.15 WHEN dirs[:-2] = {at}[:-2] THEN 1.05 ELSE 1.0 END""" if near else ""
+    return f"""
 boosted AS (
   SELECT *, CASE WHEN count(*) OVER () = 1 THEN score ELSE score
-    * CASE WHEN kind IN ('function', 'method') THEN 1.2 ELSE 1.0 END * CASE WHEN kind = 'heading' THEN 0.6 ELSE 1.0 END
+    * CASE kind WHEN 'impl' THEN 0.7 WHEN 'heading' THEN {headings} ELSE 1.0 END
     * CASE WHEN lower(name) = 'thing' THEN 1.5 ELSE 1.0 END
     * CASE WHEN depth > 1 THEN greatest(0.5, 1 - 0.02 * (depth - 1)) ELSE 1.0 END
-    * CASE WHEN contains(path, '/tests/') OR contains(path, '/test/') THEN 0.8 ELSE 1.0 END
-    * least(1.4, 1 + 0.08 * contains(lower(path), 'thing')::INT) END AS boosted
-  FROM (SELECT *, len(string_split(path, '/')) - 1 AS depth FROM fused))
+    * CASE WHEN contains(path, '/tests/') THEN 0.8 ELSE 1.0 END
+    * CASE WHEN {hinted} THEN 1.4 ELSE 1.0 END {place} END AS boosted
+  FROM (SELECT *, len(string_split(path, '/')) - 1 AS depth, string_split(path, '/')[:-2] AS dirs FROM fused))
 """
 
 
-@query(f"WITH {HYBRID}, {BOOST} SELECT path, name, line, round(boosted::DOUBLE, 6) AS boosted FROM boosted")
+BOOST = boosted_sql()
+NEAR = boosted_sql("src3/en/src", "kind IN ('class', 'heading') OR contains(path, '/tests/')", "1.0")
+
+
+@query(f"WITH {HYBRID}, {NEAR} SELECT path, name, line, round(boosted::DOUBLE, 6) AS boosted FROM boosted")
 def r15_rerank(spark, sf_dir):
     _, lists = hybrid(spark, sf_dir)
-    return ranking.rerank(ranking.fuse(list(lists.values())), "thing").select("path", "name", "line", F.round("boosted", 6).alias("boosted"))
+    out = ranking.rerank(ranking.fuse(list(lists.values())), "thing", "class, comment,test", "src3/en/src/f9.txt")
+    return out.select("path", "name", "line", F.round("boosted", 6).alias("boosted"))
 
 
 @query(f"""WITH {HYBRID}, {BOOST} SELECT path, name, line, kind, round(boosted::DOUBLE, 6) AS score, match_type FROM boosted
@@ -344,24 +357,22 @@ met AS (
   FROM want LEFT JOIN got USING (query_id))
 """
 GOLDEN = f"""{TERMS},
-words AS (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(array_to_string((regexp_extract_all(text, '\\S+'))[1:8], ' ')), '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM benchmark),
-asked AS (SELECT query_id, term, count(*) AS times FROM words WHERE strlen(term) >= 2 AND term NOT IN {tuple(text.STOPWORDS)} GROUP BY ALL),
+words AS (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM benchmark),
+asked AS (SELECT query_id, term, count(*) AS times FROM words WHERE strlen(term) >= 2 AND term NOT IN {STOP_SQL} GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 s AS (SELECT query_id, sym_id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
   FROM post JOIN asked USING (term) JOIN df USING (term) JOIN dl USING (sym_id), stat GROUP BY ALL),
 ranked AS (SELECT query_id, 'd' || sym_id AS tag, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sym_id) AS rank FROM s),
 rel AS (
-  SELECT item_id AS query_id, 'd' || doc_id AS tag FROM benchmark b LEFT JOIN documents d ON contains(d.text, substring(b.text, 1, 40)))"""
+  SELECT item_id AS query_id, 'd' || doc_id AS tag FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text))"""
 
 
 def golden_run(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 8), " ")
-    found = bm25.search_many(bm25.build(documents(spark, sf_dir)), b.select(F.col("item_id").alias("query_id"), head.alias("query")), 10)
+    found = bm25.search_many(bm25.build(documents(spark, sf_dir)), b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
     ranked = found.select("query_id", F.concat(F.lit("d"), F.col("sym_id").cast("string")).alias("tag"), "rank")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    # The stated query set of 40 to 200 heads against all texts.
-    hits = d.join(F.broadcast(b.select("item_id", F.substring("text", 1, 40).alias("head"))), F.contains("body", F.col("head")))
+    # Texts that hold a whole passage hold its rarest words: the two meet by a join on words.
+    hits = evaluation.containing(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), b)
     rel = b.join(hits.select("item_id", "doc_id"), "item_id", "left").select(
         F.col("item_id").alias("query_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("tag")
     )
