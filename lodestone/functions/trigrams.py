@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 import re._parser as parser
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,26 +48,33 @@ def required_trigrams(pattern: str) -> list[str]:
     return sorted({t[i : i + 3] for t in literals(pattern) for i in range(len(t) - 2)})
 
 
-def slot(trigram: Column) -> Column:
-    return F.pmod(F.crc32(trigram.cast("binary")), F.lit(BITS)).cast("int")
+def slot(trigram: str) -> int:
+    """The place of a trigram in a bloom."""
+    return zlib.crc32(trigram.encode()) % BITS
 
 
-def bloom(text: Column) -> Column:
-    """The sorted slots of a text's trigrams."""
-    def grams(chars: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.size(chars) - 2),
-            lambda i: slot(F.concat(F.element_at(chars, i), F.element_at(chars, i + 1), F.element_at(chars, i + 2))),
-        )
+def blooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (path, text) with length, and the bloom of the text's trigrams as ``BITS`` bits."""
+    places: dict[str, int] = {}
+    for b in batches:
+        made, sizes = [], []
+        for x in b.column(1).to_pylist():
+            text = x or ""
+            grams = {text[i : i + 3] for i in range(len(text) - 2)}
+            if len(places) > 1_000_000:
+                places.clear()
+            places.update((g, slot(g)) for g in grams.difference(places))
+            bits = np.zeros(BITS, np.uint8)
+            bits[[places[g] for g in grams]] = 1
+            made.append(np.packbits(bits, bitorder="little").tobytes())
+            sizes.append(len(text.encode()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(made, pa.binary()), b.column(1)], ["path", "length", "bloom", "text"])
 
-    # The characters are bound once, as a lambda's variable.
-    found = F.element_at(F.transform(F.array(F.split(text, "")), lambda chars: F.array_sort(F.array_distinct(grams(chars)))), 1)
-    return F.when(F.length(text) >= 3, found).otherwise(F.array().cast("array<int>"))
 
-
-def may_match(blooms: Column, pattern: str) -> Column:
+def may_match(bloom: Column, pattern: str) -> Column:
     """False only for texts that cannot match the pattern."""
     out = F.lit(True)
-    for t in required_trigrams(pattern):
-        out = out & F.array_contains(blooms, slot(F.lit(t)))
+    for at in sorted({slot(t) for t in required_trigrams(pattern)}):
+        byte = F.conv(F.hex(F.substring(bloom, at // 8 + 1, 1)), 16, 10).cast("int")
+        out = out & (byte.bitwiseAND(F.lit(1 << at % 8)) != 0)
     return out

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import document_terms, query_terms
+from lodestone.sources.storage import persisted
 
 K1 = 1.2
 B = 0.75
@@ -16,21 +17,55 @@ B = 0.75
 LONGEST = 65535
 
 
+#: Folders that postings are divided by; a query opens those of its terms.
+BUCKETS = 32
+
+
 @dataclass
 class Bm25Index:
-    """postings (term, sym_id), lengths (sym_id, dl) and stats (n, avgdl; one row)."""
+    """postings (bucket, term, sym_id, dl), lengths (sym_id, dl) and stats (n, avgdl; one row)."""
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
 
 
+def bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _terms(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select("sym_id", document_terms(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.least(F.size("terms"), F.lit(LONGEST)))
+
+
+def _index(postings: DataFrame, lengths: DataFrame) -> Bm25Index:
+    return Bm25Index(postings, lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+
 def build(docs: DataFrame, text: str = "text") -> Bm25Index:
-    """An index of ``docs`` (sym_id and a text column); documents without terms count too."""
-    terms = docs.select("sym_id", document_terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-    lengths = terms.select("sym_id", F.least(F.size("terms"), F.lit(LONGEST)).alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Bm25Index(terms.select(F.explode("terms").alias("term"), "sym_id"), lengths, stats)
+    """An index of ``docs`` (sym_id and a text column); documents without terms count too.
+
+    Nothing is written: an index that is asked more than once should be opened by ``open_index``.
+    """
+    terms = _terms(docs, text)
+    postings = terms.select("sym_id", "dl", F.explode("terms").alias("term")).withColumn("bucket", bucket("term"))
+    return _index(postings, terms.select("sym_id", "dl"))
+
+
+def open_index(docs: DataFrame, paths: list[str], text: str = "text") -> Bm25Index:
+    """The index of ``docs``, which come from the files below ``paths``: written once, texts being split once, then opened.
+
+    Postings lie in folders by a hash of the term and sorted within, so a query's terms are a
+    few folders' few row groups.
+    """
+    spark = docs.sparkSession
+    terms = lambda: persisted(spark, "terms", paths, lambda: (_terms(docs, text), []))
+
+    def postings():
+        rows = terms().select("sym_id", "dl", F.explode("terms").alias("term")).withColumn("bucket", bucket("term"))
+        return rows.repartition("bucket").sortWithinPartitions("bucket", "term", "sym_id"), ["bucket"]
+
+    return _index(persisted(spark, "postings", paths, postings), terms().select("sym_id", "dl"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -40,7 +75,7 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 def _weights(hits: DataFrame, index: Bm25Index) -> DataFrame:
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("times") * idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.join(index.lengths, "sym_id").crossJoin(F.broadcast(index.stats)).withColumn("part", part)
+    return hits.crossJoin(F.broadcast(index.stats)).withColumn("part", part)
 
 
 def search(index: Bm25Index, query: str, limit: int | None = 20) -> DataFrame:
@@ -52,7 +87,9 @@ def search(index: Bm25Index, query: str, limit: int | None = 20) -> DataFrame:
     counts = Counter(query_terms(query))
     spark = index.postings.sparkSession
     asked = spark.createDataFrame(list(counts.items()) or [("", 0)], "term string, times int")
-    hits = index.postings.where(F.col("term").isin(*(counts or {""})))
+    terms = list(counts) or [""]
+    folders = [r.b for r in spark.createDataFrame([(t,) for t in terms], "term string").select(bucket("term").alias("b")).distinct().collect()]  # a query's terms
+    hits = index.postings.where(F.col("bucket").isin(*folders) & F.col("term").isin(*terms))
     df = document_frequency(hits)
     # As many rows as the query has terms.
     weighted = F.broadcast(asked.join(df, "term"))
@@ -73,7 +110,7 @@ def search_many(index: Bm25Index, queries: DataFrame, limit: int = 20) -> DataFr
     words = F.filter(F.split(F.lower("query"), SEPARATOR), lambda x: (F.octet_length(x) >= 2) & ~x.isin(*STOPWORDS))
     asked = queries.select("query_id", F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     df = document_frequency(index.postings).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = index.postings.join(df, "term").join(asked, "term")
+    hits = index.postings.drop("bucket").join(df, "term").join(asked, "term")
     scores = _weights(hits, index).groupBy("query_id", "sym_id").agg(F.sum("part").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "sym_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -31,7 +31,7 @@ def indegree(edges: DataFrame, definitions: DataFrame, top: int | None = None) -
     counts = edges.groupBy("callee").agg(F.countDistinct("caller_id").alias("indegree"))
     joined = counts.withColumn("key", F.lower("callee")).join(definitions.withColumn("key", F.lower("name")), "key")
     out = joined.select("name", "path", "def_line", "indegree")
-    return out.orderBy(F.desc("indegree"), "name", "path").limit(top) if top else out
+    return out.orderBy(F.desc("indegree"), "name", "path", "def_line").limit(top) if top else out
 
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int, min_depth: int = 1) -> DataFrame:

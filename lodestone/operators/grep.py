@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.trigrams import bloom, may_match
+from lodestone.functions.trigrams import blooms, may_match
+from lodestone.sources.storage import persisted
 
 LARGEST = 1 << 20
 
@@ -19,15 +20,29 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def trigram_index(files: DataFrame) -> DataFrame:
-    """(path, length, bloom) of files; the length tells whether an entry is still good."""
-    return files.select("path", F.octet_length("text").alias("length"), bloom(F.col("text")).alias("bloom"))
+    """(path, length, bloom, text) of files; the length tells whether an entry is still good."""
+    return files.select("path", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(blooms, "path string, length int, bloom binary, text string")
+
+
+def open_index(files: DataFrame, paths: list[str]) -> DataFrame:
+    """The trigram index of ``files``, which come from the files below ``paths``: written once, then opened."""
+    return persisted(files.sparkSession, "trigrams", paths, lambda: (trigram_index(files), []))
+
+
+def grep_indexed(index: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
+    """As ``grep``, over an index that holds the texts beside their blooms.
+
+    What a bloom rules out is dropped before its text is looked at, without a join.
+    """
+    return grep(index.where(may_match(F.col("bloom"), pattern)).select("path", "text"), pattern, limit=limit)
 
 
 def grep(files: DataFrame, pattern: str, index: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(path, line, text) of lines that match; files beyond 1 MiB are left out.
 
-    With an index, a file is skipped before it is split if its entry is current and lacks a
-    trigram that every match needs. Files without a current entry are always read.
+    With an index of earlier states, a file is skipped before it is split if its entry is
+    current and lacks a trigram that every match needs. Files without a current entry are
+    always read.
     """
     files = files.where(F.octet_length("text") <= LARGEST)
     if index is not None:
@@ -35,8 +50,8 @@ def grep(files: DataFrame, pattern: str, index: DataFrame | None = None, limit:
         files = files.join(known, "path", "left").where(
             F.col("bloom").isNull() | (F.col("_length") != F.octet_length("text")) | may_match(F.col("bloom"), pattern)
         ).select("path", "text")
-    else:
-        files = files.where(F.col("text").rlike(f"(?m){pattern}")) if not re.search(r"[\^$]|\\[AbBZz]", pattern) else files
+    elif not re.search(r"[\^$]|\\[AbBZz]", pattern):
+        files = files.where(F.col("text").rlike(f"(?m){pattern}"))
     hits = lines(files).where(F.col("text").rlike(pattern)).select("path", "line", F.trim("text").alias("text"))
     return hits.orderBy("path", "line").limit(limit) if limit is not None else hits
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import name_tokens
+from lodestone.sources.storage import persisted
 
 POOL = 64
 
@@ -17,6 +18,11 @@ def build_name_index(symbols: DataFrame) -> DataFrame:
     return named.select(F.explode(name_tokens(F.col("name"))).alias("token"), "sym_id").where("token <> ''").distinct()
 
 
+def open_name_index(symbols: DataFrame, paths: list[str]) -> DataFrame:
+    """The name index of ``symbols``, which come from the files below ``paths``: written once, sorted by token, then opened."""
+    return persisted(symbols.sparkSession, "names", paths, lambda: (build_name_index(symbols).repartitionByRange("token").sortWithinPartitions("token", "sym_id"), []))
+
+
 def find_exact(index: DataFrame, name: str) -> DataFrame:
     """Rows whose token is the name, in any case: whole names and parts alike."""
     return index.where(F.col("token") == name.lower())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.similarity import cosine, normalised
+from lodestone.functions.similarity import cosine, dot, normalised
 
 BLOCK = 4096
 
@@ -24,15 +24,47 @@ def search_exact(vectors: DataFrame, query: list[float], k: int, threshold: floa
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def similar_to(vectors: DataFrame, seed: int, k: int = 10, threshold: float = 0.5) -> DataFrame:
-    """Rows nearest to the row ``seed``, itself left out."""
-    one = vectors.where(F.col("id") == seed).select(F.col("embedding").alias("q")).limit(1)
-    scored = (
-        vectors.where((F.col("id") != seed) & F.col("embedding").isNotNull())
-        .crossJoin(F.broadcast(one))  # one row
-        .select("id", cosine(F.col("embedding"), F.col("q")).alias("similarity"))
-    )
-    return scored.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "id").limit(k)
+def _unit(vectors: DataFrame) -> DataFrame:
+    return vectors.where("embedding IS NOT NULL").select("id", normalised(F.col("embedding")).alias("embedding"))
+
+
+def _best(k: int, threshold: float | None, others: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked, rows = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        out = [pd.DataFrame({"query_id": [], "id": [], "similarity": []})]
+        if len(asked) and len(rows):
+            x, ids = np.stack(rows["embedding"].tolist()), rows["id"].to_numpy()
+            for q, v in zip(asked["id"], asked["embedding"]):
+                s = x @ np.asarray(v)
+                ok = np.ones(len(s), bool) if threshold is None else s >= threshold
+                at = np.flatnonzero(ok & (ids != q) if others else ok)
+                at = at[np.lexsort((ids[at], -np.round(s[at], 12)))[:k]]
+                out.append(pd.DataFrame({"query_id": q, "id": ids[at], "similarity": s[at]}))
+        return pd.concat(out)
+
+    return run
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, others: bool = False) -> DataFrame:
+    """(query_id, id, similarity, rank): the ``k`` rows with the highest cosine to each of ``queries`` (id, embedding).
+
+    Exact: rows and queries are dealt to blocks, every block of rows meets every block of
+    queries as one product of matrices, and a block's best are ranked with the others'.
+    """
+    rows, asked = _unit(vectors), _unit(queries)
+    n, q = max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // BLOCK))
+    own = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = rows.select("id", "embedding", own(n).alias("r"), every(q).alias("c"), F.lit(False).alias("asks"))
+    right = asked.select("id", "embedding", every(n).alias("r"), own(q).alias("c"), F.lit(True).alias("asks"))
+    found = left.unionByName(right).groupBy("r", "c").applyInPandas(_best(k, threshold, others), "query_id long, id long, similarity double")
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def similar_to(vectors: DataFrame, seeds: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
+    """(query_id, id, similarity, rank): rows nearest to each of the rows ``seeds``, itself left out."""
+    return search_many(vectors, seeds, k, threshold, others=True)
 
 
 def _pairs(threshold: float):
@@ -76,18 +108,29 @@ def duplicates(vectors: DataFrame, lines: DataFrame, threshold: float = 0.9, min
     return near_pairs(able, threshold).orderBy(F.desc("similarity"), "a", "b").limit(limit)
 
 
-def search_lsh(vectors: DataFrame, query: list[float], k: int, tables: int = 16, width: float = 1.0) -> DataFrame:
-    """Approximate neighbours by bucketed random projections of unit vectors, then exact cosines."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
+def search_lsh(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 24, width: float = 0.75) -> DataFrame:
+    """(query_id, id, similarity, rank): approximate neighbours of ``queries`` (id, embedding).
 
-    unit = vectors.where("embedding IS NOT NULL").select("id", "embedding", array_to_vector(normalised(F.col("embedding"))).alias("unit"))
-    q = np.asarray(query, float)
-    q = q / (np.linalg.norm(q) or 1.0)
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(unit)
-    near = model.approxNearestNeighbors(unit, Vectors.dense(q), 4 * k)
-    return search_exact(near.select("id", "embedding"), list(q), k)
+    Unit vectors fall into buckets by random projections; a query meets the rows that share a
+    bucket with it in any table, and those are ranked by their exact cosines.
+    """
+    lines = np.random.default_rng(7).standard_normal((len(vectors.where("embedding IS NOT NULL").first().embedding), tables))
+    shift = np.random.default_rng(8).random(tables) * width
+
+    def buckets(table: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(table["embedding"].tolist())
+        at = np.floor((x @ lines + shift) / width).astype(int)
+        return table.assign(buckets=[[(t << 20) + int(b) + (1 << 19) for t, b in enumerate(row)] for row in at])
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        return _unit(rows).mapInPandas(lambda parts: (buckets(p) for p in parts if len(p)), "id long, embedding array<double>, buckets array<long>")
+
+    asked = hashed(queries).select(F.col("id").alias("query_id"), F.explode("buckets").alias("bucket"))
+    met = hashed(vectors).select("id", F.explode("buckets").alias("bucket")).join(asked, "bucket").select("query_id", "id").distinct()
+    q = _unit(queries).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = met.join(_unit(vectors), "id").join(q, "query_id").select("query_id", "id", dot(F.col("embedding"), F.col("q")).alias("similarity"))
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def body_lines(symbols: DataFrame) -> DataFrame:

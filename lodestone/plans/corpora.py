@@ -66,10 +66,10 @@ FILES = "files AS (SELECT 'f' || doc_id || '.txt' AS path, text, lang FROM docum
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as calls between 300 functions: edge_id, caller, callee, line."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 1000 < 400 AND o_orderkey < 1500")
-    e = o.select(
-        F.col("o_orderkey").alias("edge_id"), (F.col("o_custkey") % 300).alias("caller"), ((F.col("o_orderkey") * 7 + 3) % 300).alias("callee"), (F.col("o_orderkey") % 50 + 1).cast("int").alias("line")
+    """Orders as calls from customers' functions to parts' functions: edge_id, caller, callee, line."""
+    n = table(spark, sf_dir, "part").count()
+    e = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("edge_id"), F.col("o_custkey").alias("caller"), ((F.col("o_orderkey") * 7 + 3) % n).alias("callee"), (F.col("o_orderkey") % 50 + 1).cast("int").alias("line")
     )
     return e.where("caller <> callee")
 
@@ -77,32 +77,32 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 CALLS = """
 calls AS (
   SELECT * FROM (
-    SELECT o_orderkey AS edge_id, o_custkey % 300 AS caller, (o_orderkey * 7 + 3) % 300 AS callee, (o_orderkey % 50 + 1)::INT AS line
-    FROM orders WHERE o_orderkey % 1000 < 400 AND o_orderkey < 1500) WHERE caller <> callee)
+    SELECT o_orderkey AS edge_id, o_custkey AS caller, (o_orderkey * 7 + 3) % (SELECT count(*) FROM part) AS callee, (o_orderkey % 50 + 1)::INT AS line
+    FROM orders) WHERE caller <> callee)
 """
 
 
-def functions(spark: SparkSession) -> DataFrame:
-    """The 300 functions that calls name: def_id, node, name, path, def_line."""
-    n = F.col("id")
-    return spark.range(300).select(
-        n.alias("def_id"), n.alias("node"), F.concat(F.when(n % 5 == 0, "test_fn").otherwise("Fn"), (n % 290).cast("string")).alias("name"),
+def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the functions that calls name, two of thirty alike: def_id, node, name, path, def_line."""
+    n = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        n.alias("def_id"), n.alias("node"), F.concat(F.when(n % 5 == 0, "test_fn").otherwise("Fn"), F.when(n % 30 == 29, n - 1).otherwise(n).cast("string")).alias("name"),
         F.concat(F.when(n % 5 == 0, "pkg/tests/test_m").otherwise("pkg/src/m"), F.floor(n / 10).cast("string"), F.lit(".py")).alias("path"), (n % 10 * 10 + 1).cast("int").alias("def_line"),
     )
 
 
 FUNCTIONS = """
 fns AS (
-  SELECT n AS def_id, n AS node, concat(CASE WHEN n % 5 = 0 THEN 'test_fn' ELSE 'Fn' END, n % 290) AS name,
+  SELECT n AS def_id, n AS node, concat(CASE WHEN n % 5 = 0 THEN 'test_fn' ELSE 'Fn' END, CASE WHEN n % 30 = 29 THEN n - 1 ELSE n END) AS name,
     concat(CASE WHEN n % 5 = 0 THEN 'pkg/tests/test_m' ELSE 'pkg/src/m' END, n // 10, '.py') AS path, (n % 10 * 10 + 1)::INT AS def_line
-  FROM range(300) r(n))
+  FROM (SELECT p_partkey AS n FROM part))
 """
 
 
 def named_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls by the callee's name: edge_id, caller_id, callee, line."""
-    f = functions(spark).select(F.col("node").alias("callee"), F.col("name"))
-    return calls(spark, sf_dir).join(F.broadcast(f), "callee").select("edge_id", F.col("caller").alias("caller_id"), F.col("name").alias("callee"), "line")
+    f = functions(spark, sf_dir).select(F.col("node").alias("callee"), F.col("name"))
+    return calls(spark, sf_dir).join(f, "callee").select("edge_id", F.col("caller").alias("caller_id"), F.col("name").alias("callee"), "line")
 
 
 NAMED_CALLS = "ncalls AS (SELECT edge_id, caller AS caller_id, fns.name AS callee, line FROM calls JOIN fns ON fns.node = calls.callee)"
@@ -111,7 +111,7 @@ NAMED_CALLS = "ncalls AS (SELECT edge_id, caller AS caller_id, fns.name AS calle
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations, customers and suppliers as types: parent, child, kind."""
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("nation"), F.col("n_nationkey").cast("string")).alias("child"), F.lit("extends").alias("kind"))
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 400").select(F.concat(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("parent"), F.concat(F.lit("customer"), F.col("c_custkey").cast("string")).alias("child"), F.lit("implements").alias("kind"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("parent"), F.concat(F.lit("customer"), F.col("c_custkey").cast("string")).alias("child"), F.lit("implements").alias("kind"))
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("parent"), F.concat(F.lit("supplier"), F.col("s_suppkey").cast("string")).alias("child"), F.lit("uses").alias("kind"))
     return n.unionByName(c).unionByName(s)
 
@@ -119,7 +119,7 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 HIERARCHY = """
 hier AS (
   SELECT 'region' || n_regionkey AS parent, 'nation' || n_nationkey AS child, 'extends' AS kind FROM nation
-  UNION ALL SELECT 'nation' || c_nationkey, 'customer' || c_custkey, 'implements' FROM customer WHERE c_custkey <= 400
+  UNION ALL SELECT 'nation' || c_nationkey, 'customer' || c_custkey, 'implements' FROM customer
   UNION ALL SELECT 'nation' || s_nationkey, 'supplier' || s_suppkey, 'uses' FROM supplier)
 """
 

@@ -16,13 +16,13 @@ NAMED = f"{CALLS}, {FUNCTIONS}, {NAMED_CALLS}"
 @query(f"""WITH {NAMED} SELECT f.name, f.path, f.def_line, arg_min(c.line, c.edge_id) AS line
 FROM ncalls c JOIN fns f ON f.def_id = c.caller_id WHERE lower(c.callee) = 'fn24' GROUP BY f.name, f.path, f.def_line""")
 def n1_callers(spark, sf_dir):
-    return graph.callers(corpora.named_calls(spark, sf_dir), corpora.functions(spark), "FN24")
+    return graph.callers(corpora.named_calls(spark, sf_dir), corpora.functions(spark, sf_dir), "FN24")
 
 
 @query(f"""WITH {NAMED}, own AS (SELECT def_id FROM fns WHERE lower(name) = 'fn24')
 SELECT name, path, def_line FROM fns WHERE lower(name) IN (SELECT lower(callee) FROM ncalls WHERE caller_id IN (SELECT def_id FROM own))""")
 def n1_callees(spark, sf_dir):
-    return graph.callees(corpora.named_calls(spark, sf_dir), corpora.functions(spark), "Fn24")
+    return graph.callees(corpora.named_calls(spark, sf_dir), corpora.functions(spark, sf_dir), "Fn24")
 
 
 INDEGREE = "deg AS (SELECT callee, count(DISTINCT caller_id) AS indegree FROM ncalls GROUP BY callee)"
@@ -30,12 +30,12 @@ INDEGREE = "deg AS (SELECT callee, count(DISTINCT caller_id) AS indegree FROM nc
 
 @query(f"WITH {NAMED}, {INDEGREE} SELECT name, path, def_line, indegree FROM deg JOIN fns ON lower(fns.name) = lower(callee)")
 def a4_indegree(spark, sf_dir):
-    return graph.indegree(corpora.named_calls(spark, sf_dir), corpora.functions(spark))
+    return graph.indegree(corpora.named_calls(spark, sf_dir), corpora.functions(spark, sf_dir))
 
 
-@query(f"WITH {NAMED}, {INDEGREE} SELECT name, path, def_line, indegree FROM deg JOIN fns ON lower(fns.name) = lower(callee) ORDER BY indegree DESC, name, path LIMIT 15")
+@query(f"WITH {NAMED}, {INDEGREE} SELECT name, path, def_line, indegree FROM deg JOIN fns ON lower(fns.name) = lower(callee) ORDER BY indegree DESC, name, path, def_line LIMIT 15")
 def n7_top_indegree(spark, sf_dir):
-    return graph.indegree(corpora.named_calls(spark, sf_dir), corpora.functions(spark), 15)
+    return graph.indegree(corpora.named_calls(spark, sf_dir), corpora.functions(spark, sf_dir), 15)
 
 
 REACH = """
@@ -78,14 +78,14 @@ def n5_implementations(spark, sf_dir):
 @query(f"""WITH RECURSIVE {CALLS}, {FUNCTIONS}, {REACH}
 SELECT r.node, path, 'pytest' AS framework, depth FROM reached r JOIN fns USING (node) WHERE contains(path, '/tests/') AND name LIKE 'test_%' """)
 def n6_tests_for(spark, sf_dir):
-    return reports.tests_for(corpora.calls(spark, sf_dir), corpora.functions(spark), 5)
+    return reports.tests_for(corpora.calls(spark, sf_dir), corpora.functions(spark, sf_dir), 5)
 
 
-@query(f"""WITH RECURSIVE {CALLS}, e AS (SELECT caller AS a, callee AS b FROM calls WHERE edge_id % 5 = 0), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query(f"""WITH RECURSIVE {CALLS}, e AS (SELECT caller AS a, callee AS b FROM calls), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT node, b FROM reach JOIN both_ ON a = seen)
 SELECT node, min(seen) AS root FROM reach GROUP BY node""")
 def n13_components(spark, sf_dir):
-    e = corpora.calls(spark, sf_dir).where("edge_id % 5 = 0")
+    e = corpora.calls(spark, sf_dir)
     return graph.connected_components(e.select(F.col("caller").alias("a"), F.col("callee").alias("b")))
 
 
@@ -190,10 +190,11 @@ def a10_hubs(spark, sf_dir):
 
 @query(f"""WITH {FUNCTIONS}, asg AS (SELECT node AS sym_id, node // 30 AS cluster_id, path FROM fns),
 dirs AS (SELECT cluster_id, unnest(CASE WHEN contains(path, '/tests/') THEN ['pkg', 'pkg/tests'] ELSE ['pkg', 'pkg/src'] END) AS dir FROM asg),
-k AS (SELECT cluster_id, dir, count(*) AS k, len(string_split(dir, '/')) AS depth FROM dirs GROUP BY ALL)
-SELECT cluster_id, arg_max(dir, depth * 1000 + k) AS label FROM k WHERE 5 * k >= 3 * 30 GROUP BY cluster_id""")
+k AS (SELECT cluster_id, dir, count(*) AS k, len(string_split(dir, '/')) AS depth FROM dirs GROUP BY ALL),
+n AS (SELECT cluster_id, count(*) AS n FROM asg GROUP BY cluster_id)
+SELECT cluster_id, arg_max(dir, depth * 1000 + k) AS label FROM k JOIN n USING (cluster_id) WHERE 5 * k >= 3 * n GROUP BY cluster_id""")
 def a11_labels(spark, sf_dir):
-    f = corpora.functions(spark)
+    f = corpora.functions(spark, sf_dir)
     a = f.select(F.col("node").alias("sym_id"), F.floor(F.col("node") / 30).alias("cluster_id"))
     return clusters.labels(a, f.select(F.col("node").alias("sym_id"), "path"))
 
@@ -244,7 +245,7 @@ def j1_resolve_callers(spark, sf_dir):
 
 @query(f"WITH {NAMED} SELECT edge_id, def_id FROM ncalls JOIN fns ON lower(fns.name) = lower(callee)")
 def j2_callee_definitions(spark, sf_dir):
-    f = corpora.functions(spark).select("def_id", F.lower("name").alias("key"))
+    f = corpora.functions(spark, sf_dir).select("def_id", F.lower("name").alias("key"))
     return corpora.named_calls(spark, sf_dir).withColumn("key", F.lower("callee")).join(f, "key").select("edge_id", "def_id")
 
 
@@ -252,7 +253,7 @@ def j2_callee_definitions(spark, sf_dir):
 FROM ncalls c JOIN fns f ON f.def_id = c.caller_id GROUP BY lower(c.callee), f.name, f.path, f.def_line""")
 def j3_all_callers(spark, sf_dir):
     c = corpora.named_calls(spark, sf_dir).withColumn("callee", F.lower("callee"))
-    j = c.join(corpora.functions(spark), F.col("caller_id") == F.col("def_id"))
+    j = c.join(corpora.functions(spark, sf_dir), F.col("caller_id") == F.col("def_id"))
     return j.groupBy("callee", "name", "path", "def_line").agg(F.min_by("line", "edge_id").alias("line"))
 
 
@@ -299,8 +300,9 @@ def j7_unresolved_hierarchy(spark, sf_dir):
 
 
 INCLUDES = f"""{FUNCTIONS},
-hs AS (SELECT DISTINCT concat(CASE WHEN n % 3 = 0 THEN 'a/' WHEN n % 3 = 1 THEN 'a/b/' ELSE 'c/' END, 'h', n // 3 % 40, '.h') AS path FROM range(300) r(n)),
-inc AS (SELECT DISTINCT concat(CASE WHEN n % 2 = 0 THEN 'a/' ELSE 'c/' END, 'h', n % 40, '.h') AS src, concat(CASE WHEN n % 5 = 0 THEN 'b/' ELSE '' END, 'h', (n * 7) % 50, '.h') AS target FROM range(300) r(n)),
+size AS (SELECT greatest(40, count(*) // 8) AS h FROM part),
+hs AS (SELECT DISTINCT concat(CASE WHEN n % 3 = 0 THEN 'a/' WHEN n % 3 = 1 THEN 'a/b/' ELSE 'c/' END, 'h', n // 3 % h, '.h') AS path FROM (SELECT node AS n FROM fns), size),
+inc AS (SELECT DISTINCT concat(CASE WHEN n % 2 = 0 THEN 'a/' ELSE 'c/' END, 'h', n % h, '.h') AS src, concat(CASE WHEN n % 5 = 0 THEN 'b/' ELSE '' END, 'h', (n * 7) % (h + 10), '.h') AS target FROM (SELECT node AS n FROM fns), size),
 direct AS (SELECT src, target, path AS dst FROM inc JOIN hs ON path = regexp_replace(src, '[^/]*$', '') || target),
 rest AS (SELECT * FROM inc WHERE (src, target) NOT IN (SELECT src, target FROM direct)),
 named AS (SELECT src, target, path AS dst, row_number() OVER (PARTITION BY src, target ORDER BY (regexp_replace(path, '[^/]*$', '') <> regexp_replace(src, '[^/]*$', ''))::INT, length(path) - length(replace(path, '/', '')), path) AS k
@@ -309,28 +311,29 @@ incl AS (SELECT * FROM direct UNION ALL SELECT src, target, dst FROM named WHERE
 """
 
 
-def includes(spark):
-    n = F.col("id")
+def includes(spark, sf_dir):
+    parts = corpora.functions(spark, sf_dir).select(F.col("node").alias("n"))
+    h, n = max(40, parts.count() // 8), F.col("n")
     at = lambda c, *dirs: F.element_at(F.array(*map(F.lit, dirs)), (c % len(dirs) + 1).cast("int"))
     text = lambda c: c.cast("string")
-    files = spark.range(300).select(F.concat(at(n, "a/", "a/b/", "c/"), F.lit("h"), text(F.floor(n / 3) % 40), F.lit(".h")).alias("path")).distinct()
-    asked = spark.range(300).select(
-        F.concat(at(n, "a/", "c/"), F.lit("h"), text(n % 40), F.lit(".h")).alias("path"),
-        F.concat(F.when(n % 5 == 0, "b/").otherwise(""), F.lit("h"), text(n * 7 % 50), F.lit(".h")).alias("target"),
+    files = parts.select(F.concat(at(n, "a/", "a/b/", "c/"), F.lit("h"), text(F.floor(n / 3) % h), F.lit(".h")).alias("path")).distinct()
+    asked = parts.select(
+        F.concat(at(n, "a/", "c/"), F.lit("h"), text(n % h), F.lit(".h")).alias("path"),
+        F.concat(F.when(n % 5 == 0, "b/").otherwise(""), F.lit("h"), text(n * 7 % (h + 10)), F.lit(".h")).alias("target"),
     )
     return joins.resolve_includes(asked.distinct(), files)
 
 
 @query(f"WITH {INCLUDES} SELECT src, target, dst FROM incl")
 def j8_resolve_includes(spark, sf_dir):
-    return includes(spark)
+    return includes(spark, sf_dir)
 
 
 @query(f"""WITH RECURSIVE {INCLUDES}, walk AS (SELECT 'a/h0.h' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN incl ON src = node WHERE depth < 5)
 SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
 def j9_include_reach(spark, sf_dir):
     start = spark.range(1).select(F.lit("a/h0.h").alias("node"))
-    return graph.reach(includes(spark).select("src", "dst"), start, 5, 0)
+    return graph.reach(includes(spark, sf_dir).select("src", "dst"), start, 5, 0)
 
 
 @query(f"""WITH {REFS} SELECT r.ref_id, (SELECT arg_max(s.sym_id, s.line::BIGINT * 100000000 + s.sym_id) FROM sym s WHERE s.path = r.path AND s.line <= r.line) AS sym_id
@@ -365,7 +368,7 @@ def j19_cross_repo(spark, sf_dir):
 
 @query(f"WITH {FUNCTIONS} SELECT node, contains(path, '/tests/') AS test FROM fns")
 def f4_test_paths(spark, sf_dir):
-    return corpora.functions(spark).select("node", is_test_path(F.col("path")).alias("test"))
+    return corpora.functions(spark, sf_dir).select("node", is_test_path(F.col("path")).alias("test"))
 
 
 CHANNELS = f"""{NAMED}, walk AS (SELECT 24::BIGINT AS node, 0 AS depth UNION SELECT c.caller, depth + 1 FROM walk JOIN calls c ON c.callee = walk.node WHERE depth < 3),
@@ -376,7 +379,7 @@ ch AS (
 
 
 def impact_channels(spark, sf_dir):
-    calls, fns = corpora.calls(spark, sf_dir), corpora.functions(spark)
+    calls, fns = corpora.calls(spark, sf_dir), corpora.functions(spark, sf_dir)
     direct = calls.where("callee = 24").join(fns, F.col("node") == F.col("caller")).select("path", "line")
     far = graph.reachable(calls, 24, 3, None).where("depth >= 2").join(fns, "node").select("path", F.col("depth").alias("line"))
     return reports.impact({"callers": ("binder", direct), "transitive": ("text", far)})
@@ -399,7 +402,7 @@ def a18_verdict(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY name, path, line) AS k, count(*) OVER (PARTITION BY role) > 20 AS more FROM p)
 SELECT role, name, path, line, more FROM r WHERE k <= 20""")
 def c3_bundle_symbol(spark, sf_dir):
-    calls, fns = corpora.calls(spark, sf_dir), corpora.functions(spark)
+    calls, fns = corpora.calls(spark, sf_dir), corpora.functions(spark, sf_dir)
     callers = calls.where("callee < 40").join(fns, F.col("node") == F.col("caller")).select("name", "path", "line")
     callees = calls.where("caller = 24").join(fns, F.col("node") == F.col("callee")).select("name", "path", F.col("def_line").alias("line"))
     return reports.bundle_symbol({"caller": callers, "callee": callees})
@@ -416,4 +419,4 @@ def t4_probe_and_truncate(spark, sf_dir):
 SELECT node, path, depth, contains(path, '/tests/') AS is_test FROM (SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node HAVING min(depth) > 0) JOIN fns USING (node)""")
 def c4_pr_impact(spark, sf_dir):
     changed = spark.range(1).select(F.lit("pkg/src/m2.py").alias("path"))
-    return reports.pr_impact(changed, corpora.calls(spark, sf_dir), corpora.functions(spark))
+    return reports.pr_impact(changed, corpora.calls(spark, sf_dir), corpora.functions(spark, sf_dir))

@@ -241,18 +241,16 @@ def j17_presence(spark, sf_dir):
 
 
 @query(f"""WITH {SPANS} SELECT a.path AS a_path, a.blob AS a_blob, b.path AS b_path, b.blob AS b_blob FROM span a JOIN span b ON a.last_idx + 1 = b.first_idx
-UNION ALL SELECT a.path, a.blob, b.path, b.blob FROM (SELECT path, blob, commit_idx FROM seen WHERE commit_idx % 7 = 0) a JOIN seen b ON a.commit_idx + 1 = b.commit_idx AND a.path = b.path""")
+UNION ALL SELECT a.path, a.blob, b.path, b.blob FROM seen a JOIN seen b ON a.commit_idx + 1 = b.commit_idx AND a.path = b.path""")
 def j16_consecutive_commits(spark, sf_dir):
     s = corpora.sightings(spark, sf_dir)
     span = history.spans(s, ["path", "blob"])
     a, b = (span.select(*(F.col(c).alias(f"{x}_{c}") for c in span.columns)) for x in "ab")
     hulls = a.join(b, F.col("a_last_idx") + 1 == F.col("b_first_idx"))
-    c, d = s.where("commit_idx % 7 = 0"), s
-    near = c.select(F.col("path").alias("a_path"), F.col("blob").alias("a_blob"), (F.col("commit_idx") + 1).alias("k")).join(
-        d.select(F.col("path").alias("b_path"), F.col("blob").alias("b_blob"), F.col("commit_idx").alias("k")), "k"
-    )
+    c = s.select("path", F.col("blob").alias("a_blob"), (F.col("commit_idx") + 1).alias("k"))
+    near = c.join(s.select("path", F.col("blob").alias("b_blob"), F.col("commit_idx").alias("k")), ["path", "k"]).select(F.col("path").alias("a_path"), "a_blob", F.col("path").alias("b_path"), "b_blob")
     cols = ["a_path", "a_blob", "b_path", "b_blob"]
-    return hulls.select(*cols).unionByName(near.where("a_path = b_path").select(*cols))
+    return hulls.select(*cols).unionByName(near)
 
 
 VERSIONS = f"{SYMBOLS}, v AS (SELECT sym_id AS entry_id, kind, source AS name, doc_id_ AS commit_idx, signature FROM (SELECT *, sym_id AS doc_id_ FROM sym))"
@@ -280,11 +278,11 @@ def c7_history_lookup(spark, sf_dir):
 
 
 def rename_entries(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("n_chars < 3000")
+    d = table(spark, sf_dir, "documents")
     words = F.array_sort(F.array_distinct(F.filter(F.split("text", r"\s+"), lambda x: x != "")))
     return d.select(
         F.col("doc_id").alias("entry_id"), F.lit("n").alias("name"), F.lit("function").alias("kind"), F.col("text").alias("body"), words.alias("tokens"),
-        (F.col("doc_id") % 3).cast("int").alias("first_idx"), (F.col("doc_id") % 3).cast("int").alias("last_idx"),
+        F.floor(F.col("doc_id") / 100).cast("int").alias("first_idx"), F.floor(F.col("doc_id") / 100).cast("int").alias("last_idx"),
     )
 
 
@@ -293,7 +291,7 @@ def j15_band_candidates(spark, sf_dir):
     return history.band_candidates(rename_entries(spark, sf_dir))
 
 
-@query(r"""WITH e AS (SELECT doc_id, strlen(text) AS len, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS t, doc_id % 3 AS c FROM documents WHERE n_chars < 3000),
+@query(r"""WITH e AS (SELECT doc_id, strlen(text) AS len, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS t, doc_id // 100 AS c FROM documents),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, least(a.len, b.len)::DOUBLE / greatest(a.len, b.len, 1) AS ratio, len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS j
   FROM e a JOIN e b ON a.c + 1 = b.c WHERE least(a.len, b.len)::DOUBLE / greatest(a.len, b.len, 1) >= 0.6)
 SELECT a, b, round(j, 6) AS jaccard, round(0.78 * j + 0.22 * ratio, 6) AS score FROM p WHERE j >= 0.7 AND 0.78 * j + 0.22 * ratio >= 0.65""")
@@ -323,7 +321,7 @@ def a17_minhash_jaccard(spark, sf_dir):
     return e.join(nxt, "entry_id").select("entry_id", similarity.minhash_jaccard(F.col("s"), F.col("z")).alias("estimate"))
 
 
-@query("WITH l AS (SELECT caller AS a, callee AS b, (edge_id % 17)::DOUBLE AS score FROM (SELECT o_orderkey AS edge_id, o_custkey % 300 AS caller, (o_orderkey * 7 + 3) % 300 AS callee FROM orders WHERE o_orderkey % 1000 < 400 AND o_orderkey < 1500) WHERE caller <> callee) SELECT entry_id, max(score) AS score FROM (SELECT a AS entry_id, score FROM l UNION ALL SELECT b, score FROM l) GROUP BY entry_id")
+@query(f"WITH {CALLS}, l AS (SELECT caller AS a, callee AS b, (edge_id % 17)::DOUBLE AS score FROM calls) SELECT entry_id, max(score) AS score FROM (SELECT a AS entry_id, score FROM l UNION ALL SELECT b, score FROM l) GROUP BY entry_id")
 def a14_best_link(spark, sf_dir):
     c = corpora.calls(spark, sf_dir).withColumn("score", (F.col("edge_id") % 17).cast("double"))
     both = c.select(F.col("caller").alias("entry_id"), "score").unionByName(c.select(F.col("callee").alias("entry_id"), "score"))
@@ -416,10 +414,9 @@ def t2_filter_then_limit(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'de'").orderBy(F.desc("n_chars"), "doc_id").limit(20).select("doc_id")
 
 
-@query("SELECT caller, callee FROM (SELECT DISTINCT o_custkey % 300 AS caller, (o_orderkey * 7 + 3) % 300 AS callee FROM orders WHERE o_orderkey < 1500) ORDER BY caller, callee LIMIT 30")
+@query(f"WITH {CALLS} SELECT caller, callee FROM (SELECT DISTINCT caller, callee FROM calls) ORDER BY caller, callee LIMIT 30")
 def t3_ordered_limit(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 1500")
-    return o.select((F.col("o_custkey") % 300).alias("caller"), ((F.col("o_orderkey") * 7 + 3) % 300).alias("callee")).distinct().orderBy("caller", "callee").limit(30)
+    return corpora.calls(spark, sf_dir).select("caller", "callee").distinct().orderBy("caller", "callee").limit(30)
 
 
 @query(f"WITH {SYMBOLS} SELECT sym_id AS was, row_number() OVER (ORDER BY path, line, kind, name, sym_id) - 1 AS sym_id FROM sym")
@@ -575,42 +572,59 @@ def helper_one(v):
 '''
 
 
-def parsed(spark):
+RUST = "use std::fmt;\n/// doc\npub struct Point { x: i32 }\nimpl Show for Point {\n    fn show(&self) -> i32 {\n        render_it(self.x)\n    }\n}\nfn render_it(v: i32) -> i32 {\n    v\n}\n"
+HEADINGS = "# One\ntext\n## Two\nmore\n# Three\n"
+CPP = '#include <x>\n#include "a/b.h"\n  #include "c.h"\nint f(int a) {\n  return g(a);\n}\n'
+#: The files that documents stand for in turn: name, language, source, and what marks a line of their text.
+FILES_OF = [("m.py", "python", SOURCE, "# "), ("p.rs", "rust", RUST, "// "), ("r.md", "markdown", HEADINGS, "> "), ("m.cpp", "cpp", CPP, "// ")]
+
+
+def parsed(spark, sf_dir):
+    """Every document as a source file that ends with its whole text as comments, parsed."""
     from lodestone.sources import parser
 
-    rust = "use std::fmt;\n/// doc\npub struct Point { x: i32 }\nimpl Show for Point {\n    fn show(&self) -> i32 {\n        render_it(self.x)\n    }\n}\nfn render_it(v: i32) -> i32 {\n    v\n}\n"
-    rows = [("m.py", "python", SOURCE), ("p.rs", "rust", rust), ("r.md", "markdown", "# One\ntext\n## Two\nmore\n# Three\n")]
-    return parser, parser.parse_files(spark.createDataFrame(rows, "path string, lang string, text string"))
+    k = (F.col("doc_id") % len(FILES_OF) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(f[i]) for f in FILES_OF)), k)
+    comments = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(pick(3), x)), "\n")
+    files = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), pick(0)).alias("path"), pick(1).alias("lang"), F.concat(pick(2), comments).alias("text"))
+    return parser, parser.parse_files(files)
+
+
+def parsed_sql(rows: str, columns: str, path: bool = True) -> str:
+    """What is known of the files' sources, for every document that stands for them."""
+    at = ", ".join(f"({i}, '{f[0]}')" for i, f in enumerate(FILES_OF))
+    show = "doc_id || '/' || file AS path" + (f", {columns}" if columns else "")
+    return f"SELECT {show} FROM documents JOIN (VALUES {at}) f(k, file) ON k = doc_id % {len(FILES_OF)} JOIN (VALUES {rows}) v(file, {columns}) USING (file)"
 
 
-@query("""SELECT * FROM (VALUES ('m.py', 'LIMIT', 'constant', 4), ('m.py', 'Shape', 'class', 7), ('m.py', 'area', 'method', 10), ('m.py', 'helper_one', 'function', 14),
-('p.rs', 'Point', 'struct', 3), ('p.rs', 'show', 'function', 5), ('p.rs', 'render_it', 'function', 9), ('r.md', 'One', 'heading', 1), ('r.md', 'Two', 'heading', 3), ('r.md', 'Three', 'heading', 5)) v(path, name, kind, line)""")
+@query(parsed_sql("""('m.py', 'LIMIT', 'constant', 4), ('m.py', 'Shape', 'class', 7), ('m.py', 'area', 'method', 10), ('m.py', 'helper_one', 'function', 14),
+('p.rs', 'Point', 'struct', 3), ('p.rs', 'show', 'function', 5), ('p.rs', 'render_it', 'function', 9), ('r.md', 'One', 'heading', 1), ('r.md', 'Two', 'heading', 3), ('r.md', 'Three', 'heading', 5), ('m.cpp', 'f', 'function', 4)""", "name, kind, line"))
 def s9_symbols(spark, sf_dir):
-    parser, p = parsed(spark)
+    parser, p = parsed(spark, sf_dir)
     return parser.relation(p, "symbols").select("path", "name", "kind", "line")
 
 
-@query("""SELECT * FROM (VALUES ('m.py', 'area', 'helper_one', 11), ('m.py', 'area', 'getpid', 11), ('m.py', 'helper_one', 'area', 16), ('m.py', 'helper_one', 'Shape', 16), ('p.rs', 'show', 'render_it', 6)) v(path, caller_name, callee, line)""")
+@query(parsed_sql("""('m.py', 'area', 'helper_one', 11), ('m.py', 'area', 'getpid', 11), ('m.py', 'helper_one', 'area', 16), ('m.py', 'helper_one', 'Shape', 16), ('p.rs', 'show', 'render_it', 6), ('m.cpp', 'f', 'g', 5)""", "caller_name, callee, line"))
 def s14_call_edges(spark, sf_dir):
-    parser, p = parsed(spark)
+    parser, p = parsed(spark, sf_dir)
     return parser.relation(p, "call_edges").select("path", "caller_name", "callee", "line")
 
 
-@query("SELECT * FROM (VALUES ('m.py', 'Shape', 'Base', 'extends', 7), ('p.rs', 'Point', 'Show', 'implements', 4)) v(path, child_name, parent_name, kind, line)")
+@query(parsed_sql("('m.py', 'Shape', 'Base', 'extends', 7), ('p.rs', 'Point', 'Show', 'implements', 4)", "child_name, parent_name, kind, line"))
 def s15_hierarchy(spark, sf_dir):
-    parser, p = parsed(spark)
+    parser, p = parsed(spark, sf_dir)
     return parser.relation(p, "hierarchy").select("path", "child_name", "parent_name", "kind", "line")
 
 
-@query("SELECT * FROM (VALUES ('x', 'local'), ('os', 'imported'), ('helper_one', 'module'), ('Shape', 'module'), ('v', 'local'), ('Base', 'unresolved')) v(name, binding)")
+@query(parsed_sql("('m.py', 'x', 'local'), ('m.py', 'os', 'imported'), ('m.py', 'helper_one', 'module'), ('m.py', 'Shape', 'module'), ('m.py', 'v', 'local'), ('m.py', 'Base', 'unresolved')", "name, binding"))
 def s13_bindings(spark, sf_dir):
-    parser, p = parsed(spark)
-    return parser.relation(p, "bound_refs").where("path = 'm.py'").select("name", "binding").distinct()
+    parser, p = parsed(spark, sf_dir)
+    return parser.relation(p, "bound_refs").where(F.col("path").endswith("m.py")).select("path", "name", "binding").distinct()
 
 
-@query("SELECT * FROM (VALUES ('m.py', 'class', 'Shape'), ('m.py', 'method', 'area'), ('m.py', 'function', 'helper_one'), ('p.rs', 'struct', 'Point'), ('p.rs', 'function', 'show'), ('p.rs', 'function', 'render_it')) v(path, kind, ident)")
+@query(parsed_sql("('m.py', 'class', 'Shape'), ('m.py', 'method', 'area'), ('m.py', 'function', 'helper_one'), ('p.rs', 'struct', 'Point'), ('p.rs', 'function', 'show'), ('p.rs', 'function', 'render_it'), ('m.cpp', 'function', 'f')", "kind, ident"))
 def s16_skeletons(spark, sf_dir):
-    parser, p = parsed(spark)
+    parser, p = parsed(spark, sf_dir)
     return parser.relation(p, "skeletons").select("path", "kind", "ident")
 
 
@@ -629,8 +643,8 @@ def x5_sessions(spark, sf_dir):
     return refresh.sessions(table(spark, sf_dir, "events"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 300 AS a, (o_orderkey * 7 + 3) % 300 AS b FROM orders WHERE o_orderkey % 1000 < 400 AND o_orderkey < 1500),
-walk AS (SELECT 'm9' AS path, 0 AS depth UNION SELECT 'm' || e.b, depth + 1 FROM walk JOIN e ON 'm' || e.a = path AND a <> b WHERE depth < 4) SELECT DISTINCT path FROM walk""")
+@query(f"""WITH RECURSIVE {CALLS}, e AS (SELECT DISTINCT caller AS a, callee AS b FROM calls),
+walk AS (SELECT 9::BIGINT AS node, 0 AS depth UNION SELECT e.b, depth + 1 FROM walk JOIN e ON e.a = node WHERE depth < 4) SELECT DISTINCT 'm' || node AS path FROM walk""")
 def x3_importer_cascade(spark, sf_dir):
     c = corpora.calls(spark, sf_dir)
     by = c.select(F.concat(F.lit("m"), F.col("caller").cast("string")).alias("target_path"), F.concat(F.lit("m"), F.col("callee").cast("string")).alias("importer_path"))

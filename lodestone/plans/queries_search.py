@@ -36,25 +36,29 @@ score AS (
 """
 
 
+def words_index(spark, sf_dir):
+    return bm25.open_index(documents(spark, sf_dir), [f"{sf_dir}/documents.parquet"])
+
+
 def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sym_id"), "text")
 
 
 @query(f"WITH {TERMS} SELECT sym_id, dl::INT AS dl, list_aggregate(list_sort(t), 'string_agg', ' ') AS terms FROM terms JOIN dl USING (sym_id)")
 def r1_bm25_lengths(spark, sf_dir):
-    index = bm25.build(documents(spark, sf_dir))
+    index = words_index(spark, sf_dir)
     terms = index.postings.groupBy("sym_id").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))
     return index.lengths.join(terms, "sym_id").select("sym_id", "dl", "terms")
 
 
 @query(f"WITH {TERMS} SELECT term, count(*) AS df FROM post GROUP BY term")
 def a1_document_frequency(spark, sf_dir):
-    return bm25.document_frequency(bm25.build(documents(spark, sf_dir)).postings)
+    return bm25.document_frequency(words_index(spark, sf_dir).postings)
 
 
 @query(f"WITH {TERMS} SELECT n, round(avgdl, 6) AS avgdl FROM stat")
 def a2_average_length(spark, sf_dir):
-    return bm25.build(documents(spark, sf_dir)).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+    return words_index(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(r"""
@@ -72,14 +76,14 @@ def r3_query_terms(spark, sf_dir):
 
 @query(f"WITH {TERMS}, {SCORES} SELECT sym_id, round(score, 6) AS score FROM score ORDER BY score DESC, sym_id LIMIT 20")
 def r4_bm25_search(spark, sf_dir):
-    return bm25.search(bm25.build(documents(spark, sf_dir)), QUESTION).select("sym_id", F.round("score", 6).alias("score"))
+    return bm25.search(words_index(spark, sf_dir), QUESTION).select("sym_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {SYMBOLS}, {TERMS}, {SCORES}
 SELECT path, name, line, kind, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, sym_id) - 1)::INT AS rank
 FROM (SELECT * FROM score ORDER BY score DESC, sym_id LIMIT 20) JOIN sym USING (sym_id)""")
 def r5_bm25_results(spark, sf_dir):
-    hits = ranking.ranks(bm25.search(bm25.build(documents(spark, sf_dir)), QUESTION))
+    hits = ranking.ranks(bm25.search(words_index(spark, sf_dir), QUESTION))
     return corpora.symbols(spark, sf_dir).join(hits, "sym_id").select("path", "name", "line", "kind", F.round("score", 6).alias("score"), "rank")
 
 
@@ -93,7 +97,7 @@ SELECT query_id, sym_id, round(score, 6) AS score, rank::INT AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sym_id) AS rank FROM s) WHERE rank <= 20""")
 def r4_bm25_many(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    out = bm25.search_many(bm25.build(documents(spark, sf_dir)), asked)
+    out = bm25.search_many(words_index(spark, sf_dir), asked)
     return out.select("query_id", "sym_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -107,7 +111,7 @@ idx AS (SELECT DISTINCT token, sym_id FROM (SELECT sym_id, unnest(t) AS token FR
 
 
 def name_index(spark, sf_dir):
-    return lookup.build_name_index(corpora.symbols(spark, sf_dir))
+    return lookup.open_name_index(corpora.symbols(spark, sf_dir), [f"{sf_dir}/documents.parquet"])
 
 
 @query(f"WITH {INDEX} SELECT token, sym_id FROM idx")
@@ -161,7 +165,7 @@ cand AS (SELECT sym.*, rung, (row_number() OVER (ORDER BY lower(name), path, lin
 @query(f"WITH {INDEX}, {RUNG.format(q=NAME)}, {RANKED} SELECT sym_id, name, path, rung, rank FROM cand")
 def l8_ranked_candidates(spark, sf_dir):
     s = corpora.symbols(spark, sf_dir)
-    return lookup.ranked_candidates(s, lookup.build_name_index(s), NAME).select("sym_id", "name", "path", "rung", "rank")
+    return lookup.ranked_candidates(s, name_index(spark, sf_dir), NAME).select("sym_id", "name", "path", "rung", "rank")
 
 
 @query(f"WITH {SYMBOLS}, ask AS (SELECT unnest(['TheAnd', 'theand', 'nope', 'OfAn']) AS name) SELECT name, EXISTS (SELECT 1 FROM sym WHERE lower(sym.name) = lower(ask.name)) AS found FROM ask")
@@ -177,18 +181,21 @@ def f16_outline(spark, sf_dir):
     return lookup.outline(s, first).select("sym_id", "name", "kind", "line")
 
 
-@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
-SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) DESC, vec_id LIMIT 10""")
+ASKED = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS c FROM embeddings, q)"""
+
+
+@query(f"""WITH {ASKED} SELECT query_id, id, round(c, 6) AS similarity, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def r6_vector_search(spark, sf_dir):
     v = corpora.vectors(spark, sf_dir)
-    q = v.where("id = 0").first().embedding
-    return vectors.search_exact(v, q, 10).select("id", F.round("similarity", 6).alias("similarity"))
+    return vectors.search_many(v, v.where("id % 100 = 0"), 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query()
 def r7_vector_search_lsh(spark, sf_dir):
     v = corpora.vectors(spark, sf_dir)
-    return vectors.search_lsh(v, v.where("id = 0").first().embedding, 10)
+    return vectors.search_lsh(v, v.where("id % 100 = 0"), 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_inner_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS own FROM embeddings")
@@ -197,23 +204,23 @@ def r8_dot_and_norm(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(similarity.norm(e), 6).alias("norm"), F.round(similarity.dot(e, F.reverse(e)), 6).alias("own"))
 
 
-@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 3),
-s AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS c FROM embeddings, q WHERE vec_id <> 3)
-SELECT id, round(c, 6) AS similarity FROM s WHERE c >= 0.2 ORDER BY c DESC, id LIMIT 10""")
+@query(f"""WITH {ASKED} SELECT query_id, id, round(c, 6) AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, id) AS k FROM s WHERE id <> query_id AND c >= 0.2) WHERE k <= 10""")
 def r9_similar_to(spark, sf_dir):
-    return vectors.similar_to(corpora.vectors(spark, sf_dir), 3, 10, 0.2).select("id", F.round("similarity", 6).alias("similarity"))
+    v = corpora.vectors(spark, sf_dir)
+    return vectors.similar_to(v, v.where("id % 100 = 0"), 10, 0.2).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
-NEAR = """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+NEAR_PAIRS = """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35"""
 
 
-@query(NEAR)
+@query(NEAR_PAIRS)
 def j14_near_pairs(spark, sf_dir):
     return vectors.near_pairs(corpora.vectors(spark, sf_dir), 0.35).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"SELECT a, b, similarity FROM ({NEAR}) WHERE a % 9 >= 2 AND b % 9 >= 2 ORDER BY similarity DESC, a, b LIMIT 20")
+@query(f"SELECT a, b, similarity FROM ({NEAR_PAIRS}) WHERE a % 9 >= 2 AND b % 9 >= 2 ORDER BY similarity DESC, a, b LIMIT 20")
 def r10_duplicates(spark, sf_dir):
     v = corpora.vectors(spark, sf_dir)
     lines = v.select("id", (F.col("id") % 9 + 3).alias("lines"))
@@ -262,7 +269,7 @@ fused AS (
 
 def hybrid(spark, sf_dir):
     s = corpora.symbols(spark, sf_dir)
-    return s, channels(s, lookup.build_name_index(s), bm25.build(documents(spark, sf_dir)), None, SearchRequest("thing"))
+    return s, channels(s, name_index(spark, sf_dir), words_index(spark, sf_dir), None, SearchRequest("thing"))
 
 
 @query(f"WITH {HYBRID} SELECT path, name, line, kind, match_type, round(score, 6) AS score FROM fused")
@@ -311,7 +318,7 @@ WHERE NOT contains(path, '/tests/') ORDER BY round(boosted::DOUBLE, 12) DESC, pa
 def r16_search(spark, sf_dir):
     s = corpora.symbols(spark, sf_dir)
     request = SearchRequest("thing", scope=paths.PathScope(exclude=("**/tests/**",)))
-    out = search(s, lookup.build_name_index(s), bm25.build(documents(spark, sf_dir)), request)
+    out = search(s, name_index(spark, sf_dir), words_index(spark, sf_dir), request)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -369,7 +376,7 @@ rel AS (
 
 def golden_run(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    found = bm25.search_many(bm25.build(documents(spark, sf_dir)), b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
+    found = bm25.search_many(words_index(spark, sf_dir), b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
     ranked = found.select("query_id", F.concat(F.lit("d"), F.col("sym_id").cast("string")).alias("tag"), "rank")
     # Texts that hold a whole passage hold its rarest words: the two meet by a join on words.
     hits = evaluation.containing(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), b)
@@ -405,8 +412,8 @@ def g1_grep(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT path, line, trim(text) AS text FROM lines WHERE regexp_matches(text, 'Apache License, Version [0-9]')")
 def g2_grep_indexed(spark, sf_dir):
-    f = corpora.files(spark, sf_dir)
-    return grep.grep(f, "Apache License, Version [0-9]", grep.trigram_index(f))
+    index = grep.open_index(corpora.files(spark, sf_dir), [f"{sf_dir}/documents.parquet"])
+    return grep.grep_indexed(index, "Apache License, Version [0-9]")
 
 
 @query(f"WITH {LINES} SELECT path, line, trim(text) AS text FROM lines WHERE regexp_matches(text, '\\bthing\\b')")
@@ -414,6 +421,8 @@ def g3_grep_word(spark, sf_dir):
     return grep.grep_word(corpora.files(spark, sf_dir), "thing")
 
 
-@query("SELECT DISTINCT substring('Apache License', i, 3) AS trigram FROM range(1, 13) r(i)")
+@query("SELECT trigram, (SELECT count(*) FROM documents WHERE contains(text, trigram)) AS files FROM (SELECT DISTINCT substring('Apache License', i, 3) AS trigram FROM range(1, 13) r(i))")
 def g2_required_trigrams(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in trigrams.required_trigrams("(?:Apache License)+,? v?")], "trigram string")
+    needed = trigrams.required_trigrams("(?:Apache License)+,? v?")
+    counts = table(spark, sf_dir, "documents").agg(*(F.count_if(F.contains("text", F.lit(t))).alias(f"n{i}") for i, t in enumerate(needed)))
+    return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, needed)), F.array(*(f"n{i}" for i in range(len(needed)))))).alias("trigram", "files"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths
 from lodestone.operators import grep, lookup, pattern
 from lodestone.plans import corpora
-from lodestone.plans.corpora import table
-from lodestone.plans.queries_history import parsed
+from lodestone.plans.corpora import table, truth_sql
+from lodestone.plans.queries_history import EXTENSIONS, parsed, parsed_sql
 from lodestone.plans.queries_search import INDEX, name_index
 from lodestone.plans.registry import query
 from lodestone.sources import files as sources
@@ -23,23 +23,18 @@ def folder(spark, tag):
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-@query("SELECT 'part' || (doc_id % 3) || '/f' || doc_id || '.md' AS path FROM documents WHERE doc_id < 6 AND doc_id % 3 <> 1")
+@query("SELECT 'part=' || (doc_id % 3) || '/doc=f' || doc_id AS path FROM documents WHERE doc_id % 3 <> 1")
 def s1_walk(spark, sf_dir):
     root = folder(spark, "walk")
-    d = table(spark, sf_dir, "documents").where("doc_id < 6").select("doc_id", "text").collect()  # six rows
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for r in d:
-        at = hadoop.Path(f"{root}/part{r.doc_id % 3}/f{r.doc_id}.md")
-        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
-        out.write(bytearray(r.text.encode()))
-        out.close()
-    return sources.walk(spark, root, exclude=("part1/**",)).select("path")
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 3).alias("part"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("doc"), "text")
+    d.repartition(8, "doc").write.partitionBy("part", "doc").text(root)  # a folder with one file for each document
+    return sources.walk(spark, root, exclude=("part=1/**", "_SUCCESS")).select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
 
 
-@query("SELECT * FROM (VALUES ('a.py', 'python'), ('c.rs', 'rust')) v(path, lang)")
+@query(truth_sql(EXTENSIONS, "path", "lang").replace("FROM (SELECT doc_id FROM documents)", "FROM (SELECT doc_id, n_chars FROM documents)") + " WHERE lang IS NOT NULL AND n_chars * 100 <= 1048576")
 def s2_discover(spark, sf_dir):
-    rows = spark.createDataFrame([("a.py", 10), ("b.py", 2_000_000), ("c.rs", 1 << 20), ("d.xyz", 5)], "path string, length long")
-    return sources.discover(rows).select("path", "lang")
+    files = corpora.named(spark, sf_dir, EXTENSIONS, "path").join(table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * 100).alias("length")), "doc_id")
+    return sources.discover(files).select("doc_id", "path", "lang")
 
 
 @query("SELECT doc_id, doc_id % 4 = 0 AND doc_id % 3 <> 0 AS reused FROM documents")
@@ -52,24 +47,23 @@ def s7_stat_cache(spark, sf_dir):
     return hashed.select(F.col("path").cast("long").alias("doc_id"), (F.col("content_hash") == 7).alias("reused"))
 
 
-@query("SELECT * FROM (VALUES ('m.py', 4, 4), ('p.rs', 3, 1), ('r.md', 3, 0)) v(path, n_symbols, n_calls)")
+@query(parsed_sql("('m.py', 4, 4), ('p.rs', 3, 1), ('r.md', 3, 0), ('m.cpp', 1, 1)", "n_symbols, n_calls"))
 def s8_parse(spark, sf_dir):
-    _, p = parsed(spark)
+    _, p = parsed(spark, sf_dir)
     return p.select("path", F.size("symbols").alias("n_symbols"), F.size("call_edges").alias("n_calls"))
 
 
-@query("SELECT * FROM (VALUES ('area', 'helper_one'), ('helper_one', 'Shape')) v(name, token)")
+@query(parsed_sql("('m.py', 'area', 'helper_one'), ('m.py', 'helper_one', 'Shape')", "name, token"))
 def s11_body_tokens(spark, sf_dir):
-    p, rows = parsed(spark)
+    p, rows = parsed(spark, sf_dir)
     s = p.relation(rows, "symbols").where("name IN ('area', 'helper_one')")
-    return s.select("name", F.explode(F.split("body_tokens", " ")).alias("token")).where("token IN ('helper_one', 'Shape')")
+    return s.select("path", "name", F.explode(F.split("body_tokens", " ")).alias("token")).where("token IN ('helper_one', 'Shape')").distinct()
 
 
-@query("SELECT * FROM (VALUES ('a/b.h', 2), ('c.h', 3)) v(target, line)")
+@query(parsed_sql("('m.cpp', 'a/b.h', 2), ('m.cpp', 'c.h', 3)", "target, line"))
 def s17_includes(spark, sf_dir):
-    text = '#include <x>\n#include "a/b.h"\n  #include "c.h"\nint f(int a) {\n  return g(a);\n}\n'
-    files = spark.createDataFrame([("m.cpp", "cpp", text)], "path string, lang string, text string")
-    return parser.relation(parser.parse_files(files), "includes").select("target", "line")
+    p, rows = parsed(spark, sf_dir)
+    return p.relation(rows, "includes").where(F.col("path").endswith(".cpp")).select("path", "target", "line")
 
 
 @query("SELECT source, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY source")
@@ -88,27 +82,27 @@ def small_files(spark, sf_dir, where):
     return d.select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("markdown").alias("lang"), edit.alias("text"))
 
 
-@query("SELECT 'f' || doc_id || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 'Head' ELSE 'Other' END AS name FROM documents WHERE doc_id < 60")
+@query("SELECT 'f' || doc_id || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 'Head' ELSE 'Other' END AS name FROM documents")
 def s23_parse_cache(spark, sf_dir):
-    known = parser.parse_cached(small_files(spark, sf_dir, "doc_id < 30"), None)
-    again = parser.parse_cached(small_files(spark, sf_dir, "doc_id < 60"), known)
+    known = parser.parse_cached(small_files(spark, sf_dir, "doc_id % 2 = 0"), None)
+    again = parser.parse_cached(small_files(spark, sf_dir, "true"), known)
     return parser.relation(again, "symbols").where("name IN ('Head', 'Other')").select("path", "name")
 
 
-@query("SELECT 'f' || doc_id || '.md' AS path, CASE WHEN doc_id = 7 THEN 'New' WHEN doc_id % 5 = 0 THEN 'Head' ELSE 'Other' END AS name FROM documents WHERE doc_id < 40 AND doc_id <> 9")
+@query("SELECT 'f' || doc_id || '.md' AS path, CASE WHEN doc_id = 7 THEN 'New' WHEN doc_id % 5 = 0 THEN 'Head' ELSE 'Other' END AS name FROM documents WHERE doc_id <> 9")
 def x2_incremental_update(spark, sf_dir):
     catalog = Catalog(spark, folder(spark, "refresh"))
-    refresh.update(catalog, small_files(spark, sf_dir, "doc_id < 40").withColumn("deleted", F.lit(False)), 0)
+    refresh.update(catalog, small_files(spark, sf_dir, "true").withColumn("deleted", F.lit(False)), 0)
     batch = spark.createDataFrame([("f7.md", "markdown", "# New\n", False), ("f9.md", "markdown", "", True)], "path string, lang string, text string, deleted boolean")
     after = refresh.update(catalog, batch, 1)
     assert refresh.update(catalog, batch, 1) == after
     return catalog.read("symbols").where("name IN ('Head', 'Other', 'New')").select("path", "name")
 
 
-@query("SELECT 'f' || doc_id || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 'Head' ELSE 'Other' END AS name FROM documents WHERE doc_id < 20")
+@query("SELECT 'f' || doc_id || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 'Head' ELSE 'Other' END AS name FROM documents")
 def x1_watch(spark, sf_dir):
     root = folder(spark, "watch")
-    events = small_files(spark, sf_dir, "doc_id < 20").withColumn("deleted", F.lit(False)).withColumn("seq", F.lit(1).cast("long"))
+    events = small_files(spark, sf_dir, "true").withColumn("deleted", F.lit(False)).withColumn("seq", F.lit(1).cast("long"))
     events.write.json(f"{root}/events")
     catalog = Catalog(spark, f"{root}/catalog")
     run = refresh.watch(spark, f"{root}/events", catalog, f"{root}/checkpoint", {"availableNow": True})
@@ -126,25 +120,35 @@ def p1_parse_pattern(spark, sf_dir):
 NODES = [("a.rs", 1, "fn one(x: i32) -> Result<i32> {"), ("a.rs", 5, "fn two() {"), ("b.rs", 2, "struct One {"), ("b.rs", 9, "call(one, one)"), ("b.rs", 10, "call(one, two)"), ("c.rs", 3, "fn one(a: u8)  -> Result {")]
 
 
-def nodes(spark):
-    return spark.createDataFrame(NODES, "path string, line int, node_text string")
+def nodes(spark, sf_dir):
+    """Documents as nodes of source files in turn, six documents to a folder."""
+    k = (F.col("doc_id") % len(NODES) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(n[i]) for n in NODES)), k)
+    home = F.concat(F.lit("d"), F.floor(F.col("doc_id") / len(NODES)).cast("string"), F.lit("/"))
+    return table(spark, sf_dir, "documents").select(F.concat(home, pick(0)).alias("path"), pick(1).cast("int").alias("line"), pick(2).alias("node_text"))
 
 
-@query("SELECT * FROM (VALUES ('a.rs', 1, 'one'), ('c.rs', 3, 'one')) v(path, line, name)")
+def nodes_sql(rows: str, columns: str, where: str = "true") -> str:
+    """What is found in the nodes, for every document that stands for them: rows are (place in NODES, path, columns...)."""
+    return f"SELECT 'd' || (doc_id // {len(NODES)}) || '/' || file AS path, {columns} FROM documents d JOIN (VALUES {rows}) v(k, file, {columns}) ON k = doc_id % {len(NODES)} WHERE {where}"
+
+
+@query(nodes_sql("(0, 'a.rs', 1, 'one'), (5, 'c.rs', 3, 'one')", "line, name"))
 def p3_root_kind_prefilter(spark, sf_dir):
-    skeletons = spark.createDataFrame([("a.rs", "function"), ("b.rs", "struct"), ("c.rs", "function")], "path string, kind string")
-    found = pattern.find(nodes(spark), "fn $NAME($$$) -> Result", skeletons)
+    n = nodes(spark, sf_dir)
+    skeletons = n.select("path", F.when(F.col("path").endswith("b.rs"), "struct").otherwise("function").alias("kind")).distinct()
+    found = pattern.find(n, "fn $NAME($$$) -> Result", skeletons)
     return found.select("path", "line", F.col("captures")["NAME"].alias("name"))
 
 
-@query("SELECT * FROM (VALUES ('b.rs', 9)) v(path, line)")
+@query(nodes_sql("(3, 'b.rs', 9)", "line"))
 def p2_back_references(spark, sf_dir):
-    return pattern.find(nodes(spark), "call($A, $A)").select("path", "line")
+    return pattern.find(nodes(spark, sf_dir), "call($A, $A)").select("path", "line")
 
 
-@query("SELECT * FROM (VALUES ('a.rs', 1, 'one')) v(path, line, name)")
+@query(nodes_sql("(0, 'a.rs', 1, 'one')", "line, name", f"EXISTS (SELECT 1 FROM documents o WHERE o.doc_id = d.doc_id + 1)"))
 def j20_conjunction(spark, sf_dir):
-    found = pattern.find(nodes(spark), "fn $NAME($$$) -> Result && fn two()")
+    found = pattern.find(nodes(spark, sf_dir), "fn $NAME($$$) -> Result && fn two()")
     return found.select("path", "line", F.col("captures")["NAME"].alias("name"))
 
 
@@ -155,10 +159,10 @@ def l9_inverted_index(spark, sf_dir):
     return both.groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('one'), ('three')) v(name)")
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def s25_small_inputs(spark, sf_dir):
-    wanted = spark.createDataFrame([("one", True), ("two", False), ("three", True)], "name string, on boolean")
-    return wanted.where("on").select("name")
+    wanted = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id").join(wanted, "doc_id", "left_semi")
 
 
 @query("SELECT doc_id, doc_id % 2 = 0 AND doc_id % 3 > 0 AS kept FROM documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import json
 import os
 import pathlib
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+_STASHED: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -24,10 +27,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The session's spark.checkpoint.dir; in local mode a folder of our own where that is unset.
+
+    Executors of a cluster cannot see a folder of the driver's machine, so there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="lodestone-"))
     return _OWN_DIR[0]
@@ -37,9 +45,51 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage and partitioning end there."""
     path = f"{shared_dir(df.sparkSession)}/stash-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STASHED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def stashes(spark: SparkSession):
+    """Deletes what is stashed within, at the end: for results that are written by then."""
+    before = len(_STASHED)
+    try:
+        yield
+    finally:
+        while len(_STASHED) > before:
+            delete(spark, _STASHED.pop())
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the files below paths: their names, lengths and times."""
+    seen = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        listing = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True) if path else None
+        while listing is not None and listing.hasNext():
+            f = listing.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.md5(json.dumps(sorted(seen)).encode()).hexdigest()
+
+
+def persisted(spark: SparkSession, tag: str, paths: list[str], build) -> DataFrame:
+    """A relation made of the files below ``paths`` once, and opened from then on as long as they stay as they are.
+
+    ``build`` gives the relation and the columns that its folders are divided by.
+    """
+    folder = f"{shared_dir(spark)}/index-{tag}-{fingerprint(spark, paths)}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        df, by = build()
+        (df.write.partitionBy(*by) if by else df.write).mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 class Catalog:
     """Relations as Parquet folders under version folders, with a pointer to the current one.
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, text, trigrams
-from lodestone.operators import bm25, clusters, graph, history, joins, lookup, pattern, ranking, reports, vectors
+from lodestone.operators import bm25, clusters, graph, grep, history, joins, lookup, pattern, ranking, reports, vectors
 from lodestone.sources import parser
 from lodestone.sources.storage import Catalog
 from lodestone.streaming import refresh
@@ -76,7 +76,7 @@ def test_metric_edges(spark):
 def test_trigrams_never_skip_a_match(spark):
     random.seed(4)
     texts = ["".join(random.choice("abcde fgh") for _ in range(random.randint(0, 40))) for _ in range(200)] + ["foo.bar", "fooXbar"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumn("bloom", trigrams.bloom(F.col("text")))
+    df = grep.trigram_index(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")).withColumn("id", F.col("path").cast("long"))
     for p in ("abc", "foo.bar", "(abc|bcd)e", "ab+c?de", "(?:abcd)+", "[ab]cde", "a{3}bcd", "x?abc"):
         kept = {r.id for r in df.where(trigrams.may_match(F.col("bloom"), p)).collect()}
         assert {i for i, t in enumerate(texts) if re.search(p, t)} <= kept
@@ -166,7 +166,7 @@ def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [0.0, 1.0])], "id long, embedding array<float>")
     assert [(r.id, r.similarity) for r in vectors.search_exact(v, [3.0, 0.0], 3).collect()] == [(1, 1.0), (2, 1.0), (3, 0.0)]
     assert [(r.a, r.b) for r in vectors.near_pairs(v, 0.9, blocks=3).collect()] == [(1, 2)]
-    assert [r.id for r in vectors.similar_to(v, 1, 5, 0.5).collect()] == [2]
+    assert [r.id for r in vectors.similar_to(v, v.where('id = 1'), 5, 0.5).collect()] == [2]
 
 
 def test_patterns():
