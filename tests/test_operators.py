@@ -219,3 +219,94 @@ def test_stream_windows(spark, tmp_path):
     q = refresh.tumbling(stream, late="100 days").writeStream.format("memory").queryName("tumbles").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("tumbles").count() == refresh.tumbling(src).count()
+
+
+def test_lsh_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    from lodestone.plans import corpora
+
+    v = corpora.vectors(spark, sf)
+    asked = v.where("id % 100 = 0")
+    want, got = {}, {}
+    for found, rows in ((want, vectors.search_many(v, asked, 10)), (got, vectors.search_lsh(v, asked, 10))):
+        for r in rows.collect():
+            found.setdefault(r.query_id, set()).add(r.id)
+    assert set(want) == set(got) and all(len(x) == 10 for x in want.values())
+    assert sum(len(want[q] & got[q]) for q in want) / (10 * len(want)) >= 0.9
+
+
+def test_search_many_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    x = np.random.default_rng(1).standard_normal((90, 6))
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)] + [(200, None)], "id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for r in vectors.search_many(v, v.where("id % 4 = 0"), 3, others=True).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("best")).collect():
+        s = unit @ unit[r.query_id]
+        s[r.query_id] = -9
+        assert [b.id for b in r.best] == np.argsort(-s)[:3].tolist()
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lodestone.sources import storage
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://far:7077"))
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(far)
+    with storage.stashes(spark):
+        kept = storage.stash(spark.range(3), "gone")
+        path = kept.inputFiles()[0]
+        assert kept.count() == 3
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def test_index_follows_its_files(spark, tmp_path):
+    from lodestone.sources import storage
+
+    folder, made = f"{tmp_path}/docs", []
+
+    def index():
+        def build():
+            made.append(1)
+            return spark.read.parquet(folder).where("id > 0"), []
+
+        return storage.persisted(spark, "test", [folder], build)
+
+    spark.range(3).coalesce(1).write.parquet(folder)
+    assert index().count() == index().count() == 2 and len(made) == 1
+    spark.range(9).coalesce(1).write.mode("overwrite").parquet(folder)
+    assert index().count() == 8 and len(made) == 2
+
+
+def test_posting_index_is_the_lazy_one(spark, tmp_path):
+    rows = [(i, f"alpha beta w{i % 5} {'gamma ' * (i % 3)}") for i in range(40)] + [(50, None), (51, "")]
+    docs = spark.createDataFrame(rows, "sym_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    built, opened = bm25.build(docs), bm25.open_index(docs, [f"{tmp_path}/docs"])
+    for q in ("gamma w3", "w1 w1 beta", "none of these", "the"):
+        a, b = ([(r.sym_id, round(r.score, 9)) for r in bm25.search(x, q).collect()] for x in (built, opened))
+        assert a == b
+    plan = bm25.search(opened, "gamma")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def test_generated_banner_windows(spark):
+    late = "\n" * 39 + "// Code generated by x. DO NOT EDIT.\n"
+    rows = [(late,), ("\n" + late,), ("// @generated\r\n",), ("x\n" * 5 + "// @generated",), (None,)]
+    got = spark.createDataFrame(rows, "text string").select(paths.generated_by(F.col("text"))["tool"].alias("tool")).collect()
+    assert [r.tool for r in got] == ["code-generated-banner", None, "generated-annotation", None, None]
+
+
+def test_rerank_context_and_kinds(spark):
+    rows = [("a/b/c/x.rs", "n1", 1, "heading", 1.0), ("a/b/d/y.rs", "n2", 2, "impl", 1.0), ("z/tests/t.rs", "n3", 3, "class", float("inf")), ("r.rs", "n4", 4, "type_alias", float("nan"))]
+    df = spark.createDataFrame(rows, "path string, name string, line int, kind string, score double")
+    got = {r.name: r.boosted for r in ranking.rerank(df, "Thing", "comment,test", "a/b/c/q.rs").collect()}
+    assert abs(got["n1"] - 0.96 * 1.4 * 1.24 * 1.15) < 1e-9  # asked for, same folder, three folders shared
+    assert abs(got["n2"] - 0.7 * 0.96 * 1.16 * 1.05) < 1e-9  # sibling, two folders shared
+    assert got["n3"] <= 1.7976931348623157e308 and got["n4"] == 0.0
+    plain = {r.name: r.boosted for r in ranking.rerank(df, "MAX_THING").collect()}
+    assert abs(plain["n1"] - 0.6 * 0.96) < 1e-9 and abs(plain["n2"] - 0.96) < 1e-9  # headings last; no demotion of impl for constants
