@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, similarity, text, trigrams
-from lodestone.operators import bm25, evaluation, grep, lookup, ranking, vectors
+from lodestone.operators import bm25, embedding, evaluation, grep, lookup, ranking, vectors
 from lodestone.plans import corpora
 from lodestone.plans.corpora import FILES, SYMBOLS, table
 from lodestone.plans.registry import query
-from lodestone.plans.search import SearchRequest, channels, search, trace
+from lodestone.plans.search import SearchRequest, SemanticChannel, StructuralChannel, TextChannel, channels, search, trace
+from lodestone.sources.storage import shared_dir
 
 #: What the SQL leaves out of queries.
 STOP_SQL = """('the', 'a', 'an', 'is', 'are', 'of', 'to', 'in', 'for', 'on', 'with', 'it', 'this', 'that',
@@ -257,7 +260,11 @@ def r12_explain_pairs(spark, sf_dir):
 HYBRID = f"""{INDEX}, {RUNG.format(q='thing')}, {RANKED.replace('LIMIT 64', 'LIMIT 60')}, {TERMS},
 {SCORES.replace("('license', 1), ('version', 1), ('thing', 1)", "('thing', 1)")},
 bm AS (SELECT sym_id, score, (row_number() OVER (ORDER BY score DESC, sym_id) - 1)::INT AS rank FROM (SELECT * FROM score ORDER BY score DESC, sym_id LIMIT 60)),
+sem AS (
+  SELECT sym_id, score, (row_number() OVER (ORDER BY round(score, 12) DESC, sym_id) - 1)::INT AS rank FROM (
+    SELECT * FROM (SELECT vec_id AS sym_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings) ORDER BY round(score, 12) DESC, sym_id LIMIT 60)),
 lists AS (
+  SELECT path, name, line, kind, 'semantic' AS match_type, rank, 2 AS list FROM sem JOIN sym USING (sym_id) UNION ALL
   SELECT path, name, line, kind, CASE WHEN rung >= 2 THEN 'fuzzy' ELSE 'structural' END AS match_type, rank, 0 AS list FROM cand
   UNION ALL SELECT path, name, line, kind, 'bm25', rank, 1 FROM bm JOIN sym USING (sym_id)),
 fused AS (
@@ -267,9 +274,16 @@ fused AS (
 """
 
 
+def sources(spark, sf_dir, s):
+    """The three channels; the vector with id 0 is the query's."""
+    v = corpora.vectors(spark, sf_dir)
+    semantic = SemanticChannel(s, v, v.where("id = 0").first().embedding)
+    return [StructuralChannel(s, name_index(spark, sf_dir)), TextChannel(s, words_index(spark, sf_dir)), semantic]
+
+
 def hybrid(spark, sf_dir):
     s = corpora.symbols(spark, sf_dir)
-    return s, channels(s, name_index(spark, sf_dir), words_index(spark, sf_dir), None, SearchRequest("thing"))
+    return s, channels(sources(spark, sf_dir, s), SearchRequest("thing"))
 
 
 @query(f"WITH {HYBRID} SELECT path, name, line, kind, match_type, round(score, 6) AS score FROM fused")
@@ -318,25 +332,27 @@ WHERE NOT contains(path, '/tests/') ORDER BY round(boosted::DOUBLE, 12) DESC, pa
 def r16_search(spark, sf_dir):
     s = corpora.symbols(spark, sf_dir)
     request = SearchRequest("thing", scope=paths.PathScope(exclude=("**/tests/**",)))
-    out = search(s, name_index(spark, sf_dir), words_index(spark, sf_dir), request)
+    out = search(s, sources(spark, sf_dir, s), request)
     return out.withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {HYBRID} SELECT f.path, f.name, f.line, c.path IS NOT NULL AS fst_hit, b.rank AS bm25_rank, round(b.score, 6) AS bm25_score
+@query(f"""WITH {HYBRID} SELECT f.path, f.name, f.line, c.path IS NOT NULL AS fst_hit, b.rank AS bm25_rank, round(b.score, 6) AS bm25_score, e.rank AS semantic_rank, round(e.score, 6) AS semantic_cosine
 FROM fused f LEFT JOIN cand c ON c.path = f.path AND c.name = f.name AND c.line = f.line
-LEFT JOIN (SELECT path, name, line, bm.rank, score FROM bm JOIN sym USING (sym_id)) b ON b.path = f.path AND b.name = f.name AND b.line = f.line""")
+LEFT JOIN (SELECT path, name, line, bm.rank, score FROM bm JOIN sym USING (sym_id)) b ON b.path = f.path AND b.name = f.name AND b.line = f.line
+LEFT JOIN (SELECT path, name, line, sem.rank, score FROM sem JOIN sym USING (sym_id)) e ON e.path = f.path AND e.name = f.name AND e.line = f.line""")
 def r17_signals(spark, sf_dir):
     _, lists = hybrid(spark, sf_dir)
-    none = lists["bm25"].limit(0)
-    out = ranking.signals(ranking.fuse(list(lists.values())), lists["structural"], lists["bm25"], none)
-    return out.select("path", "name", "line", "fst_hit", "bm25_rank", F.round("bm25_score", 6).alias("bm25_score"))
+    out = ranking.signals(ranking.fuse(list(lists.values())), lists["structural"], lists["bm25"], lists["semantic"])
+    return out.select(
+        "path", "name", "line", "fst_hit", "bm25_rank", F.round("bm25_score", 6).alias("bm25_score"), "semantic_rank", F.round("semantic_cosine", 6).alias("semantic_cosine")
+    )
 
 
 @query(f"""WITH {HYBRID} SELECT f.path, f.name, f.line, CASE WHEN c.path IS NOT NULL THEN 'def' ELSE 'neighbor' END AS label
 FROM fused f LEFT JOIN cand c ON c.path = f.path AND c.name = f.name AND c.line = f.line""")
 def r18_labels(spark, sf_dir):
     _, lists = hybrid(spark, sf_dir)
-    out = ranking.signals(ranking.fuse(list(lists.values())), lists["structural"], lists["bm25"], lists["bm25"].limit(0))
+    out = ranking.signals(ranking.fuse(list(lists.values())), lists["structural"], lists["bm25"], lists["semantic"])
     return out.select("path", "name", "line", ranking.result_label(F.col("fst_hit"), False).alias("label"))
 
 
@@ -347,7 +363,7 @@ def r19_drift(spark, sf_dir):
     return found.agg((F.count("*") == 0).alias("none")).select((F.col("none") & text.is_identifier(F.lit(q))).alias("drift"))
 
 
-@query(f"WITH {HYBRID} SELECT 'structural' AS channel, count(*) AS hits FROM cand UNION ALL SELECT 'bm25', count(*) FROM bm")
+@query(f"WITH {HYBRID} SELECT 'structural' AS channel, count(*) AS hits FROM cand UNION ALL SELECT 'bm25', count(*) FROM bm UNION ALL SELECT 'semantic', count(*) FROM sem JOIN sym USING (sym_id)")
 def r20_trace(spark, sf_dir):
     _, lists = hybrid(spark, sf_dir)
     return trace(lists)
@@ -426,3 +442,15 @@ def g2_required_trigrams(spark, sf_dir):
     needed = trigrams.required_trigrams("(?:Apache License)+,? v?")
     counts = table(spark, sf_dir, "documents").agg(*(F.count_if(F.contains("text", F.lit(t))).alias(f"n{i}") for i, t in enumerate(needed)))
     return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, needed)), F.array(*(f"n{i}" for i in range(len(needed)))))).alias("trigram", "files"))
+
+
+@query("SELECT count(*) AS texts, count(DISTINCT text) AS embedded, count(DISTINCT text) AS appended_twice FROM documents")
+def embedding_cache(spark, sf_dir):
+    """Documents embedded through a fresh cache, twice: the second time nothing is left to embed."""
+    rows = documents(spark, sf_dir).withColumnRenamed("sym_id", "id")
+    model, cache = embedding.HashingEmbedder(), f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    embedding.embed_cached(rows, model, cache)
+    once = spark.read.parquet(f"{cache}/{model.name}").agg(F.count("*").alias("embedded"))
+    found = embedding.embed_cached(rows, model, cache)
+    twice = spark.read.parquet(f"{cache}/{model.name}").agg(F.count("*").alias("appended_twice"))
+    return found.agg(F.count("*").alias("texts")).crossJoin(once).crossJoin(twice)  # one row each

@@ -310,3 +310,14 @@ def test_rerank_context_and_kinds(spark):
     assert got["n3"] <= 1.7976931348623157e308 and got["n4"] == 0.0
     plain = {r.name: r.boosted for r in ranking.rerank(df, "MAX_THING").collect()}
     assert abs(plain["n1"] - 0.6 * 0.96) < 1e-9 and abs(plain["n2"] - 0.96) < 1e-9  # headings last; no demotion of impl for constants
+
+
+def test_hashing_embedder():
+    import numpy as np
+
+    from lodestone.operators.embedding import HashingEmbedder
+
+    e = HashingEmbedder(64)
+    v = e.embed(["parse the file", "parse the file", "parsing files", "an unrelated sentence", ""])
+    assert np.allclose(np.linalg.norm(v[:4], axis=1), 1, atol=1e-5) and not v[4].any() and (v[0] == v[1]).all()
+    assert v[0] @ v[2] > v[0] @ v[3]
