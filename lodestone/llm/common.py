@@ -7,8 +7,13 @@ the Python parts of the operators take text as binary.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,9 @@ from lodestone.sources.storage import prepare, shared_dir, stash  # noqa: F401
 
 #: Arrays that one task adds up.
 FAN = 256
+#: Rows that are worked on together, and their bytes of text.
+ROWS = 512
+BYTES = 8 << 20
 #: The word pattern in the syntax of Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,6 +57,42 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
+def portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, count) of runs of rows of at most ``ROWS`` rows, and ``BYTES`` bytes if more than one."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first == ROWS or held + size > BYTES):
+            yield first, i - first
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in portions by the texts of ``column``, so that what is made of them stays small."""
+    for b in batches:
+        for first, count in portions([n or 0 for n in pc.binary_length(b.column(column)).to_pylist()]):
+            yield b.slice(first, count)
+
+
+def give_back() -> None:
+    """Hand memory that is free to the system: a worker lives on, idle or in another stage, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, for mapInArrow, with its memory given back at the end of a task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def add_arrays(parts: DataFrame) -> DataFrame:
     """(piece, counts) with the sums, number by number, of (part, piece, counts): arrays of longs in binary.
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import add_arrays, hash_words, mix, prepare, roll, stash, text_bytes
+from lodestone.llm.common import add_arrays, hash_words, mix, prepare, roll, sliced, stash, text_bytes, tidy
 from lodestone.operators.graph import connected_components
 
 WIDTH = 3
@@ -72,7 +72,7 @@ def _counter(width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << BITS, np.int64)
         seen = False
-        for b in batches:
+        for b in sliced(batches, 0):
             sets = [_cell(shingle_set(x.as_py(), width)) for x in b.column(0)]
             if sets:
                 table += np.bincount(np.concatenate(sets), minlength=1 << BITS)
@@ -93,7 +93,7 @@ def _counter(width: int):
 
 def shingle_counts(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     """How often each cell's shingles occur, over all documents: ``1 << BITS`` numbers."""
-    parts = docs.select(text_bytes().alias("text")).mapInArrow(_counter(width), "part int, piece int, counts binary")
+    parts = docs.select(text_bytes().alias("text")).mapInArrow(tidy(_counter(width)), "part int, piece int, counts binary")
     table = np.zeros((PIECES, (1 << BITS) // PIECES), np.int64)
     for r in add_arrays(parts).collect():  # PIECES rows
         table[r.piece] = np.frombuffer(r.counts, np.int64)
@@ -108,7 +108,7 @@ def rare_first(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _prefixer(counts, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
-        for b in batches:
+        for b in sliced(batches, 1):
             sizes, marks, prefixes = [], [], []
             for x in b.column(1):
                 s = shingle_set(x.as_py(), width)
@@ -281,7 +281,7 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH, degrees
     # Both sides of the joins below grow with the input. They are merged at every size, so that
     # what a small input tells of the plan holds for a large one.
     sets = stash(
-        texts.mapInArrow(_prefixer(counts, width, percent), "doc_id long, n_shingles long, mark binary, prefix array<long>"), "sets"
+        texts.mapInArrow(tidy(_prefixer(counts, width, percent)), "doc_id long, n_shingles long, mark binary, prefix array<long>"), "sets"
     )
     marked = sets.where("doc_id IS NOT NULL AND mark IS NOT NULL")
     # Sets are named by their least id, and a number where several share it, as long as there
@@ -327,7 +327,7 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH, degrees
     )
     cell = ["token", "a", "b"]
     listed = stash(
-        dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_lister(percent), "token long, a int, b int, mark binary, partners binary"),
+        dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(tidy(_lister(percent)), "token long, a int, b int, mark binary, partners binary"),
         "listed",
     )
     # Texts come to the listed rows by id and go straight on to their cells.
@@ -337,7 +337,7 @@ def join_similar(docs: DataFrame, percent: int = 90, width: int = WIDTH, degrees
         .select(*cell, "mark", "partners", "copies", "text")
         .repartition(*cell)
         .sortWithinPartitions(*cell)
-        .mapInArrow(_verifier(width, percent, degrees), "mark binary, root binary, links long"),
+        .mapInArrow(tidy(_verifier(width, percent, degrees)), "mark binary, root binary, links long"),
         "links",
     )
     found = connected_components(links.select(F.col("mark").alias("a"), F.col("root").alias("b")))

@@ -37,11 +37,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mix, prepare, text_bytes
+from lodestone.llm.common import mix, prepare, sliced, text_bytes, tidy
 
 BLANK = "▁"
 BEST = 4
@@ -52,9 +51,6 @@ WORDS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 #: Words remembered by a worker at a time, and longest word that is batched.
 MEMORY = 200_000
 LONG = 48
-#: Documents whose words are segmented together, and their bytes.
-ROWS = 512
-BYTES = 8 << 20
 
 
 class _Table:
@@ -390,48 +386,34 @@ def edit_lists(rows: list[list[list[tuple]]]) -> pa.Array:
     return pa.array(made, EDITS)
 
 
-def portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """(first, count) of runs of rows of at most ``ROWS`` rows, and ``BYTES`` bytes if more than one."""
-    first, held = 0, 0
-    for i, size in enumerate(sizes):
-        if i > first and (i - first == ROWS or held + size > BYTES):
-            yield first, i - first
-            first, held = i, 0
-        held += size
-    if first < len(sizes):
-        yield first, len(sizes) - first
-
-
 def _encoder(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         memory = Memory(model)
-        for b in batches:
-            last = b.num_columns - 1
-            for lo, rows in portions(pc.binary_length(b.column(last)).to_pylist()):
-                part = b.slice(lo, rows)
-                best, others, scores, exact = [], [], [], []
-                raw = [x.as_py() for x in part.column(last)]
-                texts = [split(t.decode("utf-8", "replace")) for t in raw]
-                no = memory.numbers(list(itertools.chain.from_iterable(texts)))
-                parts = np.split(no, np.cumsum([len(w) for w in texts])[:-1])
-                for text, words, own in zip(raw, texts, parts):
-                    ids, found, edits = memory.encode(words, own, n)
-                    best.append(ids)
-                    others.append(edits)
-                    scores.append(found)
-                    exact.append(model.raw(ids.tolist()).replace(BLANK.encode(), b" ")[bool(words) :] == text)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(k) for k in range(last)),
-                        lists(best),
-                        pa.array([len(i) for i in best], pa.int64()),
-                        pa.array(scores, pa.list_(pa.float64())),
-                        edit_lists(others),
-                        pa.array(exact, pa.bool_()),
-                    ],
-                    [*b.schema.names[:last], "piece_ids", "n_pieces", "nbest_scores", "nbest_edits", "round_trip"],
-                )
+        for part in sliced(batches, -1):
+            last = part.num_columns - 1
+            best, others, scores, exact = [], [], [], []
+            raw = [x.as_py() for x in part.column(last)]
+            texts = [split(t.decode("utf-8", "replace")) for t in raw]
+            no = memory.numbers(list(itertools.chain.from_iterable(texts)))
+            parts = np.split(no, np.cumsum([len(w) for w in texts])[:-1])
+            for text, words, own in zip(raw, texts, parts):
+                ids, found, edits = memory.encode(words, own, n)
+                best.append(ids)
+                others.append(edits)
+                scores.append(found)
+                exact.append(model.raw(ids.tolist()).replace(BLANK.encode(), b" ")[bool(words) :] == text)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(part.column(k) for k in range(last)),
+                    lists(best),
+                    pa.array([len(i) for i in best], pa.int64()),
+                    pa.array(scores, pa.list_(pa.float64())),
+                    edit_lists(others),
+                    pa.array(exact, pa.bool_()),
+                ],
+                [*part.schema.names[:last], "piece_ids", "n_pieces", "nbest_scores", "nbest_edits", "round_trip"],
+            )
 
     return run
 
@@ -449,7 +431,7 @@ def encode_rows(docs: DataFrame, keep: tuple[str, ...], path: str, n: int = BEST
     prepare(docs.sparkSession)
     rows = docs.select(*keep, text_bytes().alias("text"))
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(_encoder(path, n), f"{kept}, {ENCODED}")
+    return rows.mapInArrow(tidy(_encoder(path, n)), f"{kept}, {ENCODED}")
 
 
 def encode(docs: DataFrame, path: str, n: int = BEST) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import add_arrays, prepare, stash, text_bytes
+from lodestone.llm.common import add_arrays, prepare, sliced, stash, text_bytes, tidy
 
 BITS = 22
 MAX_POSITIVE = 3000
@@ -52,8 +52,8 @@ RATE = 0.1
 DECAY = 3e-4
 #: Weights are averaged as whole numbers of this fineness, so that no order of shards shows.
 FINE = 1 << 32
-#: Words that a worker remembers the cells of.
-MEMORY = 500_000
+#: Words that a task remembers the cells of.
+MEMORY = 100_000
 #: Letters are lowered, everything that is no ASCII letter or digit, nor part of a longer
 #: UTF-8 sequence, separates words.
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
@@ -63,22 +63,24 @@ def words(text: bytes) -> set[bytes]:
     return set(text.lower().translate(_TABLE).split())
 
 
-_known: dict[bytes, int] = {}
+class Cells:
+    """The distinct hashed words of texts. Words are remembered as long as this lives: a task, not its worker."""
 
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
 
-def cells(text: bytes) -> set[int]:
-    """The distinct hashed words of a text."""
-    found = words(text)
-    new = found.difference(_known)
-    if new:
+    def __call__(self, text: bytes) -> set[int]:
         import xxhash
 
-        if len(_known) > MEMORY:
-            _known.clear()
-            new = found
-        digest = xxhash.xxh3_64_intdigest
-        _known.update((w, digest(w) >> (64 - BITS)) for w in new)
-    return set(map(_known.__getitem__, found))
+        found = words(text)
+        new = found.difference(self.known)
+        if new:
+            if len(self.known) + len(new) > MEMORY:
+                self.known.clear()
+                new = found
+            digest = xxhash.xxh3_64_intdigest
+            self.known.update((w, digest(w) >> (64 - BITS)) for w in new)
+        return set(map(self.known.__getitem__, found))
 
 
 @dataclass
@@ -88,10 +90,10 @@ class Model:
     weights: dict[int, float]
     bias: float
 
-    def score(self, text: bytes) -> float:
+    def score(self, text: bytes, cells: Cells | None = None) -> float:
         if self.bias == -np.inf:
             return 0.0
-        hit = cells(text).intersection(self.weights)
+        hit = (cells or Cells())(text).intersection(self.weights)
         z = self.bias + sum(self.weights[c] for c in sorted(hit))
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
@@ -178,7 +180,8 @@ def fit(pos: Shown, unl: Shown, features: int, prior: float) -> np.ndarray:
 
 
 def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    cells = Cells()
+    for b in sliced(batches, 1):
         found = [np.sort(np.fromiter(c := cells(x.as_py()), np.int32, len(c))).tobytes() for x in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["doc_id", "cells"])
 
@@ -187,10 +190,10 @@ def _counter(wanted: np.ndarray):
     """Counts how many documents of a partition show each wanted cell, and, last, how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {int(c): i for i, c in enumerate(wanted)}
+        at, cells = {int(c): i for i, c in enumerate(wanted)}, Cells()
         keys = at.keys()
         total = np.zeros(len(wanted) + 1, np.int64)
-        for b in batches:
+        for b in sliced(batches, 1):
             hits = [at[c] for x in b.column(1) for c in keys & cells(x.as_py())]
             total[:-1] += np.bincount(np.array(hits, np.int64), minlength=len(wanted))
             total[-1] += b.num_rows
@@ -204,9 +207,9 @@ def _shower(chosen: np.ndarray):
     """The features that each document shows, as the bytes of their sorted numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {int(c): i for i, c in enumerate(chosen)}
+        at, cells = {int(c): i for i, c in enumerate(chosen)}, Cells()
         keys = at.keys()
-        for b in batches:
+        for b in sliced(batches, 1):
             shown = [np.array(sorted(at[c] for c in keys & cells(x.as_py())), np.int32).tobytes() for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shown, pa.binary())], ["doc_id", "shown"])
 
@@ -233,19 +236,19 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     unlabelled = docs.where("doc_id IS NOT NULL").where(fold() != 2).select("doc_id", text_bytes().alias("text"))
     picked = usable.where("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
     # The limit bounds the ids, and one row of each comes to the driver.
-    rows = unlabelled.join(F.broadcast(picked), "doc_id").mapInArrow(_to_cells, "doc_id long, cells binary").groupBy("doc_id").agg(F.min("cells").alias("cells")).collect()
+    rows = unlabelled.join(F.broadcast(picked), "doc_id").mapInArrow(tidy(_to_cells), "doc_id long, cells binary").groupBy("doc_id").agg(F.min("cells").alias("cells")).collect()
     pos = [set(np.frombuffer(x, np.int32).tolist()) for x in sorted({bytes(r.cells) for r in rows})]
     if not pos:
         return Model({}, -np.inf)
     wanted, times = candidates(pos)
-    counted = add_arrays(unlabelled.mapInArrow(_counter(wanted), "part int, piece int, counts binary")).collect()  # one row
+    counted = add_arrays(unlabelled.mapInArrow(tidy(_counter(wanted)), "part int, piece int, counts binary")).collect()  # one row
     counts = np.frombuffer(counted[0].counts, np.int64)
     chosen = wanted[stand_out(times, len(pos), counts[:-1], int(counts[-1]))]
     at = {int(c): i for i, c in enumerate(chosen)}
     shown_pos = [np.array(sorted(at[c] for c in d & at.keys()), np.int64) for d in pos]
     shards = max(1, -(-int(counts[-1]) // shard))
     patterns = stash(
-        unlabelled.mapInArrow(_shower(chosen), "doc_id long, shown binary")
+        unlabelled.mapInArrow(tidy(_shower(chosen)), "doc_id long, shown binary")
         .groupBy(F.pmod(F.xxhash64("doc_id", "shown"), F.lit(shards)).cast("int").alias("shard"), "shown")
         .agg(F.count("*").alias("times")),
         "patterns",
@@ -264,9 +267,10 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        cells = Cells()
+        for b in sliced(batches, 1):
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([model.score(x.as_py()) for x in b.column(1)], pa.float64())], ["doc_id", "score"]
+                [b.column(0), pa.array([model.score(x.as_py(), cells) for x in b.column(1)], pa.float64())], ["doc_id", "score"]
             )
 
     return run
@@ -277,7 +281,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     prepare(docs.sparkSession)
     return (
         docs.select("doc_id", text_bytes().alias("text"))
-        .mapInArrow(_scorer(model), "doc_id long, score double")
+        .mapInArrow(tidy(_scorer(model)), "doc_id long, score double")
         .select(
             "doc_id",
             F.coalesce(fold() == 2, F.lit(False)).alias("held_out"),
@@ -287,12 +291,12 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     )
 
 
-def _keeper(model: Model, threshold: float):
+def _keeper(model: Model, threshold: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index("text")
+        cells = Cells()
+        for b in sliced(batches, at):
             texts = (x.as_py() or "" for x in b.column(at))
-            yield b.filter(pa.array([model.score(t.encode()) < threshold for t in texts], pa.bool_()))
+            yield b.filter(pa.array([model.score(t.encode(), cells) < threshold for t in texts], pa.bool_()))
 
     return run
 
@@ -300,7 +304,7 @@ def _keeper(model: Model, threshold: float):
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, as they are, null texts and empty tables too."""
     prepare(docs.sparkSession)
-    return docs.mapInArrow(_keeper(model, threshold), docs.schema)
+    return docs.mapInArrow(tidy(_keeper(model, threshold, docs.columns.index("text"))), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
