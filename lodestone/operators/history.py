@@ -62,20 +62,24 @@ def filter_history(rows: DataFrame, since: str | None = None, until: str | None
     return rows.where(F.col("kind") == kind) if kind else rows
 
 
+def by_prefix(entries: DataFrame, prefix: str) -> DataFrame:
+    """Entries of the first ``MAX_PREFIX_NAMES`` names, in order, that start with a prefix in any case, itself included."""
+    names = entries.where(F.lower("name").startswith(prefix.lower())).select(F.lower("name").alias("key")).distinct().orderBy("key").limit(MAX_PREFIX_NAMES)
+    return entries.withColumn("key", F.lower("name")).join(F.broadcast(names), "key").drop("key")
+
+
 def lookup(entries: DataFrame, name: str) -> DataFrame:
     """Entries of a name in any case; without any, of names that start with it.
 
-    The prefix needs an identifier of three characters or more and takes the first
-    ``MAX_PREFIX_NAMES`` names in order.
+    The prefix needs an identifier of three characters or more.
     """
     key = name.lower()
     exact = entries.where(F.lower("name") == key)
     usable = len(key.encode()) >= 3 and key.replace("_", "a").isalnum() and not key[0].isdigit()
     if not usable:
         return exact
-    names = entries.where(F.lower("name").startswith(key)).select(F.lower("name").alias("key")).distinct().orderBy("key").limit(MAX_PREFIX_NAMES)
     none = exact.agg(F.count("*").alias("hits")).where("hits = 0")
-    prefix = entries.withColumn("key", F.lower("name")).join(F.broadcast(names), "key").drop("key").join(F.broadcast(none.select("hits")), how="cross")
+    prefix = by_prefix(entries, key).join(F.broadcast(none.select("hits")), how="cross")
     return exact.unionByName(prefix.drop("hits"))
 
 

@@ -332,3 +332,27 @@ def test_edits_are_of_bytes(spark):
     want = {t: d for t in tokens if (d := duckdb.sql(f"SELECT levenshtein('{t}', 'thes')").fetchall()[0][0]) <= 2}
     assert {r.token: r.distance for r in lookup.find_fuzzy(index, "THES", 2).collect()} == want and "teß" not in want
     assert {r.token: r.rung for r in lookup.with_rung(index, "thes").collect()} == {"thes": 0, "tes": 2}
+
+
+def test_prefixes_beside_a_whole_name(spark):
+    """The names of a prefix include the prefix itself; a lookup stops at a whole name."""
+    rows = [(0, "Thea"), (1, "theaB"), (2, "THEAB"), (3, "the"), *((10 + i, f"theaC{i:03}") for i in range(60))]
+    e = spark.createDataFrame(rows, "sym_id long, name string")
+    assert {r.sym_id for r in history.by_prefix(e, "THEA").collect()} == {0, 1, 2, *range(10, 58)}
+    assert {r.sym_id for r in history.lookup(e, "THEA").collect()} == {0}
+    assert {r.sym_id for r in history.lookup(e.where("sym_id > 0"), "THEA").collect()} == {1, 2, *range(10, 59)}
+
+
+def test_history_query_matches_sql_beside_a_whole_name(spark, tmp_path):
+    """``c7_history_lookup`` where a document is named by the prefix alone."""
+    from lodestone.plans import catalogue
+    from tests import compare
+
+    texts = ["the a x", "thea", "The and", "the ab", "other words"]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    compare.same(catalogue.QUERIES["c7_history_lookup"](spark, str(tmp_path)), duck.sql(catalogue.SQL["c7_history_lookup"]))
