@@ -356,3 +356,17 @@ def test_history_query_matches_sql_beside_a_whole_name(spark, tmp_path):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     compare.same(catalogue.QUERIES["c7_history_lookup"](spark, str(tmp_path)), duck.sql(catalogue.SQL["c7_history_lookup"]))
+
+
+def test_leiden_does_not_slow_down_with_empty_communities():
+    """Small cliques leave most communities empty; what a move costs must not grow with their number."""
+    import time
+
+    def seconds(k):
+        edges = [(4 * i + a, 4 * i + b, 2) for i in range(k) for a, b in itertools.combinations(range(4), 2)]
+        start = time.process_time()
+        assert clusters.leiden(4 * k, edges) == [v - v % 4 for v in range(4 * k)]
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(40_000) < 20 * seconds(4_000)  # ten times the input
