@@ -370,3 +370,17 @@ def test_leiden_does_not_slow_down_with_empty_communities():
 
     seconds(500)
     assert seconds(40_000) < 20 * seconds(4_000)  # ten times the input
+
+
+def test_minhash_is_the_least_seeded_hash(spark):
+    """Signatures made with numpy are those of Spark's own hash, rows without tokens included."""
+    from lodestone.functions import similarity
+
+    random.seed(4)
+    rows = [(i, [f"w{random.randrange(500)}é" for _ in range(random.choice([1, 3, 300]))]) for i in range(40)] + [(40, []), (41, None), (42, [str(i) for i in range(70_000)])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>").coalesce(1)
+    want = df.select("id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda s: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, s)))).alias("signature"))
+    found = similarity.with_minhash(df, "tokens", 16)
+    assert found.columns == want.columns and sorted(found.collect()) == sorted(want.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "array_min" not in plan
