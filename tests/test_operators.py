@@ -384,3 +384,55 @@ def test_minhash_is_the_least_seeded_hash(spark):
     assert found.columns == want.columns and sorted(found.collect()) == sorted(want.collect())
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "array_min" not in plan
+
+
+def _entries(spark, texts, commits):
+    rows = [(i, "n", "function", t, sorted(set(t.split())), c, c) for i, (t, c) in enumerate(zip(texts, commits))]
+    return spark.createDataFrame(rows, "entry_id long, name string, kind string, body string, tokens array<string>, first_idx int, last_idx int")
+
+
+def test_band_candidates_are_all_pairs_with_an_equal_band(spark):
+    random.seed(9)
+    base = [" ".join(f"w{random.randrange(300)}" for _ in range(40)) for _ in range(6)]
+    texts = [random.choice(base) + random.choice(["", "", " extra", " odd one"]) for _ in range(60)] + [""]
+    e = _entries(spark, texts, [0] * len(texts))
+    marks = {}
+    for r in e.where(F.size("tokens") > 0).select("entry_id", "tokens").mapInArrow(history._banded(48, 4), "entry_id long, band int, mark long").collect():
+        marks.setdefault(r.entry_id, set()).add((r.band, r.mark))
+    want = sorted((a, b) for a, b in itertools.combinations(sorted(marks), 2) if marks[a] & marks[b])
+    assert sorted((r.a, r.b) for r in history.band_candidates(e, 48, 4).collect()) == want and len(want) > 100
+
+
+def test_rename_candidates_of_other_commits_do_not_meet(spark):
+    """Copies all over a history: bands meet within neighbouring commits, before anything is joined to them."""
+    texts = ["one two three four five"] * 80
+    e = _entries(spark, texts, [i // 2 for i in range(80)])
+    assert history._neighbours(e).count() == 39 * 4
+    links = history.rename_links(e).collect()
+    assert len(links) == 39 * 2 and all(r.b // 2 == r.a // 2 + 1 for r in links)
+
+
+def test_neighbour_links_are_all_pairs_by_blocks(spark, monkeypatch):
+    """Blocks of a commit together give the links of all its pairs; no pair of texts is a row of a join."""
+    monkeypatch.setattr(history, "BLOCK", 4)
+    monkeypatch.setattr(history, "COLUMNS", 7)
+    random.seed(3)
+    base = [[f"w{random.randrange(90)}" for _ in range(20)] for _ in range(5)]
+    texts = [" ".join([w for w in random.choice(base) if random.random() > 0.1]) for _ in range(60)] + ["", " ", "  "]
+    e = _entries(spark, texts, [i % 4 for i in range(63)]).withColumn("kind", F.when(F.col("entry_id") % 7 == 0, "class").otherwise("function"))
+    a = e.select(*(F.col(c).alias("a" if c == "entry_id" else f"a_{c}") for c in e.columns))
+    b = e.select(*(F.col(c).alias("b" if c == "entry_id" else f"b_{c}") for c in e.columns))
+    want = history.score_links(a.join(b, F.expr("a_last_idx + 1 = b_first_idx"))).select(F.col("a_last_idx").alias("commit"), "a", "b", "jaccard", "score")
+    found = history.neighbour_links(e)
+    assert sorted(found.collect()) == sorted(want.collect()) and want.count() > 20
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_those_of_the_regular_expression(spark):
+    from lodestone.functions import similarity
+
+    rows = [(i, t) for i, t in enumerate(["b a  b", "", None, " \t\x0b\x0c\r\n", "é\u00a0x é\u2003y \x1cz", "x"])] + [(9, " ".join(str(i) for i in range(2000)))]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    want = df.withColumn("w", F.sort_array(F.array_distinct(F.filter(F.split("text", r"\s+"), lambda x: x != ""))))
+    assert sorted(similarity.with_words(df, "text", "w").collect()) == sorted(want.collect())
+    assert similarity.with_words(df, "text", "w", False).columns == ["id", "w"]
