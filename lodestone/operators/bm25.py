@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import document_terms, query_terms
-from lodestone.sources.storage import persisted
+from lodestone.sources.storage import persisted, size
 
 K1 = 1.2
 B = 0.75
@@ -21,13 +21,18 @@ LONGEST = 65535
 BUCKETS = 32
 
 
+#: Bytes of source files for each part of a bucket, so that a task sorts about as much whatever the input.
+PART = 4 << 20
+
+
 @dataclass
 class Bm25Index:
-    """postings (bucket, term, sym_id, dl), lengths (sym_id, dl) and stats (n, avgdl; one row)."""
+    """postings (bucket, term, sym_id, dl), lengths (sym_id, dl), stats (n, avgdl; one row) and terms (sym_id, terms, dl; a document's own)."""
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    terms: DataFrame
 
 
 def bucket(term: str) -> Column:
@@ -38,8 +43,13 @@ def _terms(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("sym_id", document_terms(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.least(F.size("terms"), F.lit(LONGEST)))
 
 
-def _index(postings: DataFrame, lengths: DataFrame) -> Bm25Index:
-    return Bm25Index(postings, lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+def _index(postings: DataFrame, terms: DataFrame) -> Bm25Index:
+    lengths = terms.select("sym_id", "dl")
+    return Bm25Index(postings, lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), terms)
+
+
+def _postings(terms: DataFrame) -> DataFrame:
+    return terms.select("sym_id", "dl", F.explode("terms").alias("term")).withColumn("bucket", bucket("term"))
 
 
 def build(docs: DataFrame, text: str = "text") -> Bm25Index:
@@ -48,24 +58,26 @@ def build(docs: DataFrame, text: str = "text") -> Bm25Index:
     Nothing is written: an index that is asked more than once should be opened by ``open_index``.
     """
     terms = _terms(docs, text)
-    postings = terms.select("sym_id", "dl", F.explode("terms").alias("term")).withColumn("bucket", bucket("term"))
-    return _index(postings, terms.select("sym_id", "dl"))
+    return _index(_postings(terms), terms)
 
 
 def open_index(docs: DataFrame, paths: list[str], text: str = "text") -> Bm25Index:
     """The index of ``docs``, which come from the files below ``paths``: written once, texts being split once, then opened.
 
     Postings lie in folders by a hash of the term and sorted within, so a query's terms are a
-    few folders' few row groups.
+    few folders' few row groups. A folder is written in parts by document, more of them for a
+    longer input, so that neither a folder nor a common term is one task's work.
     """
     spark = docs.sparkSession
-    terms = lambda: persisted(spark, "terms", paths, lambda: (_terms(docs, text), []))
+    terms = persisted(spark, "terms", paths, lambda: (_terms(docs, text), []))
 
     def postings():
-        rows = terms().select("sym_id", "dl", F.explode("terms").alias("term")).withColumn("bucket", bucket("term"))
-        return rows.repartition("bucket").sortWithinPartitions("bucket", "term", "sym_id"), ["bucket"]
+        parts = max(1, -(-size(spark, paths) // (PART * BUCKETS)))
+        part = F.pmod(F.xxhash64("sym_id"), F.lit(parts))
+        rows = _postings(terms)
+        return rows.repartition(BUCKETS * parts, "bucket", part).sortWithinPartitions("bucket", "term", "sym_id"), ["bucket"]
 
-    return _index(persisted(spark, "postings", paths, postings), terms().select("sym_id", "dl"))
+    return _index(persisted(spark, "postings", paths, postings), terms)
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as symbols: ten to a file, named by their first two words."""
     d = table(spark, sf_dir, "documents")
-    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    w1, w2 = F.coalesce(F.get(words, 0), F.lit("")), F.coalesce(F.get(words, 1), F.lit(""))
+    skip, word = r"[^\p{L}\p{N}_]", r"[\p{L}\p{N}_]"  # possessive: a text is read to its second word and no further
+    w1, w2 = (F.coalesce(F.regexp_extract("text", rf"\A{skip}*+{before}({word}++)", 1), F.lit("")) for before in ("", f"{word}++{skip}++"))
     upper = F.translate(F.substring(w2, 1, 1), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
     return d.select(

@@ -65,8 +65,8 @@ def stashes(spark: SparkSession):
             delete(spark, _STASHED.pop())
 
 
-def fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """A digest of the files below paths: their names, lengths and times."""
+def listed(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """Names, lengths and times of the files below paths."""
     seen = []
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -74,7 +74,17 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
         while listing is not None and listing.hasNext():
             f = listing.next()
             seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return hashlib.md5(json.dumps(sorted(seen)).encode()).hexdigest()
+    return sorted(seen)
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the files below paths: their names, lengths and times."""
+    return hashlib.md5(json.dumps(listed(spark, paths)).encode()).hexdigest()
+
+
+def size(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of the files below paths."""
+    return sum(f[1] for f in listed(spark, paths))
 
 
 def persisted(spark: SparkSession, tag: str, paths: list[str], build) -> DataFrame:

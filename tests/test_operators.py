@@ -436,3 +436,49 @@ def test_words_are_those_of_the_regular_expression(spark):
     want = df.withColumn("w", F.sort_array(F.array_distinct(F.filter(F.split("text", r"\s+"), lambda x: x != ""))))
     assert sorted(similarity.with_words(df, "text", "w").collect()) == sorted(want.collect())
     assert similarity.with_words(df, "text", "w", False).columns == ["id", "w"]
+
+
+def test_terms_of_documents_come_without_a_shuffle(spark, tmp_path):
+    """``r1_bm25_lengths`` reads a document's terms as they were split, and keeps documents without any."""
+    import duckdb
+
+    from lodestone.plans import catalogue
+    from tests import compare
+
+    texts = ["The the Fox-fox é a x_1", "", None, "b a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = catalogue.QUERIES["r1_bm25_lengths"](spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    compare.same(found, duck.sql(catalogue.SQL["r1_bm25_lengths"]))
+
+
+def test_names_of_symbols_are_two_words_found_without_the_rest(spark, tmp_path):
+    """Words of symbols' names, whatever stands before, between and after; the text is not searched to its end."""
+    import duckdb
+
+    from lodestone.plans import corpora
+    from tests import compare
+
+    texts = ["the fox runs", "", None, "one", "  ¿qué!", "..a\n\nb", "x_1--éa,b", "!!", "a\nb", "日本 語"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = corpora.symbols(spark, str(tmp_path)).select("sym_id", "name")
+    compare.same(names, duck.sql(f"WITH {corpora.SYMBOLS} SELECT sym_id, name FROM sym"))
+    assert "regexp_extract_all" not in names._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_dealt_to_more_tasks_as_the_input_grows(spark, tmp_path, monkeypatch):
+    """A common term is not one task's work: its folder is written in parts, and the answers stay."""
+    rows = [(i, f"common word{i % 7} other{i}") for i in range(200)]
+    spark.createDataFrame(rows, "sym_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(bm25, "PART", 1 << 5)
+    index = bm25.open_index(docs, [f"{tmp_path}/docs"])
+    parts = index.postings.where("term = 'common'").select(F.input_file_name()).distinct().count()
+    assert parts > 1 and index.postings.where("term = 'common'").count() == 200
+    assert [(r.sym_id, r.score) for r in bm25.search(index, "other7 word3").collect()] == [(r.sym_id, r.score) for r in bm25.search(bm25.build(docs), "other7 word3").collect()]
