@@ -482,3 +482,18 @@ def test_postings_are_dealt_to_more_tasks_as_the_input_grows(spark, tmp_path, mo
     parts = index.postings.where("term = 'common'").select(F.input_file_name()).distinct().count()
     assert parts > 1 and index.postings.where("term = 'common'").count() == 200
     assert [(r.sym_id, r.score) for r in bm25.search(index, "other7 word3").collect()] == [(r.sym_id, r.score) for r in bm25.search(bm25.build(docs), "other7 word3").collect()]
+
+
+def test_files_are_parsed_in_small_portions(spark):
+    """A worker holds what it makes of a few files, not of a whole batch."""
+    import pyarrow as pa
+
+    sizes = [10] * 600 + [3 << 20, 3 << 20, None, 5 << 20, 10]
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(605)], "lang": ["rust"] * 605, "text": [n and "x" * n for n in sizes]})
+    parts = list(parser.portions(batch))
+    assert sum(p.num_rows for p in parts) == 605 and max(p.num_rows for p in parts) <= parser.ROWS
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(2).to_pylist()) <= parser.BYTES for p in parts)
+    rows = [(f"{i}.md", "markdown", None if i == 3 else f"# H{i}\n") for i in range(700)]
+    parsed = parser.parse_files(spark.createDataFrame(rows, "path string, lang string, text string").coalesce(1))
+    assert "MapInArrow" in parsed._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.name) for r in parser.relation(parsed, "symbols").collect()} == {(f"{i}.md", f"H{i}") for i in range(700) if i != 3}
