@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.similarity import cosine, dot, normalised
+from lodestone.functions.similarity import cosine, jaccard, normalised
 
-BLOCK = 4096
+#: Vectors of a block of a search, and of one where pairs are looked for; pairs of texts that are compared together.
+BLOCK, PAIR_BLOCK, PAIRS = 4096, 16384, 128
 
 
 def search_exact(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None) -> DataFrame:
@@ -28,15 +31,20 @@ def _unit(vectors: DataFrame) -> DataFrame:
     return vectors.where("embedding IS NOT NULL").select("id", normalised(F.col("embedding")).alias("embedding"))
 
 
-def _best(k: int, threshold: float | None, others: bool):
+def _best(k: int, threshold: float | None, others: bool, buckets=None):
+    """The best of a block; with ``buckets`` (a function of unit vectors) among rows that share one with the query."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         asked, rows = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         out = [pd.DataFrame({"query_id": [], "id": [], "similarity": []})]
         if len(asked) and len(rows):
             x, ids = np.stack(rows["embedding"].tolist()), rows["id"].to_numpy()
+            at_rows = None if buckets is None else buckets(x)
             for q, v in zip(asked["id"], asked["embedding"]):
                 s = x @ np.asarray(v)
                 ok = np.ones(len(s), bool) if threshold is None else s >= threshold
+                if buckets is not None:
+                    ok &= (at_rows == buckets(np.asarray(v)[None, :])).any(axis=1)
                 at = np.flatnonzero(ok & (ids != q) if others else ok)
                 at = at[np.lexsort((ids[at], -np.round(s[at], 12)))[:k]]
                 out.append(pd.DataFrame({"query_id": q, "id": ids[at], "similarity": s[at]}))
@@ -51,13 +59,18 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     Exact: rows and queries are dealt to blocks, every block of rows meets every block of
     queries as one product of matrices, and a block's best are ranked with the others'.
     """
+    return _ranked(vectors, queries, k, _best(k, threshold, others))
+
+
+def _ranked(vectors: DataFrame, queries: DataFrame, k: int, best) -> DataFrame:
+    """The ``k`` best rows of each query, from those that ``best`` finds in each pair of blocks."""
     rows, asked = _unit(vectors), _unit(queries)
     n, q = max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // BLOCK))
     own = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = rows.select("id", "embedding", own(n).alias("r"), every(q).alias("c"), F.lit(False).alias("asks"))
     right = asked.select("id", "embedding", every(n).alias("r"), own(q).alias("c"), F.lit(True).alias("asks"))
-    found = left.unionByName(right).groupBy("r", "c").applyInPandas(_best(k, threshold, others), "query_id long, id long, similarity double")
+    found = left.unionByName(right).groupBy("r", "c").applyInPandas(best, "query_id long, id long, similarity double")
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -67,19 +80,25 @@ def similar_to(vectors: DataFrame, seeds: DataFrame, k: int = 10, threshold: flo
     return search_many(vectors, seeds, k, threshold, others=True)
 
 
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a table (id, embedding)."""
+    x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return table.column("id").to_numpy(), x / np.where(n == 0, 1, n)
+
+
 def _pairs(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        x, y = np.stack(left["embedding"].tolist()).astype(float), np.stack(right["embedding"].tolist()).astype(float)
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        r, c = (k.as_py() for k in key)
+        a, x = _matrix(table.filter(pc.equal(table.column("own"), r)))
+        b, y = (a, x) if r == c else _matrix(table.filter(pc.equal(table.column("own"), c)))
         out = []
-        for lo in range(0, len(a), 512):
+        for lo in range(0, len(a) if len(b) else 0, 512):
             s = x[lo : lo + 512] @ y.T
-            i, j = np.nonzero((s >= threshold) & (a[lo : lo + 512, None] < b[None, :]))
-            out.append(pd.DataFrame({"a": a[lo + i], "b": b[j], "similarity": s[i, j]}))
-        return pd.concat(out)
+            i, j = np.nonzero((s >= threshold) & (a[lo : lo + 512, None] < b[None, :]) if r == c else s >= threshold)
+            one, two = a[lo + i], b[j]
+            out.append(pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two), "similarity": s[i, j]}))
+        return pa.concat_tables(out) if out else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
 
     return run
 
@@ -87,18 +106,16 @@ def _pairs(threshold: float):
 def near_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
     """(a, b, similarity) of all pairs at or above the threshold, exactly.
 
-    Vectors are dealt to blocks; a task gets two blocks and multiplies their matrices, so a
-    vector travels as often as there are blocks, and no task holds more than two of them.
+    Vectors are dealt to blocks; a task gets two blocks and multiplies their matrices. Two blocks
+    meet once, so a vector travels, as it is stored, as often as there are blocks, and no task
+    holds more than two of them.
     """
     if blocks is None:
-        blocks = max(1, -(-vectors.count() // BLOCK))
-    unit = vectors.where("embedding IS NOT NULL").select(
-        "id", normalised(F.col("embedding")).alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = unit.select("id", "embedding", F.col("own").alias("r"), other.alias("c"), F.lit(0).alias("side"))
-    right = unit.select("id", "embedding", other.alias("r"), F.col("own").alias("c"), F.lit(1).alias("side"))
-    return left.unionByName(right).groupBy("r", "c").applyInPandas(_pairs(threshold), "a long, b long, similarity double")
+        blocks = max(1, -(-vectors.count() // PAIR_BLOCK))
+    own = vectors.where("embedding IS NOT NULL").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    met = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    cells = met.select("id", "embedding", "own", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("c"))
+    return cells.groupBy("r", "c").applyInArrow(_pairs(threshold), "a long, b long, similarity double")
 
 
 def duplicates(vectors: DataFrame, lines: DataFrame, threshold: float = 0.9, min_lines: int = 5, limit: int = 20) -> DataFrame:
@@ -112,25 +129,17 @@ def search_lsh(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 24,
     """(query_id, id, similarity, rank): approximate neighbours of ``queries`` (id, embedding).
 
     Unit vectors fall into buckets by random projections; a query meets the rows that share a
-    bucket with it in any table, and those are ranked by their exact cosines.
+    bucket with it in any table, and those are ranked by their exact cosines. Buckets hold a
+    share of all rows, so rows and queries are dealt to blocks, as for an exact search, and
+    buckets are compared within them: what meets is never a row of a table.
     """
     lines = np.random.default_rng(7).standard_normal((len(vectors.where("embedding IS NOT NULL").first().embedding), tables))
     shift = np.random.default_rng(8).random(tables) * width
 
-    def buckets(table: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(table["embedding"].tolist())
-        at = np.floor((x @ lines + shift) / width).astype(int)
-        return table.assign(buckets=[[(t << 20) + int(b) + (1 << 19) for t, b in enumerate(row)] for row in at])
+    def buckets(x: np.ndarray) -> np.ndarray:
+        return np.floor((x @ lines + shift) / width).astype(np.int32)
 
-    def hashed(rows: DataFrame) -> DataFrame:
-        return _unit(rows).mapInPandas(lambda parts: (buckets(p) for p in parts if len(p)), "id long, embedding array<double>, buckets array<long>")
-
-    asked = hashed(queries).select(F.col("id").alias("query_id"), F.explode("buckets").alias("bucket"))
-    met = hashed(vectors).select("id", F.explode("buckets").alias("bucket")).join(asked, "bucket").select("query_id", "id").distinct()
-    q = _unit(queries).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = met.join(_unit(vectors), "id").join(q, "query_id").select("query_id", "id", dot(F.col("embedding"), F.col("q")).alias("similarity"))
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _ranked(vectors, queries, k, _best(k, None, False, buckets))
 
 
 def body_lines(symbols: DataFrame) -> DataFrame:
@@ -139,23 +148,38 @@ def body_lines(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("lines", F.lead("line").over(order) - F.col("line"))
 
 
-def explain_pairs(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (text_a, text_b) with identifier Jaccard and the lines that a diff adds and drops."""
-    from lodestone.functions.similarity import jaccard
+def _words(text: str) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9_]+"), lambda x: F.length(x) > 1))
+
+
+def pair_jaccard(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (text_a, text_b) with the Jaccard similarity of their identifiers, in place of the texts."""
+    keep = [c for c in pairs.columns if c not in ("text_a", "text_b")]
+    return pairs.select(*keep, jaccard(_words("text_a"), _words("text_b")).alias("jaccard"))
+
+
+def changed_lines(a: str | None, b: str | None) -> tuple[int, int]:
+    """How many lines a diff of two texts adds and drops, without writing it."""
+    import difflib
 
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda x: F.length(x) > 1))
+    steps = difflib.SequenceMatcher(None, (a or "").split("\n"), (b or "").split("\n")).get_opcodes()
+    changed = [s for s in steps if s[0] != "equal"]
+    return sum(j2 - j1 for *_, j1, j2 in changed), sum(i2 - i1 for _, i1, i2, *_ in changed)
 
-    def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import difflib
 
-        for pdf in batches:
-            added, removed = [], []
-            for a, b in zip(pdf["text_a"], pdf["text_b"]):
-                d = list(difflib.unified_diff((a or "").split("\n"), (b or "").split("\n"), lineterm="", n=0))[2:]
-                added.append(sum(x[:1] == "+" for x in d))
-                removed.append(sum(x[:1] == "-" for x in d))
-            yield pdf.assign(added=added, removed=removed)
+def explain_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (text_a, text_b) with identifier Jaccard and the lines that a diff adds and drops, in place of the texts.
+
+    Workers take ``PAIRS`` pairs at a time, and no text goes back.
+    """
+    keep = [c for c in pairs.columns if c not in ("text_a", "text_b")]
+
+    def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, PAIRS) for whole in batches for at in range(0, whole.num_rows, PAIRS)):
+            found = [changed_lines(x.as_py(), y.as_py()) for x, y in zip(b.column(0), b.column(1))]
+            counts = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], *counts], [*b.schema.names[2:], "added", "removed"])
 
-    scored = pairs.withColumn("jaccard", jaccard(words(F.coalesce("text_a", F.lit(""))), words(F.coalesce("text_b", F.lit("")))))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in scored.dtypes)
-    return scored.mapInPandas(diff, f"{kinds}, added long, removed long")
+    scored = pairs.select("text_a", "text_b", *keep, jaccard(_words("text_a"), _words("text_b")).alias("jaccard"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in scored.dtypes[2:])
+    return scored.mapInArrow(diff, f"{kinds}, added long, removed long")

@@ -497,3 +497,58 @@ def test_files_are_parsed_in_small_portions(spark):
     parsed = parser.parse_files(spark.createDataFrame(rows, "path string, lang string, text string").coalesce(1))
     assert "MapInArrow" in parsed._jdf.queryExecution().executedPlan().toString()
     assert {(r.path, r.name) for r in parser.relation(parsed, "symbols").collect()} == {(f"{i}.md", f"H{i}") for i in range(700) if i != 3}
+
+
+def test_pairs_of_texts_are_explained_without_the_texts(spark):
+    import difflib
+
+    random.seed(6)
+    texts = ["\n".join(random.choice("abcd") + "x" for _ in range(random.randrange(30))) for _ in range(300)] + [None, ""]
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(texts, texts[1:]))]
+    pairs = spark.createDataFrame(rows, "id long, text_a string, text_b string")
+    out = vectors.explain_pairs(pairs)
+    assert out.columns == ["id", "jaccard", "added", "removed"]
+    got = {r.id: (r.added, r.removed) for r in out.collect()}
+    for i, a, b in rows:
+        d = list(difflib.unified_diff((a or "").split("\n"), (b or "").split("\n"), lineterm="", n=0))[2:]
+        assert got[i] == (sum(x[:1] == "+" for x in d), sum(x[:1] == "-" for x in d))
+    alone = vectors.pair_jaccard(pairs)
+    assert "MapIn" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert sorted(alone.collect()) == sorted(out.select("id", "jaccard").collect())
+
+
+def test_near_pairs_meet_once(spark):
+    """All pairs for any number of blocks; a vector is dealt once for each block, as it is stored."""
+    import numpy as np
+
+    x = np.random.default_rng(1).standard_normal((90, 6)).astype(np.float32)
+    x[7] = 0
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(90, None)], "id long, embedding array<float>")
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-300)
+    want = sorted((a, b, round(float(u[a] @ u[b]), 9)) for a, b in itertools.combinations(range(90), 2) if u[a] @ u[b] >= 0.5)
+    for blocks in (1, 2, 5):
+        found = vectors.near_pairs(v, 0.5, blocks)
+        assert sorted((r.a, r.b, round(r.similarity, 9)) for r in found.collect()) == want and len(want) > 50
+    assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_search_meets_rows_within_blocks(spark, monkeypatch):
+    """The rows of equal buckets, ranked, for any size of blocks; no join makes a row of what meets."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    x = np.random.default_rng(2).standard_normal((70, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    lines, shift = np.random.default_rng(7).standard_normal((8, 2)), np.random.default_rng(8).random(2) * 0.4
+    at = np.floor((x @ lines + shift) / 0.4)
+    want = {}
+    for q in range(0, 70, 3):
+        met = [i for i in range(70) if (at[i] == at[q]).any()]
+        want[q] = sorted(met, key=lambda i: (-round(float(x[i] @ x[q]), 12), i))[:5]
+    found = vectors.search_lsh(v, v.where("id % 3 = 0"), 5, 2, 0.4)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == want
