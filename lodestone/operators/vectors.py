@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.similarity import cosine, jaccard, normalised
+from lodestone.functions.similarity import cosine, normalised
 
 #: Vectors of a block of a search, and of one where pairs are looked for; pairs of texts that are compared together.
 BLOCK, PAIR_BLOCK, PAIRS = 4096, 16384, 128
+IDENTIFIER = re.compile("[a-z0-9_]+")
 
 
 def search_exact(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None) -> DataFrame:
@@ -148,14 +150,36 @@ def body_lines(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("lines", F.lead("line").over(order) - F.col("line"))
 
 
-def _words(text: str) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9_]+"), lambda x: F.length(x) > 1))
+def _alike(a: str, b: str) -> float:
+    """The Jaccard similarity of the identifiers of two texts in lower case."""
+    x, y = ({w for w in IDENTIFIER.findall(t) if len(w) > 1} for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _lower(text: str) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def _compared(pairs: DataFrame, texts: list[Column], made: dict[str, str], compare) -> DataFrame:
+    """``pairs`` with what ``compare`` makes of the texts (columns and types ``made``) in place of text_a and text_b.
+
+    Workers take ``PAIRS`` pairs at a time, and no text goes back.
+    """
+    keep, n = [c for c in pairs.columns if c not in ("text_a", "text_b")], len(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, PAIRS) for whole in batches for at in range(0, whole.num_rows, PAIRS)):
+            found = [compare(*(t.as_py() for t in row)) for row in zip(*b.columns[:n])]
+            columns = [pa.array([f[k] for f in found], pa.float64() if t == "double" else pa.int64()) for k, t in enumerate(made.values())]
+            yield pa.RecordBatch.from_arrays([*b.columns[n:], *columns], [*b.schema.names[n:], *made])
+
+    sent = pairs.select(*(t.alias(f"_text{i}") for i, t in enumerate(texts)), *keep)
+    return sent.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in (*sent.dtypes[n:], *made.items())))
 
 
 def pair_jaccard(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (text_a, text_b) with the Jaccard similarity of their identifiers, in place of the texts."""
-    keep = [c for c in pairs.columns if c not in ("text_a", "text_b")]
-    return pairs.select(*keep, jaccard(_words("text_a"), _words("text_b")).alias("jaccard"))
+    """``pairs`` (text_a, text_b) with the Jaccard similarity of their identifiers, in place of the texts; no diff is made."""
+    return _compared(pairs, [_lower("text_a"), _lower("text_b")], {"jaccard": "double"}, lambda a, b: (_alike(a, b),))
 
 
 def changed_lines(a: str | None, b: str | None) -> tuple[int, int]:
@@ -168,18 +192,6 @@ def changed_lines(a: str | None, b: str | None) -> tuple[int, int]:
 
 
 def explain_pairs(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (text_a, text_b) with identifier Jaccard and the lines that a diff adds and drops, in place of the texts.
-
-    Workers take ``PAIRS`` pairs at a time, and no text goes back.
-    """
-    keep = [c for c in pairs.columns if c not in ("text_a", "text_b")]
-
-    def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, PAIRS) for whole in batches for at in range(0, whole.num_rows, PAIRS)):
-            found = [changed_lines(x.as_py(), y.as_py()) for x, y in zip(b.column(0), b.column(1))]
-            counts = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], *counts], [*b.schema.names[2:], "added", "removed"])
-
-    scored = pairs.select("text_a", "text_b", *keep, jaccard(_words("text_a"), _words("text_b")).alias("jaccard"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in scored.dtypes[2:])
-    return scored.mapInArrow(diff, f"{kinds}, added long, removed long")
+    """``pairs`` (text_a, text_b) with identifier Jaccard and the lines that a diff adds and drops, in place of the texts."""
+    texts = [F.col("text_a"), F.col("text_b"), _lower("text_a"), _lower("text_b")]
+    return _compared(pairs, texts, {"jaccard": "double", "added": "long", "removed": "long"}, lambda a, b, x, y: (_alike(x, y), *changed_lines(a, b)))
